@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsheaf.llm import quality
+from docsheaf.llm import packing, quality, secrets, tokens
 from docsheaf.llm.common import table
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_host_rules": op7_host_rules}
-ORACLES = {"op7_host_rules": quality.ORACLE}
+def op8_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op7_host_rules": op7_host_rules, "op8_binary_packing": op8_binary_packing, "op10_prefix_tokens": op10_prefix_tokens}
+ORACLES = {"op3_secret_scan": secrets.ORACLE, "op7_host_rules": quality.ORACLE}
