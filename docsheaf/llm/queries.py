@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsheaf.llm import packing, quality, secrets, tokens
+from docsheaf.llm import decontaminate, langid, packing, pii, quality, secrets, tokens, warc
 from docsheaf.llm.common import table
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -20,9 +32,25 @@ def op8_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents"))
+
+
 def op10_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_secret_scan": op3_secret_scan, "op7_host_rules": op7_host_rules, "op8_binary_packing": op8_binary_packing, "op10_prefix_tokens": op10_prefix_tokens}
-ORACLES = {"op3_secret_scan": secrets.ORACLE, "op7_host_rules": quality.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_archive,
+        op3_secret_scan,
+        op4_spaced_seed_decontamination,
+        op6_ecoc_language,
+        op7_host_rules,
+        op8_binary_packing,
+        op9_feistel_pseudonyms,
+        op10_prefix_tokens,
+    )
+}
+ORACLES = {"op1_warc_archive": warc.ORACLE, "op3_secret_scan": secrets.ORACLE, "op4_spaced_seed_decontamination": decontaminate.ORACLE, "op7_host_rules": quality.ORACLE}
