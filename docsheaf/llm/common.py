@@ -46,16 +46,12 @@ def with_groups(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], wher
     groups meet in a shuffled join. Key columns must not be null.
     """
     keys = list(keys)
-    groups = saved(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"), *aggs))
-    total = groups.agg(F.sum("group_rows")).first()[0] or 0
-    hot = groups.filter(F.col("group_rows") > total / shares)
-    rest = groups.filter(F.col("group_rows") <= total / shares)
-    if where is not None:
-        hot_keys, hot, rest = hot.select(*keys), hot.filter(where), rest.filter(where)
-    else:
-        hot_keys = hot.select(*keys)
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"), *aggs)
+    groups = saved(groups if where is None else groups.filter(where))
+    total = df.count()
+    hot, rest = groups.filter(F.col("group_rows") > total / shares), groups.filter(F.col("group_rows") <= total / shares)
     heavy = df.join(F.broadcast(hot), keys)
-    light = df.join(F.broadcast(hot_keys), keys, "left_anti").join(rest, keys)
+    light = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
     return heavy.unionByName(light)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsheaf.llm import decontaminate, langid, packing, pii, quality, secrets, tokens, warc
+from docsheaf.llm import decontaminate, langid, packing, pii, quality, secrets, substrings, tokens, warc
 from docsheaf.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
         op1_warc_archive,
         op3_secret_scan,
         op4_spaced_seed_decontamination,
+        op5_debruijn_repeats,
         op6_ecoc_language,
         op7_host_rules,
         op8_binary_packing,
