@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsheaf.llm.common import SPACES, bind, saved, text_of, with_groups, words_of
+from docsheaf.llm.common import SPACES, bind, saved, text_of, words_of
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -19,6 +19,8 @@ MAX_HOST_RATE = 0.5
 #: Prior weight where the hosts' rates don't vary at all: every host gets the corpus rate.
 POOLED_WEIGHT = 1e6
 NO_HOST = "\x00"
+#: Rejected hosts are broadcast up to this many, and shuffled beyond.
+BROADCAST_HOSTS = 200_000
 
 
 def _windows(words: Column) -> Column:
@@ -85,35 +87,37 @@ def host_rates(rows: DataFrame, rules: list[str]) -> DataFrame:
     return joined.select("host", "docs", *[f"rate_{r}" for r in rules])
 
 
+RULES = ["short", "repetitive"]
+
+
+def with_verdicts(rows: DataFrame, max_host_rate: float) -> DataFrame:
+    """Adds host_ok to saved rows with host and a column for each rule."""
+    rates = host_rates(rows, RULES)
+    rejected = saved(rates.filter(F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > max_host_rate).select("host", F.lit(False).alias("host_ok")))
+    known = rejected.count()
+    joined = rows.join(F.broadcast(rejected) if known <= BROADCAST_HOSTS else rejected, "host", "left")
+    return joined.withColumn("host_ok", F.coalesce("host_ok", F.lit(True)))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Null and empty texts have no words and fail. Repeated rows are judged, and counted for their host, each on its
     own. An empty table gives no rows. Other columns of docs are ignored, whatever their names.
     """
-    rules = ["short", "repetitive"]
-    rows = saved(measured(docs, id_col, text_col, host_col))
-    rates = host_rates(rows, rules)
-    bad = rates.select("host", F.greatest(*[F.col(f"rate_{r}") for r in rules], F.lit(0.0)).alias("worst"))
-    verdicts = saved(bad.filter(F.col("worst") > max_host_rate).select("host"))
+    rows = with_verdicts(saved(measured(docs, id_col, text_col, host_col)), max_host_rate)
     base_failed = F.col("short") | F.col("repetitive")
-    return _without_hosts(rows, verdicts).select(
+    return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & F.col("host_ok")).alias("kept")
     )
 
 
-def _without_hosts(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Adds host_ok. Rejected hosts are joined back as any skewed group: heavy ones broadcast, the rest shuffled."""
-    if rejected.isEmpty():
-        return rows.withColumn("host_ok", F.lit(True))
-    hosts = rows.select("host").withColumn("docs", F.lit(1)).groupBy("host").agg(F.sum("docs").alias("docs"))
-    total = rows.count()
-    flagged = hosts.join(rejected.withColumn("bad", F.lit(True)), "host", "left").withColumn("host_ok", F.col("bad").isNull())
-    flagged = saved(flagged.select("host", "docs", "host_ok"))
-    hot, rest = flagged.filter(F.col("docs") > total / 1000), flagged.filter(F.col("docs") <= total / 1000)
-    heavy = rows.join(F.broadcast(hot.select("host", "host_ok")), "host")
-    light = rows.join(F.broadcast(hot.select("host")), "host", "left_anti").join(rest.select("host", "host_ok"), "host")
-    return heavy.unionByName(light)
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    raw = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)).alias("host"), measures(text_of(text_col)).alias("m"))
+    short, repetitive = F.col("m.c.n_words") < MIN_WORDS, 100 * F.col("m.c.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.c.n_words")
+    rows = saved(raw.select("row", "host", short.alias("short"), repetitive.alias("repetitive")))
+    return with_verdicts(rows, max_host_rate).filter("host_ok and not short and not repetitive").select("row.*")
 
 
 ORACLE = r"""

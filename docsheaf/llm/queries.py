@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsheaf.llm import decontaminate, langid, packing, pii, quality, secrets, substrings, tokens, warc
+from docsheaf.llm import decontaminate, langid, neardup, packing, pii, quality, secrets, substrings, tokens, warc
 from docsheaf.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_archive,
+        op2_order_minhash,
         op3_secret_scan,
         op4_spaced_seed_decontamination,
         op5_debruijn_repeats,

@@ -189,10 +189,11 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every secret replaced by MASK; all other columns, null texts and rows without secrets stay as they are."""
-    packed = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.struct("*").alias("row"))
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.col(text_col).isNull().alias("none"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in others]).alias("row"))
     rows = with_spans(packed, rules)
-    new = F.when(F.col(f"row.{text_col}").isNotNull(), redacted(F.col("text"), F.col("spans")))
-    return rows.select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
+    new = F.when(~F.col("none"), redacted(F.col("text"), F.col("spans")))
+    return rows.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _sql_spans(order: int, rule: Rule) -> str:
