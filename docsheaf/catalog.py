@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docsheaf.plans import pages
+
+_AREAS = (pages,)
+QUERIES: dict = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
+ORACLES: dict = {name: sql for area in _AREAS for name, sql in area.ORACLES.items()}
 FLAGSHIP = "c11_drawing_report"
