@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+ROWS_OUT = 20_000
 
-def fold_by_key(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """fold() over the rows of each key, sorted by `order`. Keys are pages, turns or batches, so groups are small."""
-    return df.groupBy(*keys).applyInPandas(lambda frame: fold(frame.sort_values(order, kind="stable")), schema)
+
+def fold_by_key(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """fold() over the rows of each key in order. Keys are pages, turns or batches, so each one's rows are few.
+
+    Rows are dealt by key and sorted by Spark; a task then streams its keys by, holding one at a time.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    of = itemgetter(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, out = (row for batch in batches for row in batch.to_pylist()), []
+        for _, own in groupby(rows, key=of):
+            out += fold(list(own))
+            if len(out) >= ROWS_OUT:
+                yield pa.RecordBatch.from_pylist(out, schema=kind)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
