@@ -7,8 +7,8 @@ share a sketch are candidates; a banded alignment of their shingles decides. Sim
 common subsequence over the length of the union, at least 0.8 for a link; classes are the connected components.
 
 Equal texts are one representative from the start. Candidates aren't expanded into all pairs: in each bucket all members
-are compared with the first one, the links are joined to components, and only members outside the first one's component
-are then compared with the others, in blocks, so no link between two components is lost.
+are compared with the first one, the links are joined to components, and only members outside the bucket's largest component are then
+compared with the others, in blocks, so no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -228,11 +228,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _left_over(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """Tasks that compare, in each bucket, the members outside the first one's component with all but the first one."""
-    own = shared.join(comps, "doc_id", "left").withColumn("own", F.coalesce("comp", "doc_id")).drop("comp")
-    of_pivot = comps.select(F.col("doc_id").alias("pivot"), F.col("comp").alias("pivot_comp"))
-    rows = own.join(of_pivot, "pivot", "left").filter("doc_id <> pivot").withColumn("outside", F.col("own") != F.coalesce("pivot_comp", "pivot"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("outside").cast("long")).alias("queries")).filter("queries > 0 and members > 1")
+    """Tasks that compare, in each bucket, the members outside its largest component with all others.
+
+    The first member has been compared with everyone, so it takes no part.
+    """
+    own = saved(shared.filter("doc_id <> pivot").join(comps, "doc_id", "left").withColumn("own", F.coalesce("comp", "doc_id")).drop("comp"))
+    counted = own.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("bucket").agg(F.max(F.struct("n", "own")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    rows = own.join(largest.select("bucket", F.col("top.own").alias("main")), "bucket").withColumn("outside", F.col("own") != F.col("main"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("outside").cast("long")).alias("queries"))
     sized = saved(rows.select("bucket", "doc_id", "outside").join(sizes, "bucket"))
     q_parts, m_parts = F.ceil(F.col("queries") / QUERIES).cast("long"), F.ceil(F.col("members") / BLOCK).cast("long")
     spread = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
