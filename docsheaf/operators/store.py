@@ -12,16 +12,23 @@ DEFAULT_TITLE = "새 채팅"
 ID_PATTERN = r"^[a-zA-Z0-9-]{8,80}$"
 ARTIFACT = "struct<name:string,mime:string,view:string,title:string,task:string,text:string,attachmentId:long,boxes:array<struct<x:double,y:double,w:double,h:double,label:string,type:string,confidence:double>>>"
 FILE = "struct<name:string,kind:string,size:double,attachmentId:long,mime:string>"
-COUNTERS = ("ocrCalls", "groundingCalls", "answerCalls", "analysisCalls", "tiledImages", "tiles", "blankTiles", "ocrLengthStops", "groundingLengthStops", "analysisLengthStops", "reasoningTokens")
+# The white list of an answer's meta.
+COUNTERS = (
+    "ocrCalls", "groundingCalls", "answerCalls", "analysisCalls", "tiledImages", "tiles", "blankTiles", "ocrLengthStops", "groundingLengthStops", "analysisLengthStops", "answerReasoningForced",
+    "groundingReasoningForced", "ocrReasoningForced", "analysisReasoningForced", "answerReasoningStops", "groundingReasoningStops", "ocrReasoningStops", "analysisReasoningStops", "reasoningTokens",
+)
 TILE_SETTINGS = ("tileSize", "overlap", "renderDpi", "minSourceEdge", "maxTiles")
+CALL_KINDS = ("answer", "grounding", "ocr")
+REPEAT_SETTINGS = ("repeatLines", "repeatCount", "repeatMinChars")
+EFFORT = r"^[a-z0-9][a-z0-9_-]{0,31}$"
 
 
 def clean_field(text: Column, most: int) -> Column:
-    return F.substring(squeeze(text), 1, most)
+    return F.substring(strip(text), 1, most)
 
 
 def clean_title(text: Column) -> Column:
-    title = clean_field(F.coalesce(text, F.lit("")), 80)
+    title = F.substring(squeeze(F.coalesce(text, F.lit(""))), 1, 80)
     return F.when(title == "", DEFAULT_TITLE).otherwise(title)
 
 
@@ -177,15 +184,49 @@ def sanitize_files(raw: Column) -> Column:
     return F.transform(F.filter(F.slice(parse_json_list(raw, FILE), 1, 24), lambda f: f.isNotNull()), clean)
 
 
+def _fields(names: tuple[str, ...], kind: str) -> str:
+    return ",".join(f"{n}:{kind}" for n in names)
+
+
+META = (
+    f"struct<imageMode:string,tiling:struct<{_fields(TILE_SETTINGS, 'double')}>,vision:struct<{_fields(COUNTERS, 'double')}>,elapsedMs:double,"
+    f"thinkingDisabled:struct<{_fields(CALL_KINDS, 'boolean')}>,visionMaxTokens:double,reasoning:struct<budget:struct<{_fields(CALL_KINDS, 'double')}>,{_fields(REPEAT_SETTINGS, 'double')}>,"
+    f"reasoningEffort:struct<{_fields(CALL_KINDS, 'string')}>,reasoningActions:array<struct<kind:string,image:string,reason:string,stopped:boolean>>,answerImageMode:string,"
+    "answerImages:struct<sent:double,candidates:double,names:array<string>>,viewedPages:struct<limit:double,refused:double,dropped:double,names:array<string>>,"
+    "analyzedPages:struct<enabled:boolean,calls:double,limit:double,refused:double,names:array<string>,group:string,range:string>,traceId:string>"
+)
+
+
 def sanitize_meta(raw: Column) -> Column:
-    """The white list of an answer's meta: counters, tile settings (only if complete), mode, thinking flags, trace id."""
-    schema = f"struct<vision:struct<{','.join(f'{c}:double' for c in COUNTERS)}>,tile:struct<{','.join(f'{c}:double' for c in TILE_SETTINGS)}>,imageMode:string,elapsedMs:double,thinking:struct<answer:boolean,grounding:boolean,ocr:boolean>,traceId:string>"
-    m = F.from_json(raw, schema)
-    whole = lambda group, names: F.when(sum_true([m[group][c].isNotNull() for c in names]) == len(names), F.struct(*[F.greatest(F.lit(0.0), m[group][c]).alias(c) for c in names]))
-    thinking = F.when(m["thinking"]["answer"].isNotNull() & m["thinking"]["grounding"].isNotNull() & m["thinking"]["ocr"].isNotNull(), m["thinking"])
+    """The white list of an answer's meta. Numbers are clamped; a group appears only with the members it needs."""
+    m = F.from_json(raw, META)
+    held = lambda c, high: F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(0.0), F.least(F.lit(float(high)), c)))
+    whole = lambda c, high: held(c, high).cast("long")
+    every = lambda cs: sum_true([c.isNotNull() for c in cs]) == len(cs)
+    some = lambda cs: sum_true([c.isNotNull() for c in cs]) > 0
+    part = lambda group, names, high: [held(m[group][n], high).alias(n) for n in names]
+    names = lambda group, most: F.transform(F.slice(F.filter(F.coalesce(m[group]["names"], F.array().cast("array<string>")), lambda x: x.isNotNull()), 1, most), lambda x: F.substring(x, 1, 300)).alias("names")
+    counts = lambda group, keys, high: [whole(m[group][k], high).alias(k) for k in keys]
+    needed = lambda group, keys: every([m[group][k] for k in keys])
+    level = lambda k: F.when(F.lower(strip(m["reasoningEffort"][k])).rlike(EFFORT), F.lower(strip(m["reasoningEffort"][k]))).alias(k)
+    actions = F.filter(F.slice(F.coalesce(m["reasoningActions"], F.array().cast("array<struct<kind:string,image:string,reason:string,stopped:boolean>>")), 1, 60), lambda a: F.coalesce(a["kind"].isin(*CALL_KINDS), F.lit(False)))
+    cut = F.transform(actions, lambda a: F.struct(a["kind"].alias("kind"), F.substring(F.coalesce(a["image"], F.lit("")), 1, 300).alias("image"), F.substring(F.coalesce(a["reason"], F.lit("")), 1, 40).alias("reason"), F.coalesce(a["stopped"], F.lit(False)).alias("stopped")))
+    budget = m["reasoning"]["budget"]
+    reasoning = F.when(every([m["reasoning"][n] for n in REPEAT_SETTINGS]) & (budget.isNull() | every([budget[k] for k in CALL_KINDS])), F.struct(
+        F.struct(*[whole(budget[k], 10_000_000).alias(k) for k in CALL_KINDS]).alias("budget"), *[whole(m["reasoning"][n], 10_000).alias(n) for n in REPEAT_SETTINGS]))
+    group = m["analyzedPages"]["group"]
+    size = F.when(group == "auto", group).when(group.rlike(r"^[0-9]{1,9}$") & (group.cast("long") >= 1), F.least(group.cast("long"), F.lit(1000)).cast("string"))
     return F.struct(
-        whole("vision", COUNTERS).alias("vision"), whole("tile", TILE_SETTINGS).alias("tile"), F.when(m["imageMode"].isin("whole", "tile"), m["imageMode"]).alias("imageMode"),
-        F.when(m["elapsedMs"] >= 0, m["elapsedMs"].cast("long")).alias("elapsedMs"), thinking.alias("thinking"), F.when(m["traceId"].rlike(ID_PATTERN), m["traceId"]).alias("traceId"),
+        F.when(m["imageMode"].isin("whole", "tile"), m["imageMode"]).alias("imageMode"), F.when(some([m["tiling"][n] for n in TILE_SETTINGS]), F.struct(*part("tiling", TILE_SETTINGS, 1_000_000))).alias("tiling"),
+        F.when(some([m["vision"][n] for n in COUNTERS]), F.struct(*part("vision", COUNTERS, 1_000_000_000))).alias("vision"), whole(m["elapsedMs"], 86_400_000).alias("elapsedMs"),
+        F.when(some([m["thinkingDisabled"][k] for k in CALL_KINDS]), m["thinkingDisabled"]).alias("thinkingDisabled"), F.when(held(m["visionMaxTokens"], 1_000_000) > 0, whole(m["visionMaxTokens"], 1_000_000)).alias("visionMaxTokens"),
+        reasoning.alias("reasoning"), F.when(m["reasoningEffort"].isNotNull(), F.struct(*map(level, CALL_KINDS))).alias("reasoningEffort"), F.when(F.size(cut) > 0, cut).alias("reasoningActions"),
+        F.when(m["answerImageMode"].isin("off", "uploads", "whole", "auto"), m["answerImageMode"]).alias("answerImageMode"),
+        F.when(needed("answerImages", ("sent", "candidates")), F.struct(*counts("answerImages", ("sent", "candidates"), 1_000_000), names("answerImages", 200))).alias("answerImages"),
+        F.when(needed("viewedPages", ("limit", "refused", "names")), F.struct(names("viewedPages", 200), *counts("viewedPages", ("limit", "refused", "dropped"), 100_000))).alias("viewedPages"),
+        F.when(needed("analyzedPages", ("enabled", "calls", "limit", "refused", "names")), F.struct(m["analyzedPages"]["enabled"].alias("enabled"), names("analyzedPages", 1000), *counts("analyzedPages", ("calls", "limit", "refused"), 100_000),
+            size.alias("group"), F.when(m["analyzedPages"]["range"].isin("free", "fixed"), m["analyzedPages"]["range"]).alias("range"))).alias("analyzedPages"),
+        F.when(m["traceId"].rlike(ID_PATTERN), m["traceId"]).alias("traceId"),
     )
 
 

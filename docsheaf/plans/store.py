@@ -104,9 +104,13 @@ def b12_sanitize_files(spark, sf_dir):
 
 
 def b13_sanitize_meta(spark, sf_dir):
-    tile = F.format_string('{"tile":{"tileSize":%d,"overlap":0.1,"renderDpi":200,"minSourceEdge":2048%s},"imageMode":"%s","elapsedMs":%d}', F.col("n"), F.when(F.col("n") % 2 == 0, ',"maxTiles":48').otherwise(""), F.when(F.col("n") % 3 == 0, "tile").otherwise("odd"), F.col("n") - 100)
-    out = _json(spark, sf_dir).withColumn("m", S.sanitize_meta(tile))
-    return out.select("conversation_id", "position", "m.tile.tileSize", "m.imageMode", "m.elapsedMs", F.col("m.vision").isNull().alias("no_vision"))
+    n = F.col("n")
+    raw = F.format_string(
+        '{"tiling":{"tileSize":%d,"overlap":-2},"imageMode":"%s","elapsedMs":%d,"vision":{%s},"reasoning":{"repeatLines":8,"repeatCount":3%s,"budget":{"answer":1,"grounding":2,"ocr":3}},"viewedPages":{"limit":12,"refused":%d,"names":["a","b"]}}',
+        n, F.when(n % 3 == 0, "tile").otherwise("odd"), n - 100, F.when(n % 4 == 0, '"ocrCalls":2').otherwise(""), F.when(n % 2 == 0, ',"repeatMinChars":24').otherwise(""), n % 5,
+    )
+    out = _json(spark, sf_dir).withColumn("m", S.sanitize_meta(raw))
+    return out.select("conversation_id", "position", "m.tiling.tileSize", "m.tiling.overlap", "m.imageMode", "m.elapsedMs", "m.vision.ocrCalls", F.col("m.reasoning.budget.ocr").alias("budget"), F.col("m.viewedPages.refused").alias("refused"), F.size("m.viewedPages.names").alias("names"))
 
 
 def b14_derive_titles(spark, sf_dir):
@@ -157,9 +161,9 @@ ORACLES = {
     "b8_attachment_listing": oracle("v_att", "SELECT conversation_id, position, id, name, mime, kind, size, length(text) AS parsed_characters, has_data, page_number, total_pages, CASE WHEN has_data THEN '/api/attachments/' || id || '/content' END AS url FROM v_att"),
     "b9_trace_listing": oracle("v_msg", "SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) AS number FROM (SELECT conversation_id || '-' || position AS id, conversation_id, created_at - created_at % 4 AS created_at FROM v_msg)"),
     "b10_sanitize_messages": oracle("v_msg", f"SELECT conversation_id, position, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN position % 5 = 3 THEN '' ELSE substr(content, 1, 40) END AS content, CASE WHEN role = 'assistant' THEN '{{\"a\":1}}' END AS meta, CASE WHEN position % 4 = 0 THEN {_NEXT} ELSE created_at END AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY position) AS rn FROM v_msg) WHERE rn <= 6"),
-    "b11_sanitize_artifacts": oracle("v_msg", "SELECT conversation_id, position, CASE WHEN n % 7 = 0 THEN 0 ELSE 1 END AS artifacts, CASE WHEN n % 7 > 0 THEN 'artifact' END AS name, CASE WHEN n % 7 > 0 THEN 'application/octet-stream' END AS mime, CASE WHEN n % 7 > 0 AND n % 2 = 0 THEN 2 END AS boxes, CASE WHEN n % 7 > 0 AND n % 2 = 0 THEN 'a b' END AS label, CASE WHEN n % 7 > 0 AND n % 2 = 0 THEN greatest(0, least(1, n % 5 - 1))::DOUBLE END AS confidence FROM (SELECT *, length(content) AS n FROM v_msg)"),
+    "b11_sanitize_artifacts": oracle("v_msg", "SELECT conversation_id, position, CASE WHEN n % 7 = 0 THEN 0 ELSE 1 END AS artifacts, CASE WHEN n % 7 > 0 THEN 'artifact' END AS name, CASE WHEN n % 7 > 0 THEN 'application/octet-stream' END AS mime, CASE WHEN n % 7 > 0 AND n % 2 = 0 THEN 2 END AS boxes, CASE WHEN n % 7 > 0 AND n % 2 = 0 THEN 'a  b' END AS label, CASE WHEN n % 7 > 0 AND n % 2 = 0 THEN greatest(0, least(1, n % 5 - 1))::DOUBLE END AS confidence FROM (SELECT *, length(content) AS n FROM v_msg)"),
     "b12_sanitize_files": oracle("v_msg", "SELECT conversation_id, position, least(n % 30 + 1, 24) AS files, list_sum(list_transform(range(1, least(n % 30 + 1, 24) + 1), lambda i: greatest(0, i - 3)))::BIGINT AS bytes, 'binary' AS kind FROM (SELECT *, length(content) AS n FROM v_msg)"),
-    "b13_sanitize_meta": oracle("v_msg", "SELECT conversation_id, position, CASE WHEN n % 2 = 0 THEN n::DOUBLE END AS tileSize, CASE WHEN n % 3 = 0 THEN 'tile' END AS imageMode, CASE WHEN n >= 100 THEN n - 100 END AS elapsedMs, true AS no_vision FROM (SELECT *, length(content) AS n FROM v_msg)"),
+    "b13_sanitize_meta": oracle("v_msg", "SELECT conversation_id, position, n::DOUBLE AS tileSize, 0.0::DOUBLE AS overlap, CASE WHEN n % 3 = 0 THEN 'tile' END AS imageMode, greatest(0, n - 100) AS elapsedMs, CASE WHEN n % 4 = 0 THEN 2.0::DOUBLE END AS ocrCalls, CASE WHEN n % 2 = 0 THEN 3 END AS budget, n % 5 AS refused, 2 AS names FROM (SELECT *, length(content) AS n FROM v_msg)"),
     "b14_derive_titles": oracle("v_msg", r"SELECT conversation_id, coalesce(substr(trim(regexp_replace(arg_min(content, position) FILTER (role = 'user' AND trim(content) <> ''), '\s+', ' ', 'g')), 1, 80), '새 채팅') AS title FROM v_msg GROUP BY conversation_id"),
     "b15_monotone_stamps": oracle("v_event", ", e AS (SELECT turn, seq, prompt_tokens + seq // 3 AS ts FROM v_event) SELECT turn, seq, ts, seq + max(ts - seq) OVER (PARTITION BY turn ORDER BY seq) AS stamp FROM e"),
     "b16_valid_ids": "SELECT CASE doc_id % 3 WHEN 0 THEN 'id-' || doc_id ELSE 'conversation-' || doc_id END AS id FROM documents WHERE doc_id % 3 = 1 OR doc_id % 3 = 0 AND length('id-' || doc_id) >= 8",
