@@ -20,7 +20,7 @@ COUNTERS = (
 TILE_SETTINGS = ("tileSize", "overlap", "renderDpi", "minSourceEdge", "maxTiles")
 CALL_KINDS = ("answer", "grounding", "ocr")
 REPEAT_SETTINGS = ("repeatLines", "repeatCount", "repeatMinChars")
-EFFORT = r"^[a-z0-9][a-z0-9_-]{0,31}$"
+EFFORT = r"^[a-z0-9][a-z0-9_-]{0,23}$"
 
 
 def clean_field(text: Column, most: int) -> Column:

@@ -116,6 +116,11 @@ def e14_expectation_report(spark, sf_dir):
     return T.expectation_report(_docs(spark, sf_dir).select("doc_id", "text"), X.table(spark, sf_dir, "benchmark").select(F.col("text").alias("item")), "doc_id")
 
 
+def e14_unrelated_lines(spark, sf_dir):
+    m = X.messages(spark, sf_dir).select(F.concat_ws("-", "conversation_id", F.col("position").cast("string")).alias("reply"), F.col("content").alias("text"))
+    return T.unrelated_lines(m, X.table(spark, sf_dir, "benchmark").select(F.col("text").alias("item")), "reply")
+
+
 def e15_mode_line_diff(spark, sf_dir):
     lines = X.lines(spark, sf_dir)
     return T.mode_line_diff(lines.filter("doc_id % 2 = 0").selectExpr("floor(doc_id / 2) AS pair", "line"), lines.filter("doc_id % 2 = 1").selectExpr("floor(doc_id / 2) AS pair", "line"), ["pair", "line"])

@@ -191,6 +191,22 @@ def test_newest_trace_wins(spark, tmp_path):
     assert {tuple(r) for r in streams.latest_traces(spark, f"{tmp_path}/out").collect()} == {("t1", 2, "new"), ("t2", 5, "five")}
 
 
+def test_live_turns_on_a_stream(spark, tmp_path):
+    rows = [("a", 1, "llm", "running", 10), ("a", 2, "llm", "ok", 20), ("b", 1, "llm", "ok", 5), ("b", 2, "end", "ok", 9)]
+    frame = spark.createDataFrame(rows, "turn string, seq int, kind string, status string, started_ms long")
+    frame.write.parquet(f"{tmp_path}/in")
+    out = streams.live_turns(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"))
+    q = out.writeStream.format("memory").queryName("live_turns").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.sql("SELECT * FROM live_turns").collect()] == [("a", 10, 20, 1)]
+
+
+def test_unrelated_lines(spark):
+    texts = spark.createDataFrame([(1, "DRAWING NO A-1024\nDRAWNG NO A-1O24\n[TILE r1c1]\nA cat sits on a sofa\nno a")], "k int, text string")
+    expected = spark.createDataFrame([("Drawing No  A-1024",)], "item string")
+    assert [r.line for r in transcripts.unrelated_lines(texts, expected, "k").collect()] == ["A cat sits on a sofa"]
+
+
 def test_uploads_from_files(spark, tmp_path):
     folder = tmp_path / "batch1"
     folder.mkdir()
