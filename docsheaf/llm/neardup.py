@@ -31,8 +31,8 @@ SIMILARITY = 0.8
 SAMPLED = 3
 SKETCHES = 14
 #: Members that stream past one set of queries in a row, and queries in such a set.
-BLOCK = 512
-QUERIES = 128
+BLOCK = 1024
+QUERIES = 512
 PART = 1 << 16
 _WORD = re.compile(r"\w+")
 
