@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,5 +95,3 @@ def map_boxes_to_source(boxes: DataFrame, tiles: DataFrame, keys: list[str]) ->
     new = {"x": F.col("x0") + F.col("x") * wide, "y": F.col("y0") + F.col("y") * high, "w": F.col("w") * wide, "h": F.col("h") * high}
     return both.select(*[new.get(c, F.col(c)).alias(c) for c in boxes.columns])
 
-
-MAX_SCALE_STEPS = math.ceil(math.log(1e-3) / math.log(0.95))
