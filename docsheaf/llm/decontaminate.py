@@ -1,9 +1,12 @@
-"""Benchmark decontamination with spaced-seed hashing, in DataFrame functions only.
+"""Benchmark decontamination with counted seeds, in DataFrame functions only.
 
-Texts are lower-cased runs of letters and digits. Fixed masks pick 8 of 12 consecutive tokens and ignore the rest, so a
-hash of the picked tokens survives substitutions at the ignored places. Hashes of the training texts meet those of the
-benchmark; every hit names a diagonal (place in the text less place in the item), along which the two are compared
-token by token, and the best stretch is scored +1 for an equal and -2 for a differing token.
+Texts are lower-cased runs of letters and digits. Hashes of every window of SEED tokens in the training texts meet those
+of the benchmark; every hit names a diagonal (place in the text less place in the item), along which the two are
+compared token by token, and the best stretch is scored +1 for an equal and -2 for a differing token.
+
+A stretch of score s with m differing tokens has m + 1 runs of equal ones, whose lengths less 2 sum to s - 2. So it
+holds at least s - 2 equal windows of three tokens, wherever the differing ones are and whether or not it touches an end
+of the text. Only diagonals with that many hits are compared, and none that reaches the score is left out.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from pyspark.sql import functions as F
 from docsheaf.llm.common import bind, saved, text_of
 
 TOKEN = r"[\p{L}\p{N}]+"
-SPAN = 12
-#: Masks as first tokens of the adjacent pairs they look at; each sees 8 of the 12 tokens (the last: the first 8).
+#: The count of hits above holds for MISMATCH = -2 and windows of 1 - MISMATCH tokens. Shorter items are hashed whole.
+SEED = 3
+#: The seeds of the SQL alone: masks of 12 tokens as first tokens of the adjacent pairs they look at. They find overlaps
+#: that hold such a window and miss others of the same score.
 MASKS = ((0, 2, 8, 10), (0, 4, 6, 10), (0, 2, 4, 6))
 MISMATCH = -2
 MIN_SCORE = 10
@@ -27,30 +32,15 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def seeds(tokens: Column, short: list[int]) -> Column:
-    """array<struct<at, seed>>: every place where a mask fits, and whole windows of the lengths in `short`."""
-
-    def masked(hashes: Column) -> Column:
-        pairs = F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(hashes, i + 1)))
-
-        def windows(g: Column) -> Column:
-            starts = F.slice(g, F.lit(1), F.greatest(F.size(g) - (SPAN - 1), F.lit(0)))
-            each = [_masked_windows(starts, g, k, mask) for k, mask in enumerate(MASKS)]
-            each += [_whole_windows(hashes, n) for n in short]
-            return F.concat(*each)
-
-        return bind(pairs, windows)
-
-    return bind(F.transform(tokens, lambda t: F.xxhash64(t)), masked)
-
-
-def _masked_windows(starts: Column, pairs: Column, k: int, mask: tuple[int, ...]) -> Column:
-    return F.transform(starts, lambda x, i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), x, *[F.get(pairs, i + b) for b in mask[1:]]).alias("seed")))
+def seeds(tokens: Column, widths: list[int]) -> Column:
+    """array<struct<at, width, seed>>: every window of each width."""
+    return bind(F.transform(tokens, lambda t: F.xxhash64(t)), lambda hashes: F.concat(*[_windows(hashes, n) for n in widths]))
 
 
-def _whole_windows(hashes: Column, n: int) -> Column:
+def _windows(hashes: Column, n: int) -> Column:
     starts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda x, i: F.struct(i.alias("at"), F.xxhash64(F.lit(-n), x, *[F.get(hashes, i + j) for j in range(1, n)]).alias("seed")))
+    seed = lambda x, i: F.xxhash64(F.lit(n), x, *[F.get(hashes, i + j) for j in range(1, n)])
+    return F.transform(starts, lambda x, i: F.struct(i.alias("at"), F.lit(n).alias("width"), seed(x, i).alias("seed")))
 
 
 def _best_stretch(equal: Column) -> Column:
@@ -76,15 +66,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     null id is an id. Other columns are ignored.
     """
     items = saved(benchmark.select(F.col(item_col).alias("item_id"), tokens_of(text_of(item_text_col)).alias("item")).filter(F.size("item") > 0).distinct())
-    short = sorted(r[0] for r in items.filter(F.size("item") < SPAN).select(F.size("item")).distinct().collect())  # 11 lengths at most
-    own = items.select("item_id", F.size("item").alias("n"), F.explode(seeds(F.col("item"), short)).alias("s"))
-    item_seeds = saved(own.select("item_id", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")))
+    n = F.size("item")
+    width, needed = F.least(n, F.lit(SEED)), F.least(n, F.lit(MIN_SCORE)) - F.least(n, F.lit(SEED)) + 1
+    widths = sorted(r[0] for r in items.select(width).distinct().collect()) or [SEED]  # 3 widths at most
+    own = items.select("item_id", width.alias("own_width"), needed.alias("needed"), F.explode(seeds(F.col("item"), widths)).alias("s")).filter(F.col("s.width") == F.col("own_width"))
+    item_seeds = saved(own.select("item_id", "needed", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")))
     n_seeds, n_items = item_seeds.count(), items.count()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    doc_seeds = texts.select("doc_id", F.explode(seeds(tokens_of(F.col("text")), short)).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
-    found = doc_seeds.join(_sized(item_seeds, n_seeds), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
-    hits = saved(found.distinct())
+    doc_seeds = texts.select("doc_id", F.explode(seeds(tokens_of(F.col("text")), widths)).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
+    found = doc_seeds.join(_sized(item_seeds, n_seeds), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "needed")
+    # rows that repeat an id add up here, which can only let more diagonals through to the comparison
+    counted = found.groupBy("doc_id", "item_id", "diagonal").agg(F.count(F.lit(1)).alias("n_hits"), F.min("needed").alias("needed"))
+    hits = saved(counted.filter(F.col("n_hits") >= F.col("needed")).select("doc_id", "item_id", "diagonal"))
 
     mine = hits.select(F.col("doc_id").alias("hit_id"), "item_id", "diagonal")
     placed = texts.select("doc_id", "text").join(mine.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")))

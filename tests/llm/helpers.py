@@ -65,6 +65,17 @@ def passages(seed=5, n=60):
     return rows
 
 
+def best_diagonal(text, item):
+    """The best +1 / -2 stretch over every diagonal of two token lists."""
+    best = 0
+    for shift in range(1 - len(item), len(text)):
+        run = 0
+        for j in range(max(0, -shift), min(len(item), len(text) - shift)):
+            run = max(0, run + (1 if text[j + shift] == item[j] else -2))
+            best = max(best, run)
+    return best
+
+
 def lcs(a, b):
     before = [0] * (len(b) + 1)
     for x in a:

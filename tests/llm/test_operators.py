@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docsheaf.llm import decontaminate, langid, neardup, packing, pii, quality, secrets, substrings, tokens, warc
-from tests.llm.helpers import DOCS, SF, duck, lcs, near_classes, odd_docs, passages, rows_of, without_repeats
+from tests.llm.helpers import DOCS, SF, best_diagonal, duck, lcs, near_classes, odd_docs, passages, rows_of, without_repeats
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, LONG), (5, LONG), (None, "no id here"), (None, None), (6, "a b c d e f g h " * 10), (7, "x\n\nx\nx \ny")]
@@ -86,6 +86,31 @@ def test_decontamination_matches_sql(spark):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least", [1, 12])
+def test_decontamination_matches_all_diagonals(spark, least):
+    rng = random.Random(3)
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate([1, 2, 3, 9, 10, 11, 12, 13, 15, 20, 38])]
+    threes = [w if j % 4 != 3 else "zz" for j, w in enumerate(items[10])]  # runs of three: score 11
+    texts = [items[9][-10:], ["q"] * 30 + items[9][-10:], items[10][-11:] + ["q"] * 30, ["q"] * 30 + items[10][:10], ["zz", *items[5][1:]], items[4], items[3][:-1], threes]
+    for _ in range(150):
+        item, rate = rng.choice(items), rng.choice([0, 0.1, 0.2, 0.3])
+        part = item[rng.randint(0, max(0, len(item) - 8)) :][: rng.choice([9, 10, 11, 40])]
+        texts.append(["q"] * rng.choice([0, 0, 3, 20]) + ["zz" if rng.random() < rate else w for w in part] + ["r"] * rng.choice([0, 0, 3, 20]))
+    want = set()
+    for i, text in enumerate(texts):
+        for k, item in enumerate(items):
+            if len(item) < least:
+                continue
+            best = best_diagonal(text, item)
+            if best >= min(decontaminate.MIN_SCORE, len(item)):
+                want.add((i, k, best))
+    docs = odd_docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items) if len(t) >= least], "item_id long, text string")
+    got = decontaminate.overlaps(docs, bench).select("doc_id", "item_id", "score").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {0, 1, 2, 3, 7} | ({4, 5} if least == 1 else set()) <= {i for i, _, _ in want} and 6 not in {i for i, k, _ in want if k == 3}
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     columns = ["doc_id", "item_id", "score"]
