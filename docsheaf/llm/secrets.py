@@ -28,14 +28,24 @@ class Rule:
     group: int
     least: int
     base: bool = False
+    #: What a match goes on with, in Java's syntax and possessive, so that it needs no stack; the SQL leaves it out.
+    tail: str = ""
 
 
+#: The rest of a private key: all up to its END line, or without one the header fields and base64 runs of 16 characters
+#: or more that follow, and a last shorter one that ends its line.
+_GAP = r"(?:\\[nrt]|[^A-Za-z0-9+/=\\-]){0,12}+"
+PEM_TAIL = (
+    r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}[A-Za-z][A-Za-z-]{{1,40}}+:[^\r\n\\]{{0,200}}+){{0,8}}+(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/=]{{1,15}}+(?=[\r\n\"'\\]|\z))?+)?+"
+)
+
 #: Fixed values of the result contract (the base rules, in their order), then the rules this scan adds.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, tail=PEM_TAIL),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
 )
@@ -126,9 +136,10 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """The rule's spans in text order as array<struct<s, o, e, kind>>, in code points, end exclusive."""
-    p = F.lit(rule.pattern)
+    whole = rule.pattern + rule.tail
+    p = F.lit(whole)
     parts = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("found"), F.regexp_extract_all(text, p, F.lit(rule.group)).alias("part")
+        F.split(text, whole, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("found"), F.regexp_extract_all(text, p, F.lit(rule.group)).alias("part")
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>").alias("out"))
 

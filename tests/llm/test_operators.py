@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import string
 import zlib
 
 import numpy as np
@@ -69,6 +70,27 @@ def test_mask_keeps_the_rest(spark):
     assert rows_of(out, ["doc_id", "text"]) == sorted([(1, "a [SECRET] b [SECRET]"), (2, None), (3, ""), (None, "é [SECRET]!")], key=str)
 
 
+def test_mask_leaves_no_key_material(spark):
+    rng = random.Random(1)
+    lines = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(24)] + ["Zq9+x7Kd/w=="]
+    many = ["".join(rng.choices(string.ascii_letters, k=64)) for _ in range(2000)]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    bodies = {
+        1: f"{head}\n" + "\n".join(lines) + f"\n{end}", 2: f"{head}\r\n" + "\r\n".join(lines) + f"\r\n{end}", 3: f"{head}\\n" + "\\n".join(lines) + f"\\n{end}",
+        4: f"{head}\n{fields}" + "\n".join(lines) + f"\n{end}", 5: f"{head}\n" + "\n".join(lines) + "\n", 6: f"{head}\n{fields}" + "\n  ".join(lines) + "\n", 7: f"{head}\n" + "\n".join(many) + "\n",
+        8: f"{head} " + "-x" * 20_000 + f" {end}", 9: f"{head}\n" + "\n".join(lines[:4]) + f"\n{head}\n" + "\n".join(lines[4:]) + f"\n{end}", 10: f"{head}\\n" + "\\n".join(lines) + '"',
+    }
+    docs = odd_docs(spark, [*[(i, f"Before. {b} and the words after it.") for i, b in bodies.items()], (11, f"A file has {head} as its first line, and more.")])
+    out = {r.doc_id: r.text for r in secrets.mask(docs).collect()}
+    for i in bodies:
+        assert out[i].startswith("Before. [SECRET]") and out[i].endswith(" and the words after it."), (i, out[i][:200])
+        assert not any(line in out[i] for line in [*lines, *many, "DEK-Info", "-x-x", "PRIVATE KEY"]), (i, out[i][:200])
+    assert out[11] == "A file has [SECRET] as its first line, and more."
+    found = secrets.scan(docs.filter("doc_id = 1")).collect()[0]
+    assert f"pem:8:{8 + len(bodies[1])}" in found.spans.split(",")
+
+
 # ---- decontamination
 def test_decontamination_matches_sql(spark):
     item = " ".join(f"tok{i}" for i in range(40))
