@@ -51,9 +51,9 @@ def luhn_digit(payload: str) -> str:
 
 
 def _refill(shape: str, digits: str) -> str:
-    """shape with its digits replaced, in order."""
+    """shape with its letters and digits replaced, in order."""
     left = iter(digits)
-    return re.sub(r"[0-9]", lambda _: next(left), shape)
+    return re.sub(r"[A-Za-z0-9]", lambda _: next(left), shape)
 
 
 def _mixed(value: str, key: bytes, kind: str) -> str:
@@ -110,10 +110,14 @@ def _iban_rest(text: str) -> int:
 
 
 def _iban(text: str, key: bytes) -> str | None:
-    if _iban_rest(text) != 1:
-        return None
-    body = _mixed(text[4:], key, "iban")
-    return f"{text[:2]}{98 - _iban_rest(text[:2] + '00' + body):02d}{body}"
+    """Of the longest valid start of text that ends with a group: a match with separators can run on into what follows.
+    With separators at least half of the characters are digits, or capital words would pass by chance."""
+    for end in [len(text), *reversed([m.start() for m in re.finditer(r"[ -]", text)])]:
+        plain = re.sub(r"[ -]", "", text[:end])
+        if len(plain) >= 15 and (len(plain) == end or 2 * sum(map(str.isdigit, plain)) >= len(plain)) and _iban_rest(plain) == 1:
+            body = _mixed(plain[4:], key, "iban")
+            return _refill(text[:end], f"{plain[:2]}{98 - _iban_rest(plain[:2] + '00' + body):02d}{body}")
+    return None
 
 
 def _email(text: str, key: bytes) -> str | None:
@@ -148,17 +152,17 @@ def _date(text: str, key: bytes) -> str | None:
 #: kind, pattern, pseudonym or None if the value isn't valid. The first pattern that matches at a place is tried.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
-    ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w)", _iban),
+    ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?=[A-Z0-9]*(?P<gap0>[ -]))(?:(?P=gap0)?[A-Z0-9]){11,30})(?!\w)", _iban),
     ("date", r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-])", _date),
     ("ipv4", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])", _ipv4),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
     ("card", r"(?<![\w])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})(?!\w)", _card),
-    ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ -]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[.-][0-9]{4})(?!\w)", _phone),
+    ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ -]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?!\w)", _phone),
 )
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS))
 _MAKE = {k: f for k, _, f in KINDS}
 #: No value of any kind has fewer than this in a row; texts without it and without "@" are passed on at once.
-_HINT = re.compile(r"[0-9][0-9() ./-]{4,}[0-9]|[A-Z]{2}[0-9]{2}[A-Z0-9]{11}")
+_HINT = re.compile(r"[0-9][0-9() ./-]{4,}[0-9]|[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11}")
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
@@ -172,9 +176,10 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
         if new is None:
             at = _after(text, m)
             continue
+        end = m.start() + len(new) if kind == "iban" else m.end()  # an IBAN may be less than the match, see _iban()
         out += [text[done : m.start()], new]
-        found.append((kind, m.start(), m.end()))
-        at = done = m.end()
+        found.append((kind, m.start(), end))
+        at = done = end
     return "".join([*out, text[done:]]), found
 
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import string
 import zlib
 
@@ -312,6 +313,22 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert pii.pseudonyms(empty(spark)).count() == 0
 
 
+def test_spaced_forms_link_to_plain_ones():
+    plain, forms = "DE89370400440532013000", ["DE89 3704 0044 0532 0130 00", "DE89-3704-0044-0532-0130-00", "DE89 370400440532013000"]
+    new = pii.pseudonymise(plain, b"key")[0]
+    assert new != plain and new[:2] == "DE" and int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    for form in forms:
+        for before, after in (("", ""), ("IBAN ", " is it."), ("ID 12 ", " AND MORE"), ("", " 2024 12"), ("", ", 4785380592391139")):
+            out, found = pii.pseudonymise(before + form + after, b"key")
+            assert found[0] == ("iban", len(before), len(before) + len(form)) and len(found) == 1 + ("4785" in after)
+            shown = out[len(before) : len(before) + len(form)]
+            assert re.sub("[ -]", "", shown) == new and [m.start() for m in re.finditer("[ -]", shown)] == [m.start() for m in re.finditer("[ -]", form)]
+            assert out.startswith(before) and (out.endswith(after) or "4785" in after)
+    assert pii.pseudonymise("DE88 3704 0044 0532 0130 00 and AB12 SOME WORDS IN CAPITALS HERE", b"key")[1] == []
+    phones = [pii.pseudonymise(f"call {x} now", b"key") for x in ("212 555 1234", "212-555-1234", "212.555.1234", "(212) 555-1234")]
+    assert all([k for k, _, _ in f] == ["phone"] for _, f in phones) and len({re.sub("[^0-9]", "", t) for t, _ in phones}) == 1
+
+
 # ---- WARC
 def test_archive_round_trip(spark):
     big = "x\r\n\r\nWARC/1.1 é" * 9000
