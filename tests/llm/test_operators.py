@@ -3,9 +3,11 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -153,26 +155,81 @@ def tokenizer():
 PIECES = ["a", "b'", "'s", " ", "  ", "\n", "\t", "\x00", "<|endoftext|>", "é", "1", "²", "\xa0", "　", "!?", "\x1c", "́", "中", "😀", "'ll", "\r\n", " ", "᠎", "​"]
 
 
+def cut(text):
+    run = tokens.Run(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["text"]))
+    return [run.kinds[k] for k in run.codes]
+
+
 @given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
 @settings(max_examples=300, deadline=None)
 def test_chunks_join_to_the_ids_of_the_text(text):
     known = tokens.ChunkIds.of(tokens.token_path("byte_bpe_50k.json"))
-    cut = tokens.chunks(text)
-    known.learn([cut])
-    assert "".join(cut) == text
-    ids = np.frombuffer(b"".join(known.known[c] for c in cut), "<u4").tolist()
+    chunks = cut(text)
+    assert "".join(chunks) == text
+    ids = np.frombuffer(b"".join(known.all_of(chunks)), "<u4").tolist()
     assert ids == known.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_every_prefix_count_is_exact(spark, tokenizer):
-    texts = ["it's a  test\n\nof 12 x", "foo <|endoftext|>bar ", "", "été 中文"]
-    docs = odd_docs(spark, list(enumerate(texts)))
-    for row in tokens.prefix_counts(docs, every=True).collect():
-        text = texts[row.doc_id]
-        assert row.ends == list(range(len(text) + 1))
-        assert row.counts == [len(tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
-    cut = {r.doc_id: (r.cut_chars, r.cut_tokens) for r in tokens.cut_for_budget(tokens.prefix_counts(docs), 3).collect()}
-    assert cut[2] == (0, 0) and all(n <= 3 for _, n in cut.values())
+def library_counts(tokenizer, text):
+    return [len(tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
+@given(st.lists(st.sampled_from([*PIECES, "aa", "the", "github", "aaaa", "ing", "'re", "....", "--------", "ß", "0x", "\u2028"]), max_size=16).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_prefix_counts_of_a_chunk(text):
+    known = tokens.Prefixes.of(tokens.token_path("byte_bpe_50k.json"))
+    tokenizer = tokens.ChunkIds.of(tokens.token_path("byte_bpe_50k.json")).tokenizer
+    assert np.frombuffer(known.of_chunk(text), "<i4").tolist() == library_counts(tokenizer, text)
+
+
+def test_every_token_of_the_vocabulary_is_one_token():
+    known = tokens.Prefixes.of(tokens.token_path("byte_bpe_50k.json"))
+    assert all(known.of_word(word)[-1] == 1 for word in sorted(known.ends.keys()))
+
+
+def test_every_prefix_count_and_every_budget_is_exact(spark, tokenizer):
+    given_texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(12).collect()]
+    texts = ["it's a  test\n\nof 12 x", "foo <|endoftext|>bar ", "", "été 中文", "github", "a" * 300, "!" * 150, *[t[:700] for t in given_texts]]
+    docs = odd_docs(spark, list(enumerate(texts)) + [(None, "github"), (100, None)])
+    stored = tokens.prefix_counts(docs).filter("doc_id < 100").cache()
+    want = {k: library_counts(tokenizer, t) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.counts for r in stored.collect()} == want
+    budgets = spark.range(-1, 40).select(F.col("id").cast("int").alias("budget"))
+    for r in tokens.cut_for_budget(stored.crossJoin(budgets), F.col("budget")).collect():
+        best = max(k for k, n in enumerate(want[r.doc_id]) if n <= max(r.budget, 0))
+        assert (r.cut_chars, r.cut_tokens) == (best, want[r.doc_id][best]), (texts[r.doc_id], r.budget)
+    for budget in (0, 1, 3, 50):
+        for r in tokens.token_report(docs, limit=budget).filter("doc_id < 100").collect():
+            best = max(k for k, n in enumerate(want[r.doc_id]) if n <= budget)
+            assert (r.n_tokens, r.cut_chars, r.cut_tokens) == (want[r.doc_id][-1], best, want[r.doc_id][best])
+    one = tokens.cut_for_budget(stored.filter("doc_id = 4"), 1).first()
+    assert (one.cut_chars, one.cut_tokens) == (6, 1)
+    assert tokens.prefix_counts(docs).filter("doc_id is null or doc_id = 100").count() == 2 and tokens.prefix_counts(empty(spark)).count() == 0
+
+
+def test_one_long_word_takes_time_in_proportion(spark, tokenizer):
+    make = lambda seed, n: "".join(random.Random(seed).choices(string.ascii_letters, k=n))
+    word = make(2, 1_000_000)
+    known = tokens.Prefixes.of(tokens.token_path("byte_bpe_50k.json"))
+
+    def seconds(text):
+        begin = time.process_time()
+        counts = np.frombuffer(known.of_chunk(text), "<i4")
+        took = time.process_time() - begin
+        assert len(counts) == len(text) + 1 and counts[-1] == len(tokenizer.encode(text, add_special_tokens=False).ids)
+        return took
+
+    short = seconds(make(3, 200_000))
+    assert seconds(word) < 10 * short + 1
+    row = tokens.token_report(odd_docs(spark, [(1, word)])).first()
+    assert row.over_limit and row.cut_tokens == 1024 and len(tokenizer.encode(word[: row.cut_chars], add_special_tokens=False).ids) == 1024
+
+
+def test_a_worker_keeps_a_bounded_number_of_bytes():
+    kept = tokens.Recent(most=20_000)
+    for k in range(1000):
+        kept.put(f"key {k}", b"x" * 40)
+    assert len(kept.new) + len(kept.old) < 120 and kept.get("key 999") and kept.get("key 0") is None
 
 
 def test_token_report(spark, tokenizer):
@@ -206,6 +263,16 @@ def test_packing_round_trip(spark, tokenizer):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_buckets_hold_equal_lengths(spark, tmp_path):
+    packed = packing.pack(odd_docs(spark, ODD), longest=256, with_ids=True)
+    packing.write_buckets(packed, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert rows_of(back, ["doc_id", "start", "length", "ids_crc32", "bucket"]) == rows_of(packed, ["doc_id", "start", "length", "ids_crc32", "bucket"])
+    assert back.filter("length <> shiftleft(1, bucket) or length > 256 or octet_length(ids) <> 4 * length").count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(odd_docs(spark, ODD), longest=100)
+
+
 # ---- substring dedup
 def test_repeats_match_brute_force(spark):
     rows = passages()
