@@ -4,9 +4,9 @@ Word k-mers are the edges of a De Bruijn graph. Of all edges of a document those
 (every window of 50 words holds at least one, the same one wherever that window occurs), and the first and last. Each
 edge that occurs in several documents keeps its first source coordinate (document, position). Consecutive edges of a
 document whose first coordinates advance in step lie on one nonbranching path; joined in a row they are compacted to one
-span, which the coordinates prove equal, word for word, to a span of an earlier document, because consecutive edges
-overlap or touch. Only at branches - edges that some later document holds in a window outside its compacted spans - are
-whole 50-word windows hashed (two 64-bit hashes) and joined.
+span, which the coordinates prove equal to a span of an earlier document, because consecutive edges overlap or touch.
+Only at branches - edges that some later document holds in a window outside its compacted spans - are whole 50-word
+windows hashed and joined. Edges are compared by 64-bit hashes and windows by two of them, not word by word.
 """
 
 from __future__ import annotations
@@ -231,7 +231,8 @@ def without_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc
     """
     row = ["doc_id", "row_key"]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("row_key"), text_of(text_col).alias("text"))
-    edges = saved(edges_of(texts.filter(F.col("doc_id").isNotNull())))
+    nameless, texts = texts.filter("doc_id is null"), texts.filter("doc_id is not null")
+    edges = saved(edges_of(texts))
     shared = with_groups(edges, ["edge"], [F.min(F.struct("doc_id", "row_key", "at")).alias("first"), F.max("doc_id").alias("last_doc")], where=F.col("first.doc_id") < F.col("last_doc"))
     repeated = saved(shared.select("edge", *row, "at", "n_edges", F.col("first.doc_id").alias("first_doc"), F.col("first.row_key").alias("first_key"), F.col("first.at").alias("first_at")))
     span_lists = saved(compacted(repeated).groupBy(*row).agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
@@ -239,12 +240,12 @@ def without_repeats(docs: DataFrame, with_text: bool = False, id_col: str = "doc
     at_branches = repeated.select("edge", *row, "at").join(branches, "edge", "left_semi")
     branch_lists = at_branches.groupBy(*row).agg(F.collect_set("at").alias("branches"))
     concerned = saved(branch_lists.join(span_lists, row, "full"))
-    marked = texts.join(concerned.withColumn("marked", F.lit(True)).hint("shuffle_hash"), row, "left")
+    marked = texts.join(concerned.withColumn("marked", F.lit(True)).hint("shuffle_hash"), row, "left").unionByName(nameless, allowMissingColumns=True)
     first = saved(_first_cut(marked.withColumn("done", F.col("marked").isNull()), with_text))
     later = first.filter("text is not null")
     windows = saved(_windows(later))
-    owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other").select("h1", "h2", "owner")
-    hit = windows.join(owners, ["h1", "h2"]).filter("owner < doc_id").select(*row, F.col("at").alias("start"), (F.col("at") + WINDOW).alias("stop")).distinct()
+    owned = with_groups(windows, ["h1", "h2"], [F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")], where=F.col("owner") < F.col("other"))
+    hit = owned.filter("owner < doc_id").select(*row, F.col("at").alias("start"), (F.col("at") + WINDOW).alias("stop")).distinct()
     order = W.partitionBy(*row).orderBy("start")
     islands = hit.withColumn("new", F.coalesce(F.col("start") > F.lag("stop").over(order), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
     found = islands.groupBy(*row, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).groupBy(*row).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
