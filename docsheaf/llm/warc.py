@@ -3,7 +3,8 @@
 A payload travels as rows (record id, chunk number, bytes), never whole: the writer and the reader hold one chunk and
 the running digest of one record. Records with equal payloads are written once; the others become revisit records that
 name it. Archives are gzip files with one member per record, written to a shared folder through pyarrow's file systems;
-only files named by tasks that succeeded are read back.
+only files named by tasks that succeeded are read back. Files of failed attempts stay in the folder until whoever owns
+spark.checkpoint.dir clears it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -37,38 +39,55 @@ def base32_of_hex(hex_digest: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def payload_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "page_id", text_col: str = "html", uri_col: str = "url") -> DataFrame:
-    """Chunked record table of a text column: (record_id, digest, chunk_no, data, payload_bytes, uri); no payload has no row."""
+def _payloads(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    raw = pages.select(F.col(id_col).cast("string").alias("record_id"), F.col(uri_col).cast("string").alias("uri"), data.alias("payload"))
-    whole = raw.withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    last = F.floor((F.greatest(F.col("payload_bytes"), F.lit(1)) - 1) / chunk_bytes).cast("int")
-    rows = whole.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
-    return rows.select("record_id", "digest", "chunk_no", F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"), "payload_bytes", "uri")
+    return pages.select(F.col(id_col).cast("string").alias("record_id"), data.alias("payload")).withColumn("digest", F.sha1("payload"))
 
 
-def decisions(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
-    """(record_id, digest, copies, first, refers_to): of equal payloads of at least least_bytes the largest id answers.
+def payload_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "page_id", text_col: str = "html", known: DataFrame | None = None) -> DataFrame:
+    """Chunked record table of a text column: (record_id, digest, row_no, chunk_no, data); an empty payload has one empty chunk.
 
-    `copies` rows share the id and the payload; if `first`, one of them is the response. A null id answers only if all
-    are null.
+    row_no tells rows of equal id and payload apart. A payload is sliced within its row and only its slices go on, so no
+    row carries both a payload and a chunk number. Records in `known` (record_id, digest; a table to broadcast) have none.
+    """
+    whole = _payloads(pages, id_col, text_col)
+    if known is not None:
+        gone = F.broadcast(known.select(F.col("record_id").alias("known_id"), F.col("digest").alias("known_digest")))
+        whole = whole.join(gone, F.col("record_id").eqNullSafe(F.col("known_id")) & (F.col("digest") == F.col("known_digest")), "left_anti")
+    last = F.floor((F.greatest(F.octet_length("payload"), F.lit(1)) - 1) / chunk_bytes).cast("int")
+    slices = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring("payload", k * chunk_bytes + 1, F.lit(chunk_bytes)))
+    cut = whole.select("record_id", "digest", F.monotonically_increasing_id().alias("row_no"), slices.alias("slices"))
+    return cut.select("record_id", "digest", "row_no", F.posexplode("slices").alias("chunk_no", "data"))
+
+
+def decisions(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", text_col: str = "html", uri_col: str = "url") -> DataFrame:
+    """(record_id, digest, payload_bytes, copies, first, alone, refers_to, uri): of equal payloads of at least least_bytes
+    the largest id answers; smaller ones stand alone.
+
+    `copies` rows share the id and the payload, and `uri` is the least of theirs; if `first`, one of them is the response.
+    A null id answers only if all are null. The result is saved.
     """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = saved(pages.select(F.col(id_col).alias("id"), F.sha1(data).alias("digest"), F.octet_length(data).alias("n")).groupBy("id", "digest", "n").agg(F.count(F.lit(1)).alias("copies")))
+    heads = pages.select(F.col(id_col).alias("id"), F.sha1(data).alias("digest"), F.octet_length(data).cast("long").alias("n"), F.col(uri_col).cast("string").alias("uri"))
+    rows = saved(heads.groupBy("id", "digest", "n").agg(F.count(F.lit(1)).alias("copies"), F.min("uri").alias("uri")))
     grouped = with_groups(rows, ["digest"], [F.max("id").alias("keeper")])
     alone = F.col("n") < least_bytes
     first = alone | F.col("id").eqNullSafe(F.col("keeper"))
-    return grouped.select(F.col("id").cast("string").alias("record_id"), "digest", "copies", first.alias("first"), alone.alias("alone"), F.col("keeper").cast("string").alias("refers_to"))
+    return saved(grouped.select(F.col("id").cast("string").alias("record_id"), "digest", F.col("n").alias("payload_bytes"), "copies", first.alias("first"), alone.alias("alone"), F.col("keeper").cast("string").alias("refers_to"), "uri"))
+
+
+def _urn(record_id: str | None, number: int) -> str:
+    """A record's name: its id, escaped, or none, and a number among the records of that id."""
+    return f"<urn:record:none:{number}>" if record_id is None else f"<urn:record:id:{quote(record_id, safe='')}:{number}>"
 
 
 def _header(kind: str, record_id: str | None, uri: str | None, payload: int, digest: str, block: int, number: int, refers_to: str | None) -> bytes:
-    name = "null" if record_id is None else record_id
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{name}:{number}>", f"WARC-Date: {RECORD_DATE}", f"WARC-Target-URI: {(uri or '').translate({10: None, 13: None})}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(record_id, number)}", f"WARC-Date: {RECORD_DATE}", f"WARC-Target-URI: {(uri or '').translate({10: None, 13: None})}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {payload}", "Content-Type: application/http; msgtype=response", f"Content-Length: {block}",
     ]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:record:{'null' if refers_to is None else refers_to}:0>"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to, 0)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -101,57 +120,44 @@ class _Writer:
 def write_warc(chunks: DataFrame, decided: DataFrame, folder: str) -> DataFrame:
     """Writes the archives below folder; returns (file, records), saved, for the files of tasks that succeeded.
 
-    Chunks and decisions meet in one shuffle by record and are sorted, decision first, so a record streams by. Its
-    SHA-1 is carried along and must end at the announced digest.
+    Chunks and decisions meet in one shuffle by record and are sorted, the decision first, then row by row, so a record
+    streams by. Revisits need no chunk. A response's SHA-1 is carried along and must end at the announced digest. Where
+    rows share id and payload, the first row's chunks make the response; those of the others make responses of their
+    own if the payload stands alone, and are passed over if not.
     """
-    empty = {"digest": F.col("digest"), "chunk_no": F.lit(-1), "data": F.lit(b""), "payload_bytes": F.lit(0).cast("long"), "uri": F.lit(None).cast("string")}
-    heads = decided.select("record_id", *[c.alias(k) for k, c in empty.items()], "copies", "first", "alone", "refers_to")
-    blank = {"copies": "long", "first": "boolean", "alone": "boolean", "refers_to": "string"}
-    rows = chunks.select("record_id", *empty, *[F.lit(None).cast(t).alias(k) for k, t in blank.items()]).unionByName(heads)
+    blank = {"payload_bytes": "long", "copies": "long", "first": "boolean", "alone": "boolean", "refers_to": "string", "uri": "string"}
+    heads = decided.select("record_id", "digest", F.lit(-1).cast("long").alias("row_no"), F.lit(-1).alias("chunk_no"), F.lit(b"").alias("data"), *blank)
+    rows = chunks.select("record_id", "digest", "row_no", "chunk_no", "data", *[F.lit(None).cast(t).alias(k) for k, t in blank.items()]).unionByName(heads)
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "record_id").sortWithinPartitions("record_id", "digest", "chunk_no")
+    ordered = rows.repartition(n, "record_id", "digest").sortWithinPartitions("record_id", "digest", "row_no", "chunk_no")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, head, seen, running, sent = None, None, -1, None, 0
+        out, head, number, running, sent = None, None, 0, None, 0
         for batch in batches:
             for row in batch.to_pylist():
-                key = (row["record_id"], row["digest"])
-                if row["chunk_no"] == -1:
-                    head, seen = row, -1
-                    continue
-                assert head is not None and (head["record_id"], head["digest"]) == key
-                if row["chunk_no"] == seen:
-                    continue  # another copy of the row: written below as a revisit
-                if row["chunk_no"] == 0:
+                if row["row_no"] == -1:
+                    head, number, digest = row, 0, base64.b32encode(bytes.fromhex(row["digest"])).decode()
                     out = out or _Writer(folder)
-                    total, digest, responses = row["payload_bytes"], base64.b32encode(bytes.fromhex(row["digest"])).decode(), 0
-                    copies = head["copies"]
-                    responses = copies if head["alone"] else int(head["first"])
-                    for number in range(responses, copies):
-                        out.begin(_header("revisit", row["record_id"], row["uri"], total, digest, 0, number, head["refers_to"]))
+                    for k in range(row["copies"] if row["alone"] else int(row["first"]), row["copies"]):
+                        out.begin(_header("revisit", row["record_id"], row["uri"], row["payload_bytes"], digest, 0, k, row["refers_to"]))
                         out.end()
+                    continue
+                assert head is not None and (head["record_id"], head["digest"]) == (row["record_id"], row["digest"])
+                if not head["alone"] and (number or not head["first"]):
+                    continue  # a revisit, or another row of the record that has been written
+                if row["chunk_no"] == 0:
+                    http = _http(head["payload_bytes"])
+                    out.begin(_header("response", row["record_id"], head["uri"], head["payload_bytes"], digest, len(http) + head["payload_bytes"], number, None))
+                    out.put(http)
                     running, sent = hashlib.sha1(), 0
-                    if responses:
-                        http = _http(total)
-                        out.begin(_header("response", row["record_id"], row["uri"], total, digest, len(http) + total, 0, None))
-                        out.put(http)
-                seen = row["chunk_no"]
                 running.update(row["data"])
                 sent += len(row["data"])
-                if responses:
-                    out.put(row["data"])
-                if sent == total:
+                out.put(row["data"])
+                if sent == head["payload_bytes"]:
                     if base32_sha1(running) != digest:
                         raise ValueError(f"record {row['record_id']}: the chunks do not add up to {digest}")
-                    if responses:
-                        out.end()
-                    for number in range(1, responses):  # small payloads of repeated rows
-                        if total > CHUNK_BYTES:
-                            raise ValueError("repeated records without revisit must fit one chunk")
-                        http = _http(total)
-                        out.begin(_header("response", row["record_id"], row["uri"], total, digest, len(http) + total, number, None))
-                        out.put(http + row["data"])
-                        out.end()
+                    out.end()
+                    number += 1
         if out:
             out.out.close()
             yield pa.RecordBatch.from_pydict({"file": [out.name], "records": [out.records]})
@@ -206,13 +212,13 @@ def _fields(stream: _Stream) -> dict[str, str] | None:
     fields = {"": first.decode()}
     while line := stream.line():
         name, _, value = line.decode().partition(":")
-        fields[name.lower()] = value.strip()
+        fields[name.lower()] = value.removeprefix(" ")
     return fields
 
 
 def _id(urn: str | None) -> str | None:
-    name = urn.removeprefix("<urn:record:").rpartition(":")[0] if urn else None
-    return None if name == "null" else name
+    kind, _, rest = urn.removeprefix("<urn:record:").partition(":") if urn else ("none", "", "")
+    return None if kind == "none" else unquote(rest.rpartition(":")[0])
 
 
 def _records(stream: _Stream, chunk_bytes: int) -> Iterator[dict]:
@@ -274,19 +280,27 @@ def _batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _TYPES[kinds[n]]) for n in names], names=names)
 
 
+#: Revisits are kept out of the chunked table by a broadcast of up to so many of their names (some 100 bytes each).
+#: Beyond, their chunks travel too, and the writer passes them over.
+BROADCAST_REVISITS = 500_000
+
+
 def archive_pages(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", text_col: str = "html", uri_col: str = "url", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Writes a record for every row of pages, reads the archives back and returns one row per record.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, uri. Null payloads count as empty. Repeated
-    rows are one response and revisits of it; a row with a null id answers only where all equal payloads have none. An
-    empty table writes nothing and gives no rows; other columns are ignored.
+    rows are one response and revisits of it; a row with a null id answers only where all equal payloads have none. Line
+    feeds and carriage returns are left out of URIs, a null one is empty, and rows of equal id and payload get the least
+    of theirs. An empty table writes nothing and gives no rows; other columns are ignored, whatever their names.
     """
     kind = pages.select(id_col).schema[0].dataType
     folder = work_dir(pages.sparkSession)
     if "://" not in folder:
         folder = f"file://{folder}" if folder.startswith("/") else folder.replace("file:/", "file:///", 1)
-    chunks = payload_chunks(pages, chunk_bytes, id_col, text_col, uri_col)
-    files = write_warc(chunks, decisions(pages, least_bytes, id_col, text_col), folder)
+    decided = decisions(pages, least_bytes, id_col, text_col, uri_col)
+    revisits = decided.filter("not first").select("record_id", "digest")
+    chunks = payload_chunks(pages, chunk_bytes, id_col, text_col, revisits if revisits.count() <= BROADCAST_REVISITS else None)
+    files = write_warc(chunks, decided, folder)
     rows = read_warc(files, folder, chunk_bytes).filter("is_last")
     return rows.select(
         F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).cast(kind).alias("refers_to"), "uri"
