@@ -11,8 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
-from re import _constants as C
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +46,13 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, tail=PEM_TAIL),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}", 0, 26),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 39),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 24),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", 0, 1),
+    Rule("npm", r"npm_[A-Za-z0-9]{36,}", 0, 40),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", 0, 1),
+    Rule("login", r"://[A-Za-z0-9._~%+-]{1,64}:[^\x20\x09-\x0D/@:]{3,128}@", 0, 1),
 )
 MASK = "[SECRET]"
 
@@ -55,6 +60,10 @@ Query = frozenset[frozenset[str]]
 ANY: Query = frozenset([frozenset()])
 #: A set of exact strings is kept up to this size; beyond it, its trigrams stand for it.
 EXACT_STRINGS = 64
+#: A character class up to this size is read as its letters, a larger one as any character.
+CLASS_LETTERS = 6
+#: Candidates, and the texts with spans, are broadcast up to this size, and shuffled beyond.
+BROADCAST_BYTES = 64_000_000
 
 
 def _absorbed(clauses) -> Query:
@@ -74,64 +83,148 @@ def _of_strings(strings: frozenset[str]) -> Query:
     return _absorbed(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings)
 
 
-def _read(node) -> tuple[frozenset[str] | None, Query]:
-    """(the exact lower-case strings a node can match, if few; what every match must hold)."""
-    op, arg = node
-    if op is C.LITERAL:
-        return frozenset([chr(arg).lower()]), ANY
-    if op is C.IN and len(arg) <= 6 and all(k is C.LITERAL for k, _ in arg):
-        return frozenset(chr(v).lower() for _, v in arg), ANY
-    if op is C.SUBPATTERN:
-        return _read_all(arg[3])
-    if op is C.BRANCH:
-        found = [_read_all(x) for x in arg[1]]
-        if all(e is not None for e, _ in found):
-            return frozenset().union(*(e for e, _ in found)), ANY
-        return None, _absorbed(c for e, q in found for c in (_of_strings(e) if e is not None else q))
-    if op in (C.MAX_REPEAT, C.MIN_REPEAT):
-        least, most, sub = arg
-        exact, query = _read_all(sub)
-        if exact is not None and (least, most) == (0, 1):
-            return exact | {""}, ANY
-        if least >= 1:
-            return None, _of_strings(exact) if exact is not None else query
-    return None, ANY
-
-
-def _read_all(nodes) -> tuple[frozenset[str] | None, Query]:
+#: What a part of a regex tells: the exact lower-case strings it can match, if they are few, and what every match must hold.
+Part = tuple[frozenset[str] | None, Query]
+ONE_OF_MANY: Part = (None, ANY)
+NOTHING: Part = (frozenset([""]), ANY)
+
+
+def _in_a_row(parts: list[Part]) -> Part:
     exact, query, whole = frozenset([""]), ANY, True
-    for node in nodes:
-        e, q = _read(node)
+    for e, q in parts:
         if e is not None and len(exact) * len(e) <= EXACT_STRINGS:
             exact = frozenset(a + b for a, b in product(exact, e))
             continue
         whole = False
-        query = _all_of(query, _of_strings(exact))
+        query = _all_of(_all_of(query, _of_strings(exact)), q)
         exact = e if e is not None else frozenset([""])
-        query = _all_of(query, q)
     return (exact, ANY) if whole else (None, _all_of(query, _of_strings(exact)))
 
 
+def _either(parts: list[Part]) -> Part:
+    if len(parts) == 1:
+        return parts[0]
+    if all(e is not None for e, _ in parts):
+        return frozenset().union(*(e for e, _ in parts)), ANY
+    return None, _absorbed(c for e, q in parts for c in (_of_strings(e) if e is not None else q))
+
+
+def _repeated(part: Part, least: int, most: int | None) -> Part:
+    exact, query = part
+    if (least, most) == (1, 1):
+        return part
+    if exact is not None and (least, most) == (0, 1):
+        return exact | {""}, ANY
+    if least >= 1:
+        return None, _of_strings(exact) if exact is not None else query
+    return ONE_OF_MANY
+
+
+class _Reader:
+    """Reads a regex (literals, escapes, classes, groups, look-arounds, alternatives, repeats) for its trigrams."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+
+    def _next(self, text: str) -> bool:
+        if self.pattern.startswith(text, self.at):
+            self.at += len(text)
+            return True
+        return False
+
+    def _escaped(self) -> str | None:
+        """The character behind a backslash; None for a class such as \\d or a place such as \\b."""
+        c = self.pattern[self.at]
+        self.at += 1
+        if c == "x":
+            self.at += 2
+            return chr(int(self.pattern[self.at - 2 : self.at], 16))
+        return {"n": "\n", "t": "\t", "r": "\r"}.get(c) or (None if c.isalnum() else c)
+
+    def _letter(self) -> str | None:
+        if self._next("\\"):
+            return self._escaped()
+        self.at += 1
+        return self.pattern[self.at - 1]
+
+    def _class(self) -> Part:
+        letters, many = set(), self._next("^")
+        while not self._next("]"):
+            first = last = self._letter()
+            if self.pattern[self.at] == "-" and self.pattern[self.at + 1] != "]":
+                self.at += 1
+                last = self._letter()
+            if first is None or last is None:
+                many = True
+            else:
+                letters |= {chr(k) for k in range(ord(first), ord(last) + 1)}
+        return ONE_OF_MANY if many or len(letters) > CLASS_LETTERS else (frozenset(c.lower() for c in letters), ANY)
+
+    def _group(self) -> Part:
+        aside = any(self._next(x) for x in ("?=", "?!", "?<=", "?<!"))
+        if not aside and self._next("?"):
+            self.at = self.pattern.index(":", self.at) + 1  # (?: or (?i:
+        inner = self.read()
+        self.at += 1
+        return NOTHING if aside else inner
+
+    def _one(self) -> Part:
+        if self._next("("):
+            return self._group()
+        if self._next("["):
+            return self._class()
+        plain = self.pattern[self.at] != "\\"
+        c = self._letter()
+        if plain and c in "^$":
+            return NOTHING
+        return ONE_OF_MANY if c is None or plain and c == "." else (frozenset([c.lower()]), ANY)
+
+    def _bounds(self) -> tuple[int, int | None]:
+        bounds = {"?": (0, 1), "*": (0, None), "+": (1, None)}
+        for mark, found in bounds.items():
+            if self._next(mark):
+                break
+        else:
+            if not self._next("{"):
+                return 1, 1
+            end = self.pattern.index("}", self.at)
+            low, comma, high = self.pattern[self.at : end].partition(",")
+            self.at, found = end + 1, (int(low), int(high) if high else None if comma else int(low))
+        _ = self._next("?") or self._next("+")  # lazy or possessive: matches hold the same
+        return found
+
+    def read(self) -> Part:
+        choices, row = [], []
+        while self.at < len(self.pattern) and self.pattern[self.at] != ")":
+            if self._next("|"):
+                choices.append(_in_a_row(row))
+                row = []
+            else:
+                part = self._one()
+                row.append(_repeated(part, *self._bounds()))
+        return _either([*choices, _in_a_row(row)])
+
+
 def trigram_query(pattern: str) -> Query:
     """Alternatives of mandatory lower-case trigrams; ANY if the pattern has none."""
-    exact, query = _read_all(_parser.parse(pattern))
+    exact, query = _Reader(pattern).read()
     return _of_strings(exact) if exact is not None else query
 
 
 def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, doc_id) of the given trigrams over lower-cased texts."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    """Postings (trigram, doc_id, row_key) of the given trigrams over lower-cased texts."""
+    low = docs.select("doc_id", "row_key", F.lower("text").alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return low.select("doc_id", F.explode(present).alias("trigram")).select("trigram", "doc_id")
+    return low.select(F.explode(present).alias("trigram"), "doc_id", "row_key")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """(doc_id, rules): the rules whose query the document's postings satisfy."""
-    held = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
+    """(doc_id, row_key, rules): the rules whose query the document's postings satisfy."""
+    held = index.groupBy("doc_id", "row_key").agg(F.collect_set("trigram").alias("held"))
     clause = lambda c: F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(c))))) == len(c)
     holds = lambda q: reduce(lambda a, b: a | b, map(clause, sorted(q, key=sorted)))
     rules = F.array_compact(F.array(*[F.when(holds(q), F.lit(k)) for k, q in queries.items()]))
-    return held.select("doc_id", rules.alias("rules")).filter(F.size("rules") > 0)
+    return held.select("doc_id", "row_key", rules.alias("rules")).filter(F.size("rules") > 0)
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -153,19 +246,46 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
-def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds `spans` to (doc_id, text, ...): what each rule finds in each whole text, by start and then rule order."""
-    queries = {r.kind: q for r in rules if ANY != (q := trigram_query(r.pattern))}
-    none = F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")
+SPANS = "array<struct<s:int,o:int,e:int,kind:string>>"
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(doc_id, row_key, text, more): a row is known by its id and a hash of its text, so rows without an id are apart."""
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"), *more)
+
+
+def _meet(rows: DataFrame, found: DataFrame, how: str, bytes_each: int) -> DataFrame:
+    """rows joined with a saved table on (doc_id, row_key), broadcast if it is small."""
+    known = found.withColumnsRenamed({"doc_id": "found_id", "row_key": "found_key"})
+    known = F.broadcast(known) if found.count() * bytes_each <= BROADCAST_BYTES else known.hint("shuffle_hash")
+    return rows.join(known, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("row_key") == F.col("found_key")), how).drop("found_id", "found_key")
+
+
+def _indexed_spans(keyed: DataFrame, rules: tuple[Rule, ...], queries: dict[str, Query]) -> DataFrame:
+    """(doc_id, row_key, found), saved: the spans by rules with trigrams, of the texts that have any.
+
+    Only texts whose postings satisfy a rule's query are read again and searched, each with those rules alone.
+    """
     trigrams = sorted({t for q in queries.values() for c in q for t in c})
-    index = saved(trigram_index(docs, trigrams))
-    named = candidates(index, queries).withColumnRenamed("doc_id", "candidate_id")
-    joined = docs.join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("candidate_id")), "left")
-    found = []
-    for order, rule in enumerate(rules):
-        wanted = F.array_contains("rules", rule.kind) if rule.kind in queries else F.col("text").rlike(rule.pattern)
-        found.append(F.when(wanted, _spans(F.col("text"), rule, order)).otherwise(none))
-    return joined.select(*[F.col(c) for c in docs.columns], F.sort_array(F.concat(*found)).alias("spans"))
+    named = saved(candidates(saved(trigram_index(keyed, trigrams)), queries))
+    searched = _meet(keyed.select("doc_id", "row_key", "text"), named, "inner", 200)
+    spans = [F.when(F.array_contains("rules", r.kind), _spans(F.col("text"), r, k)).otherwise(F.array().cast(SPANS)) for k, r in enumerate(rules) if r.kind in queries]
+    found = searched.select("doc_id", "row_key", F.concat(*spans).alias("found")).filter(F.size("found") > 0)
+    return saved(found.dropDuplicates(["doc_id", "row_key"]))
+
+
+def _with_spans(keyed: DataFrame, rules: tuple[Rule, ...], keep: list[str]) -> DataFrame:
+    """(doc_id, keep, spans): what each rule finds in each whole text, by start and then rule order.
+
+    Rules without trigrams search every text where it is scanned; a text goes on only if it is among `keep`.
+    """
+    queries = {r.kind: q for r in rules if ANY != (q := trigram_query(r.pattern))}
+    none = F.array().cast(SPANS)
+    own = [F.when(F.col("text").rlike(r.pattern), _spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules) if r.kind not in queries]
+    rows = keyed.select("doc_id", "row_key", *keep, F.concat(none, *own).alias("own"))
+    joined = _meet(rows, _indexed_spans(keyed, rules, queries), "left", 400)
+    return joined.select("doc_id", *keep, F.sort_array(F.concat("own", F.coalesce("found", none))).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -178,9 +298,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     Null and empty texts have no spans. Repeated rows, also of a null id, are each scanned; an empty table gives no
     rows; other columns are ignored whatever their names.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     base = [r.kind for r in rules if r.base]
-    rows = with_spans(plain, rules).withColumn("base", F.filter("spans", lambda x: x["kind"].isin(base)))
+    rows = _with_spans(_keyed(docs, id_col, text_col), rules, []).withColumn("base", F.filter("spans", lambda x: x["kind"].isin(base)))
     of_kind = lambda kind: F.filter("base", lambda x: x["kind"] == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
     return rows.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
@@ -199,10 +318,13 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every secret replaced by MASK; all other columns, null texts and rows without secrets stay as they are."""
+    """docs with every secret replaced by MASK; all other columns, null texts and rows without secrets stay as they are.
+
+    Repeated rows, also of a null id, are each masked; an empty table stays empty; column names may be any.
+    """
     others = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.col(text_col).isNull().alias("none"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in others]).alias("row"))
-    rows = with_spans(packed, rules)
+    keyed = _keyed(docs, id_col, text_col, F.col(text_col).isNull().alias("none"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in others]).alias("row"))
+    rows = _with_spans(keyed, rules, ["text", "none", "row"])
     new = F.when(~F.col("none"), redacted(F.col("text"), F.col("spans")))
     return rows.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
