@@ -7,8 +7,12 @@ share a sketch are candidates; a banded alignment of their shingles decides. Sim
 common subsequence over the length of the union, at least 0.8 for a link; classes are the connected components.
 
 Equal texts are one representative from the start. Candidates aren't expanded into all pairs: in each bucket all members
-are compared with the first one, the links are joined to components, and only members outside the bucket's largest component are then
-compared with the others, in blocks, so no link between two components is lost.
+are compared with the first one, the links are joined to components, and only members outside the bucket's largest
+component are then compared with the others, so no link between two components is lost.
+
+Where a bucket has many such members (texts around one boilerplate passage, most of them not similar enough), its texts
+are split once more, without loss: two texts of similarity s or more share one of the n - ceil(s n) + 1 rarest labelled
+shingles of either, n being its number of shingles. Only texts that share such a rare shingle are then compared.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docsheaf.llm.common import saved, text_of, with_groups
+from docsheaf.llm.common import joined_groups, saved, with_groups
 from docsheaf.llm.substrings import _BASES, _mix, rolling, word_hashes
 
 SHINGLE = 5
@@ -33,6 +38,9 @@ SKETCHES = 14
 #: Members that stream past one set of queries in a row, and queries in such a set.
 BLOCK = 1024
 QUERIES = 512
+#: Where a bucket has more sets of queries than this, its texts are split by rare shingles: below, sending a text once to
+#: each set costs less than writing down all its shingles.
+SETS = 32
 PART = 1 << 16
 _WORD = re.compile(r"\w+")
 
@@ -42,9 +50,8 @@ def words_of(text: str) -> list[bytes]:
     return [w.encode() for w in _WORD.findall(text.lower())]
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles(words: list[bytes]) -> np.ndarray:
     """Hashes of the 5-word shingles in order; a shorter text is one shingle, one without words none."""
-    words = words_of(text)
     if not words:
         return np.zeros(0, dtype=np.uint64)
     return rolling(word_hashes(words), min(SHINGLE, len(words)), _BASES[0])
@@ -161,8 +168,9 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                     n.append(0)
                     found.append([])
                     continue
-                hashes = shingles(text)
-                body.append(hashlib.blake2b(b" ".join(words_of(text)), digest_size=16).hexdigest())
+                words = words_of(text)
+                hashes = shingles(words)
+                body.append(hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest())
                 n.append(len(hashes))
                 found.append(sketches(hashes).view(np.int64) if len(hashes) else [])
             columns = [pa.array(body, pa.string()), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
@@ -171,13 +179,24 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "row_key", "text").mapInArrow(read, "doc_id long, row_key long, body string, n int, sketches array<long>")
 
 
-def _verified(tasks: DataFrame, texts: DataFrame) -> DataFrame:
+def shingle_table(texts: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the shingle hashes in order, 8 bytes each. texts: doc_id, text."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(words_of(text)).tobytes() for text in map(pa.StringScalar.as_py, batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+
+    return texts.select("doc_id", "text").mapInArrow(read, "doc_id long, shingles binary")
+
+
+def _verified(tasks: DataFrame, table: DataFrame) -> DataFrame:
     """tasks: (task, part, doc_id, role), role 0 a query, 1 a member, 2 a member that is also a query -> links (a, b), a < b.
 
-    The texts of a task arrive in order, queries first; members stream past them. A query and a member that this task
+    The shingles of a task arrive in order, queries first; members stream past them. A query and a member that this task
     has already joined through others aren't compared again, nor are two queries twice.
     """
-    rows = tasks.join(texts.withColumnRenamed("doc_id", "text_id").hint("shuffle_hash"), F.col("doc_id") == F.col("text_id")).select("task", "part", "role", "doc_id", "text")
+    rows = tasks.join(table.withColumnRenamed("doc_id", "text_id").hint("shuffle_hash"), F.col("doc_id") == F.col("text_id")).select("task", "part", "role", "doc_id", "shingles")
     n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(n, "task", "part").sortWithinPartitions("task", "part", "role", "doc_id")
 
@@ -194,7 +213,7 @@ def _verified(tasks: DataFrame, texts: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 if (row["task"], row["part"]) != key:
                     key, held, parent = (row["task"], row["part"]), [], {}
-                own = shingles(row["text"])
+                own = np.frombuffer(row["shingles"], np.uint64)
                 mine = (row["doc_id"], own, np.sort(labelled(own)))
                 if row["role"] == 0:
                     held.append(mine)
@@ -227,17 +246,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("doc_id", "comp")
 
 
-def _left_over(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """Tasks that compare, in each bucket, the members outside its largest component with all others.
-
-    The first member has been compared with everyone, so it takes no part.
-    """
-    own = saved(shared.filter("doc_id <> pivot").join(comps, "doc_id", "left").withColumn("own", F.coalesce("comp", "doc_id")).drop("comp"))
+def _outside(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows (bucket, doc_id), saved, with outside: whether a member is outside the bucket's largest component; with
+    members and queries, the bucket's numbers of all and of those outside. Buckets of one component are left out."""
+    own = saved(rows.join(comps, "doc_id", "left").select("bucket", "doc_id", F.coalesce("comp", "doc_id").alias("own")))
     counted = own.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("bucket").agg(F.max(F.struct("n", "own")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    rows = own.join(largest.select("bucket", F.col("top.own").alias("main")), "bucket").withColumn("outside", F.col("own") != F.col("main"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("outside").cast("long")).alias("queries"))
-    sized = saved(rows.select("bucket", "doc_id", "outside").join(sizes, "bucket"))
+    top = counted.groupBy("bucket").agg(F.max(F.struct("n", "own")).alias("top"), F.sum("n").alias("group_rows"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    placed = joined_groups(own, saved(top.select("bucket", "top", "group_rows")), ["bucket"], own.count())
+    return saved(placed.select("bucket", "doc_id", (F.col("own") != F.col("top.own")).alias("outside"), F.col("group_rows").alias("members"), (F.col("group_rows") - F.col("top.n")).alias("queries")))
+
+
+def _tasks(sized: DataFrame) -> DataFrame:
+    """Tasks that compare the members outside the largest component with all members, in blocks of both."""
     q_parts, m_parts = F.ceil(F.col("queries") / QUERIES).cast("long"), F.ceil(F.col("members") / BLOCK).cast("long")
     spread = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
     queries = sized.filter("outside").select("bucket", "doc_id", F.pmod(F.xxhash64("doc_id"), q_parts).alias("q"), spread(m_parts).alias("m"), F.lit(0).alias("role"))
@@ -245,23 +265,37 @@ def _left_over(shared: DataFrame, comps: DataFrame) -> DataFrame:
     return queries.unionByName(members).select(F.col("bucket").alias("task"), F.xxhash64("q", "m").alias("part"), "doc_id", "role")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id), one row for each id: class_id is the least id of the near-duplicate class.
+def rare_buckets(table: DataFrame) -> DataFrame:
+    """(bucket, doc_id): each text under its rarest labelled shingles, enough of them that two texts of similarity
+    SIMILARITY or more share one. Shingles of one text alone are left out. table: doc_id, shingles."""
 
-    Texts with the same words are always in one class, so are texts without words; every null text is a class of its
-    own. Of rows that repeat an id the one with the least text hash counts. Rows without an id are in no class and give
-    no row; an empty table gives none. Other columns are ignored.
-    """
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("shingles"), strict=True):
+                marks = labelled(np.frombuffer(found.as_buffer(), np.uint64)).view(np.int64)
+                for at in range(0, len(marks), PART):
+                    part = marks[at : at + PART]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(part), pa.array(np.full(len(part), len(marks), dtype=np.int32))], names=["doc_id", "bucket", "n"])
+
+    marks = saved(table.mapInArrow(spell, "doc_id long, bucket long, n int"))
+    rarest = F.row_number().over(W.partitionBy("doc_id").orderBy("group_rows", "bucket"))
+    needed = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
+    return with_groups(marks, ["bucket"], []).withColumn("place", rarest).filter((F.col("place") <= needed) & (F.col("group_rows") > 1)).select("bucket", "doc_id")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class_id), see classes(), and (doc_id, row_key, id_rows): the hash of the text that counts for an id, and
+    the number of rows with that id."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    read = sketch_table(named).groupBy("doc_id").agg(F.min(F.struct("row_key", "body", "n", "sketches")).alias("x"))
-    table = saved(read.select("doc_id", "x.*"))
+    read = sketch_table(named).groupBy("doc_id").agg(F.min(F.struct("row_key", "body", "n", "sketches")).alias("x"), F.count(F.lit(1)).alias("id_rows"))
+    table = saved(read.select("doc_id", "id_rows", "x.*"))
     nulls = table.filter("body is null").select("doc_id", F.col("doc_id").alias("rep"))
     represented = saved(with_groups(table.filter("body is not null").select("doc_id", "body"), ["body"], [F.min("doc_id").alias("rep")]).select("doc_id", "rep"))
     reps = table.filter("n > 0").join(represented.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     buckets = reps.select("doc_id", F.posexplode("sketches").alias("k", "sketch")).select("doc_id", F.xxhash64("k", "sketch").alias("bucket"))
     shared = saved(with_groups(saved(buckets), ["bucket"], [F.min("doc_id").alias("pivot")], where=F.col("group_rows") > 1).drop("group_rows"))
     wanted = table.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "row_key")
-    texts = saved(named.join(wanted.hint("shuffle_hash"), ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    texts = saved(shingle_table(named.join(wanted.hint("shuffle_hash"), ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id"])))
 
     pairs = saved(shared.filter("doc_id <> pivot").select("pivot", "doc_id").distinct())
     parts = F.ceil(F.col("group_rows") / BLOCK).cast("long")
@@ -270,20 +304,44 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     queries = pivots.select(F.col("pivot").alias("task"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("pivot").alias("doc_id"), F.lit(0).alias("role"))
     links = saved(_verified(members.unionByName(queries), texts))
     comps = components(links)
-    more = saved(_verified(_left_over(shared, comps), texts))
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
 
-    placed = represented.unionByName(nulls).join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    return placed.select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
+    # The first member has been compared with everyone in its bucket, so it takes no part.
+    sized = _outside(shared.filter("doc_id <> pivot").select("bucket", "doc_id"), comps)
+    many = F.col("queries") > SETS * QUERIES
+    found = [saved(_verified(_tasks(sized.filter(~many)), texts))]
+    split = saved(texts.join(sized.filter(many).select("doc_id").distinct(), "doc_id", "left_semi"))
+    if not split.isEmpty():
+        found.append(saved(_verified(_tasks(_outside(rare_buckets(split), comps)), texts)))
+    for more in found:
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comps = None
+    comps = comps or components(links)
+
+    placed = represented.unionByName(nulls).join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
+    return placed, table.select("doc_id", "row_key", "id_rows")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id), one row for each id: class_id is the least id of the near-duplicate class.
+
+    Texts with the same words are always in one class, so are texts without words; every null text is a class of its
+    own. Of rows that repeat an id the one with the least text hash counts. Rows without an id are in no class and give
+    no row; an empty table gives none. Other columns are ignored, whatever their names.
+    """
+    return _classed(docs, id_col, text_col)[0]
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate class, that of the least id; all columns stay.
+    """docs with one row of each near-duplicate class, that of the least id; all columns stay, whatever their names.
 
-    Rows that repeat an id are one document. Rows without an id are in no class and stay.
+    Rows that repeat an id are one document: the row whose text was classed stays, of several such rows that with the
+    least hash over all columns. Rows without an id are in no class and stay. An empty table stays empty.
     """
-    firsts = saved(classes(docs, id_col, text_col).filter("doc_id = class_id").select(F.col("doc_id").alias("__first_id"), F.lit(True).alias("__first")))
-    named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(firsts, named[id_col].cast("long") == firsts["__first_id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    classed, rows = _classed(docs, id_col, text_col)
+    firsts = saved(classed.filter("doc_id = class_id").select("doc_id").join(rows, "doc_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"))
+    kept = rows.join(firsts, ["doc_id", "row_key"])
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("row"), F.xxhash64(F.lit(1), "row")))
+    repeated = kept.filter("id_rows > 1").withColumn("place", place).filter("place = 1")
+    return kept.filter("id_rows = 1").select("row.*").unionByName(repeated.select("row.*")).unionByName(rows.filter("doc_id is null").select("row.*"))
