@@ -2,8 +2,8 @@
 
 Every language has a codeword of +1 and -1. For each bit a binary naive-Bayes classifier over hashed character trigrams
 tells the languages with +1 from those with -1; its margins are decoded to the language whose codeword has the least
-weighted logistic loss. The weights are each bit's accuracy for each language on the training sample. Texts whose two
-best languages are close are flagged as ambiguous.
+weighted logistic loss. The weights are each bit's accuracy for each language on a quarter of the sample that the bits
+weren't fitted to. Texts whose two best languages are close are flagged as ambiguous.
 """
 
 from __future__ import annotations
@@ -18,9 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsheaf.llm.common import saved
+
 BUCKETS = 1 << 14
 #: About so many documents of each language are drawn for training, by a hash of their id.
 SAMPLE_PER_LANG = 4000
+#: So many languages are learned at most, those with most documents: the model on the driver and in every worker has one
+#: row of BUCKETS numbers for each. Labels beyond are spelling mistakes rather than languages.
+MAX_LANGS = 500
+#: Languages with fewer documents than this have their bits weighed on the documents they were fitted to.
+HOLD_OUT_FROM = 100
 SMOOTHING = 0.5
 AMBIGUOUS_GAP = 0.2
 UNKNOWN = "und"
@@ -81,20 +88,26 @@ class Model:
         return self.langs[best], float(p[best]), float(p[best]) - second < AMBIGUOUS_GAP
 
 
-def _labelled(docs: DataFrame, per_lang: int) -> DataFrame:
-    """About per_lang documents of each language (all where there are fewer): those with the least hashes."""
+def labelled_sample(docs: DataFrame, per_lang: int, max_langs: int = MAX_LANGS) -> DataFrame | None:
+    """(text, lang, fits, weighs): about per_lang documents of each language (all where there are fewer), those with the
+    least hashes; whether the bits are fitted to them and weighed on them. Saved; None if there is no language."""
     train = docs.filter((F.col("fold") != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    counted = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}  # max_langs rows
     if not sizes:
-        return train.limit(0)
-    rates = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 11) / F.lit(float(1 << 53))
-    return train.filter(draw <= F.element_at(rates, F.col("lang")))
+        return None
+    known = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.struct(F.lit(min(1.0, per_lang / n)).alias("rate"), F.lit(n < HOLD_OUT_FROM).alias("few")))])
+    of_lang = train.withColumn("own", F.element_at(known, F.col("lang")))
+    draw = lambda seed: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    drawn = of_lang.filter(draw(11) <= F.col("own.rate")).withColumn("held", draw(12) < 0.25)
+    return saved(drawn.select("text", "lang", (~F.col("held") | F.col("own.few")).alias("fits"), (F.col("held") | F.col("own.few")).alias("weighs")))
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
     """docs: doc_id, fold, text, lang. None if no row can be learned from."""
-    sample = _labelled(docs, per_lang)
+    sample = labelled_sample(docs, per_lang)
+    if sample is None:
+        return None
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -108,7 +121,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": own[at]})
 
-    counts = sample.select("text", "lang").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
+    counts = sample.filter("fits").select("text", "lang").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     if counts.empty:
         return None
     langs = sorted(counts["lang"].unique())
@@ -124,14 +137,14 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
         m, right = shared.value, {}
         for frame in frames:
             for text, lang in zip(frame["text"], frame["lang"], strict=True):
-                if has_letter(text):
+                if has_letter(text) and lang in m.langs:
                     own = right.setdefault(lang, np.zeros(m.codes.shape[1] + 1))
                     own[:-1] += np.sign(m.margins(text)) == m.codes[m.langs.index(lang)]
                     own[-1] += 1
         for lang, own in right.items():
             yield pd.DataFrame({"lang": lang, "bit": np.arange(len(own), dtype=np.int32), "n": own})
 
-    rated = sample.select("text", "lang").mapInPandas(rate, "lang string, bit int, n double").groupBy("lang", "bit").agg(F.sum("n").alias("n")).toPandas()  # bits x languages rows
+    rated = sample.filter("weighs").select("text", "lang").mapInPandas(rate, "lang string, bit int, n double").groupBy("lang", "bit").agg(F.sum("n").alias("n")).toPandas()  # bits x languages rows
     for lang, own in rated.groupby("lang"):
         n = own.set_index("bit")["n"].sort_index().to_numpy()
         accuracy = (n[:-1] + 1) / (n[-1] + 2)
@@ -144,7 +157,7 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Texts that are null or have no letter are `und` with score 0; so is every text if no row can be learned from. Rows
     with a null id are predicted but not learned from. Repeated rows are predicted each; an empty table gives no rows;
-    other columns are ignored.
+    other columns are ignored, whatever their names.
     """
     ids = docs.select(id_col).schema[0].dataType.simpleString()
     fold = F.crc32(F.col(id_col).cast("string")) % 4

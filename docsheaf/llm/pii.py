@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEMO_KEY = b"docsheaf demonstration key"
 
 
 def permute(x: int, size: int, key: bytes, kind: str) -> int:
@@ -111,10 +110,11 @@ def _iban_rest(text: str) -> int:
 
 def _iban(text: str, key: bytes) -> str | None:
     """Of the longest valid start of text that ends with a group: a match with separators can run on into what follows.
-    With separators at least half of the characters are digits, or capital words would pass by chance."""
+    With separators or small letters at least half of the characters are digits, or words would pass by chance. Small
+    and capital letters are the same value."""
     for end in [len(text), *reversed([m.start() for m in re.finditer(r"[ -]", text)])]:
         plain = re.sub(r"[ -]", "", text[:end])
-        if len(plain) >= 15 and (len(plain) == end or 2 * sum(map(str.isdigit, plain)) >= len(plain)) and _iban_rest(plain) == 1:
+        if len(plain) >= 15 and (len(plain) == end and plain == plain.upper() or 2 * sum(map(str.isdigit, plain)) >= len(plain)) and _iban_rest(plain) == 1:
             body = _mixed(plain[4:], key, "iban")
             return _refill(text[:end], f"{plain[:2]}{98 - _iban_rest(plain[:2] + '00' + body):02d}{body}")
     return None
@@ -152,7 +152,7 @@ def _date(text: str, key: bytes) -> str | None:
 #: kind, pattern, pseudonym or None if the value isn't valid. The first pattern that matches at a place is tried.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
-    ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?=[A-Z0-9]*(?P<gap0>[ -]))(?:(?P=gap0)?[A-Z0-9]){11,30})(?!\w)", _iban),
+    ("iban", r"(?<!\w)[A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9]{11,30}|(?=[A-Za-z0-9]*(?P<gap0>[ -]))(?:(?P=gap0)?[A-Za-z0-9]){11,30})(?!\w)", _iban),
     ("date", r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-])", _date),
     ("ipv4", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])", _ipv4),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
@@ -162,7 +162,7 @@ KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS))
 _MAKE = {k: f for k, _, f in KINDS}
 #: No value of any kind has fewer than this in a row; texts without it and without "@" are passed on at once.
-_HINT = re.compile(r"[0-9][0-9() ./-]{4,}[0-9]|[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11}")
+_HINT = re.compile(r"[0-9][0-9() ./-]{4,}[0-9]|[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11}")
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
@@ -189,12 +189,16 @@ def _after(text: str, m: re.Match) -> int:
     return min(m.end(), run.end())
 
 
-def pseudonyms(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, text with pseudonyms, n_replaced, spans ("kind:start:end" of the old text, by start).
 
-    Null texts stay null with n_replaced 0, texts without valid values stay as they are. Repeated rows give equal rows,
-    an empty table none; other columns are ignored.
+    Whoever has the key can turn pseudonyms back, so there is no default: keep it secret, at least 16 bytes long, and
+    the same for all documents that are to stay linked. Null texts stay null with n_replaced 0, texts without valid
+    values stay as they are. Repeated rows give equal rows, rows without an id are rewritten like others, an empty table
+    gives none; other columns are ignored, whatever their names.
     """
+    if len(key) < 16:
+        raise ValueError("the key must have at least 16 bytes")
     ids = docs.select(id_col).schema[0].dataType.simpleString()
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
