@@ -18,14 +18,16 @@ def _conversation(number: Column) -> Column:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """root, page_number, native_text, chars, raster, raster_area, vector of every page."""
-    raw = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("root"), "html")
+    """root, page_number, native_text, raster, raster_area, vector of every page. A document is the pages of a host among
+    1000 page ids, so no host, however large, is one document."""
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    raw = table(spark, sf_dir, "pages").select("page_id", F.concat(host, F.lit("/"), F.floor(F.col("page_id") / 1000).cast("string")).alias("root"), "html")
     stripped = F.regexp_replace("html", "<[^>]*>", " ")
     return raw.select(
         "page_id",
         "root",
         F.row_number().over(W.partitionBy("root").orderBy("page_id")).alias("page_number"),
-        F.substring(stripped, F.lit(1), (F.col("page_id") * 7 % 200).cast("int")).alias("native_text"),
+        stripped.alias("native_text"),
         (F.col("page_id") % 3).cast("int").alias("raster"),
         F.when(F.col("page_id") % 3 > 0, (F.col("page_id") % 5) * 0.01).otherwise(0.0).alias("raster_area"),
         F.when(F.col("page_id") % 7 == 0, 0).otherwise((F.length("html") - F.length(F.replace("html", F.lit("<li"), F.lit("")))) / 3).cast("int").alias("vector"),
@@ -125,10 +127,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONV = "'conversation-' || lpad(CAST({0} AS VARCHAR), 7, '0')"
 SQL = {
     "v_page": """SELECT page_id, root, row_number() OVER (PARTITION BY root ORDER BY page_id) AS page_number,
- substr(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1, CAST(page_id * 7 % 200 AS INT)) AS native_text, CAST(page_id % 3 AS INT) AS raster,
+ regexp_replace(html, '<[^>]*>', ' ', 'g') AS native_text, CAST(page_id % 3 AS INT) AS raster,
  CASE WHEN page_id % 3 > 0 THEN (page_id % 5) * 0.01::DOUBLE ELSE 0.0 END AS raster_area,
  CASE WHEN page_id % 7 = 0 THEN 0 ELSE CAST((length(html) - length(replace(html, '<li', ''))) // 3 AS INT) END AS vector
- FROM (SELECT page_id, html, regexp_extract(url, '^https?://([^/]+)', 1) AS root FROM pages)""",
+ FROM (SELECT page_id, html, regexp_extract(url, '^https?://([^/]+)', 1) || '/' || page_id // 1000 AS root FROM pages)""",
     "v_att": """SELECT doc_id AS id, """ + _CONV.format("doc_id // 10") + """ AS conversation_id, CAST(doc_id % 10 AS INT) AS position,
  CASE doc_id % 5 WHEN 0 THEN 'd' || (doc_id - doc_id % 5) || '.pdf' WHEN 1 THEN 'd' || (doc_id - doc_id % 5) || '.pdf · page ' || (1 + (doc_id - doc_id % 5) % 3)
  WHEN 2 THEN 'd' || (doc_id - doc_id % 5) || '.pdf · visual OCR' WHEN 3 THEN 'u' || doc_id || '.png' ELSE 'n' || doc_id || '.txt' END AS name,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -14,10 +14,11 @@ from pyspark.sql.types import StructType
 ROWS_OUT = 20_000
 
 
-def fold_by_key(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """fold() over the rows of each key in order. Keys are pages, turns or batches, so each one's rows are few.
+def fold_by_key(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
+    """fold() over the rows of each key in order: it is given an iterator over them and returns or yields rows.
 
-    Rows are dealt by key and sorted by Spark; a task then streams its keys by, holding one at a time.
+    Rows are dealt by key and sorted by Spark; a task then streams its keys by. A fold that yields as it reads holds no
+    more of a key than its own state.
     """
     kind = to_arrow_schema(StructType.fromDDL(schema))
     of = itemgetter(*keys)
@@ -25,10 +26,11 @@ def fold_by_key(df: DataFrame, keys: list[str], order: list[str], fold: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, out = (row for batch in batches for row in batch.to_pylist()), []
         for _, own in groupby(rows, key=of):
-            out += fold(list(own))
-            if len(out) >= ROWS_OUT:
-                yield pa.RecordBatch.from_pylist(out, schema=kind)
-                out = []
+            for row in fold(own):
+                out.append(row)
+                if len(out) >= ROWS_OUT:
+                    yield pa.RecordBatch.from_pylist(out, schema=kind)
+                    out = []
         yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docsheaf.functions.containment import containing
 from docsheaf.functions.text import clip, is_visual_ocr, ordered_join, root_name, squeeze, strip
 from docsheaf.operators.pages import page_ranges
 from docsheaf.operators.transcripts import LENGTH_STOPS, clean_transcripts, cut_answers
 from docsheaf.settings import DEFAULTS, Settings
 
-#: A small side of a text join is broadcast up to this many rows, and shuffled through a grouping key beyond.
-BROADCAST_ROWS = 100_000
-
 
 def with_root(df: DataFrame, name: str = "name") -> DataFrame:
     return df.withColumn("root", root_name(F.col(name)))
@@ -105,6 +103,7 @@ def context_budgets(requests: DataFrame, settings: Settings = DEFAULTS) -> DataF
     })
 
 
+#: Fixed value: how stored replies of failed calls begin.
 STORED_ERROR = r"(?i)^(?:오류|error)\s*:"
 
 
@@ -168,21 +167,31 @@ def search_documents(queries: DataFrame, docs: DataFrame, limit: int = 12) -> Da
     """(query_id, conversation_id, doc, offset, excerpt): case-insensitive, non-overlapping occurrences in document
     order, at most `limit` for each query and conversation. queries: query_id, query (at least 2 characters).
     docs: conversation_id, position, doc, text. Offsets are those in the lower-cased text.
+
+    Candidates come from the rarest three characters of each query; places and excerpts are found in one row for each
+    text, so a text isn't copied for each query.
     """
     asked = queries.select("query_id", F.lower(strip(F.col("query"))).alias("needle")).filter(F.length("needle") >= 2)
-    n = asked.count()
-    lowered = docs.select("conversation_id", "position", "doc", "text", F.lower("text").alias("low"))
-    small = F.broadcast(asked) if n <= BROADCAST_ROWS else asked
-    hits = lowered.join(small, F.contains("low", "needle"))
-    size = F.length("needle")
-    quoted = F.regexp_replace("needle", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    gaps = F.transform(F.split("low", quoted, -1), lambda x: F.length(x))
-    spots = hits.withColumn("gaps", gaps).withColumn("offsets", F.transform(F.sequence(F.lit(1), F.least(F.size("gaps") - 1, F.lit(limit))), lambda k: F.aggregate(F.slice("gaps", F.lit(1), k), F.lit(0), lambda t, g: t + g) + (k - 1) * size))
-    rows = spots.select("query_id", "needle", "conversation_id", "position", "doc", "text", F.explode("offsets").alias("offset"))
+    lowered = docs.select("conversation_id", "position", "doc", "text", F.lower("text").alias("low")).filter("low is not null")
+    hits = containing(lowered, ["conversation_id", "position", "doc"], "low", asked, "needle")
+
+    def places(needle: Column) -> Column:
+        size = F.length(needle)
+        quoted = F.regexp_replace(needle, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+        gaps = F.transform(F.split("low", quoted, -1), lambda x: F.length(x))
+        first = F.slice(gaps, F.lit(1), F.least(F.size(gaps) - 1, F.lit(limit)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, g: F.struct((acc["at"] + g + size).alias("at"), F.concat(acc["out"], F.array(acc["at"] + g)).alias("out"))
+        return F.aggregate(first, start, step, lambda acc: acc["out"])
+
+    def shown(needle: Column, offset: Column) -> Column:
+        from_, to = F.greatest(F.lit(0), offset - 240), offset + F.length(needle) + 520
+        return squeeze(F.substring("text", from_ + 1, to - from_))
+
+    spots = F.flatten(F.transform("held", lambda s: F.transform(places(s), lambda at: F.struct(s.alias("needle"), at.alias("offset"), shown(s, at).alias("excerpt")))))
+    rows = hits.select("conversation_id", "position", "doc", F.inline(spots)).join(asked, "needle")
     rn = F.row_number().over(W.partitionBy("query_id", "conversation_id").orderBy("position", "doc", "offset"))
-    from_, to = F.greatest(F.lit(0), F.col("offset") - 240), F.col("offset") + F.length("needle") + 520
-    excerpt = squeeze(F.substring("text", from_ + 1, to - from_))
-    return rows.withColumn("excerpt", excerpt).drop("text").withColumn("rn", rn).filter(F.col("rn") <= limit).select("query_id", "conversation_id", "doc", "offset", "excerpt")
+    return rows.withColumn("rn", rn).filter(F.col("rn") <= limit).select("query_id", "conversation_id", "doc", "offset", "excerpt")
 
 
 def read_window(requests: DataFrame, docs: DataFrame, default: int = 8000) -> DataFrame:

@@ -40,6 +40,7 @@ def raster_coverage(placements: DataFrame, pages: DataFrame, keys: list[str]) ->
     return pages.join(covered, keys, "left").withColumn("raster_area", F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio))).drop("covered")
 
 
+# Path-painting operators of page content, its string literals, and how much of it is read.
 PAINT = r"(?:^|(?<=\s))(?:B\*?|b\*?|f\*?|F|S|s|sh)(?=\s|$)"
 STRING_LITERAL = r"\((?:\\.|[^\\()])*\)"
 SCAN_CHARS = 64 * 1024 * 1024
@@ -100,6 +101,7 @@ def document_body(docs: DataFrame, pages: DataFrame, settings: Settings = DEFAUL
     return docs.join(analysed, "root").select("root", F.substring(body, 1, settings.max_document_chars).alias("body"))
 
 
+#: Fixed value: the line that analysis_line() writes.
 _ANALYSIS = r"(?m)^Page (\d+): ([\w-]+); native characters=(\d+); raster images=(\d+); vector operations=(\d+); vision OCR=(required|skipped)$"
 
 
@@ -122,6 +124,7 @@ def page_ranges(df: DataFrame, keys: list[str], page: str = "page_number", name:
     return islands.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), ", ").alias(name))
 
 
+# Sentences of the report.
 _NOT_IN_TEXT = (
     "What is drawn - the shapes, their positions and counts, and which label or dimension belongs to which feature - is NOT in the text of any page"
 )

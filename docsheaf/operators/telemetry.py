@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docsheaf.session import stored
 from docsheaf.settings import DEFAULTS, Settings
 
 MODEL_KINDS = ("llm", "ocr", "grounding")
@@ -30,22 +31,22 @@ def repaired(events: DataFrame, turn: str = "turn", key: str = "seq") -> DataFra
     return events.join(known, [turn, "parent"], "left").withColumn("parent", F.when(F.col("known"), F.col("parent"))).drop("known")
 
 
-def span_tree(events: DataFrame, turn: str = "turn", key: str = "seq", most_depth: int = 64) -> DataFrame:
-    """(turn, key, parent, depth, path, children) by a recursive query; unknown parents count as none.
+def span_tree(events: DataFrame, turn: str = "turn", key: str = "seq") -> DataFrame:
+    """(turn, key, parent, depth, path, children); unknown parents count as none, rows whose parents go in a circle are left out.
 
-    The recursion runs level by level over all turns at once, at most most_depth levels.
+    Every row knows some ancestor and the path from it. In each round it takes over what that ancestor knows, so the
+    distance doubles: a tree of depth d takes about log2(d) joins over all turns at once, however deep it is.
     """
-    spark, rows = events.sparkSession, repaired(events, turn, key).select(turn, key, "parent")
-    rows.createOrReplaceTempView("docsheaf_spans")
-    walked = spark.sql(f"""
-        WITH RECURSIVE tree ({turn}, {key}, parent, depth, path) MAX RECURSION LEVEL {most_depth} AS (
-          SELECT {turn}, {key}, parent, 0, CAST({key} AS STRING) FROM docsheaf_spans WHERE parent IS NULL
-          UNION ALL
-          SELECT s.{turn}, s.{key}, s.parent, t.depth + 1, concat(t.path, '/', CAST(s.{key} AS STRING))
-          FROM docsheaf_spans s JOIN tree t ON s.{turn} = t.{turn} AND s.parent = t.{key})
-        SELECT * FROM tree""")
+    rows = stored(repaired(events, turn, key).select(turn, key, "parent"))
+    known = stored(rows.select(turn, key, "parent", F.col("parent").alias("above"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.col(key).cast("string").alias("path")))
+    most, reach = rows.groupBy(turn).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0, 1
+    while reach < most and not known.filter("above is not null").isEmpty():
+        upper = known.select(turn, F.col(key).alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"), F.col("path").alias("head"))
+        open_ = known.filter("above is not null").join(upper, [turn, "above"])
+        further = open_.select(turn, key, "parent", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("head", F.lit("/"), "path").alias("path"))
+        known, reach = stored(known.filter("above is null").unionByName(further)), reach * 2
     children = rows.filter("parent is not null").groupBy(turn, F.col("parent").alias(key)).agg(F.count(F.lit(1)).alias("children"))
-    return walked.join(children, [turn, key], "left").na.fill(0, ["children"])
+    return known.filter("above is null").select(turn, key, "parent", "depth", "path").join(children, [turn, key], "left").na.fill(0, ["children"])
 
 
 def classify_calls(events: DataFrame, turn: str = "turn", key: str = "seq") -> DataFrame:

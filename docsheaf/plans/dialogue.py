@@ -79,6 +79,12 @@ ORACLES = {
     "h1_detect_script": oracle("v_msg", _MSG + "SELECT conversation_id, position, CASE WHEN regexp_matches(content, '[가-힣]') THEN 'ko' WHEN regexp_matches(content, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(content, '[一-鿿]') THEN 'zh' END AS script FROM m"),
     "h2_flag_false_refusals": oracle("v_msg v_att", _MSG + "SELECT conversation_id, position FROM m WHERE role = 'assistant' AND length(content) < 1500 AND regexp_matches(content, '(?i)" + "|".join(D.FALSE_REFUSAL).replace("'", "''") + "') AND conversation_id IN (SELECT conversation_id FROM v_att WHERE text <> '' OR kind = 'image')"),
     "h3_flag_error_replies": oracle("v_msg", _MSG + r"SELECT conversation_id, position FROM m WHERE role = 'assistant' AND regexp_matches(trim(content), '(?i)^(?:오류|error)\s*:')"),
+    "h4_extract_tool_calls": oracle("v_msg", """, c AS (SELECT conversation_id || '-' || position AS reply, length(content) AS n FROM v_msg), k AS (SELECT *, n % 5 IN (0, 1, 2) AND n % 3 < 2 AS ok FROM c)
+ SELECT reply, ok::INT AS n, CASE WHEN ok THEN CASE n % 3 WHEN 0 THEN 'search' ELSE 'view_page' END END AS name, CASE WHEN ok THEN '{"q": ' || n || '}' END AS arguments FROM k"""),
+    "h5_flag_malformed_envelopes": oracle("v_msg", "SELECT conversation_id || '-' || position AS reply FROM v_msg WHERE length(content) % 5 = 3"),
+    "h8_stitch_continuations": oracle("v_msg", """, m AS (SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY position) AS k, CASE WHEN length(content) % 9 = 0 THEN '' ELSE content END AS t, length(content) % 4 > 0 AS cut FROM v_msg),
+ h AS (WITH RECURSIVE w AS (SELECT conversation_id, k, t AS text, cut AS open, 1 AS pieces FROM m WHERE k = 1 UNION ALL SELECT m.conversation_id, m.k, CASE WHEN m.t = '' OR ends_with(w.text, m.t) THEN w.text ELSE w.text || chr(10) || chr(10) || m.t END, m.t <> '' AND NOT ends_with(w.text, m.t) AND m.cut, w.pieces + (m.t <> '' AND NOT ends_with(w.text, m.t))::INT FROM w JOIN m ON m.conversation_id = w.conversation_id AND m.k = w.k + 1 WHERE w.open AND w.k <= 8) SELECT * FROM w)
+ SELECT conversation_id, arg_max(text, k) AS text, max(pieces) AS pieces FROM h GROUP BY conversation_id"""),
     "h6_repeated_calls": oracle("v_event", ", e AS (SELECT turn || '-' || seq // 12 AS turn, seq % 12 + 1 AS step, prompt_tokens // 40 AS s FROM v_event), f AS (SELECT *, lag(s) OVER w AS a, lag(s, 2) OVER w AS b FROM e WINDOW w AS (PARTITION BY turn ORDER BY step)), g AS (SELECT turn, step, CASE WHEN s = a AND s = b THEN 'repeated_tool_call' WHEN step > 8 THEN 'max_steps' END AS why FROM f) SELECT turn, coalesce(min(step) FILTER (why IS NOT NULL) - 1, max(step)) AS steps, coalesce(arg_min(why, step) FILTER (why IS NOT NULL), '') AS stopped FROM g GROUP BY turn"),
     "h7_flatten_transcript": oracle("v_msg", r", r AS (SELECT conversation_id, position, CASE WHEN position % 4 = 2 THEN 'tool' WHEN position % 5 = 3 THEN 'user' ELSE role END AS role, content FROM v_msg), t AS (SELECT conversation_id, position, CASE WHEN role = 'tool' THEN 'user' ELSE role END AS role, CASE WHEN role = 'tool' THEN 'TOOL RESULT (search):' || chr(10) || content WHEN role = 'assistant' AND position % 3 = 1 THEN trim(content) || chr(10) || '[called tools: search({})]' ELSE content END AS content FROM r), i AS (SELECT *, sum(CASE WHEN role = 'user' AND p = 'user' THEN 0 ELSE 1 END) OVER (PARTITION BY conversation_id ORDER BY position) AS n FROM (SELECT *, lag(role) OVER (PARTITION BY conversation_id ORDER BY position) AS p FROM t)) SELECT conversation_id, n, min(role) AS role, string_agg(content, chr(10) || chr(10) ORDER BY position) AS content FROM i GROUP BY conversation_id, n"),
     "h9_answer_outcomes": oracle("v_event", "SELECT CASE prompt_tokens % 9 WHEN 0 THEN 'max_steps' WHEN 1 THEN 'repeated_tool_call' ELSE '' END AS stopped, count(*) AS turns, round(avg(prompt_tokens % 8), 6) AS mean_steps, sum(prompt_tokens % 8 + 1) AS model_calls, count(*) FILTER (prompt_tokens % 3 = 0) AS fallback, sum(prompt_tokens % 2) AS forced, count(*) FILTER (prompt_tokens % 4 = 1) AS reasoning_stops FROM v_event GROUP BY 1"),

@@ -49,12 +49,12 @@ def c6_tile_dpi(spark, sf_dir):
 
 
 def c7_inspect_documents(spark, sf_dir):
-    return P.inspect_documents(_routed(spark, sf_dir), 3)
+    return P.inspect_documents(_routed(spark, sf_dir))
 
 
 def c8_document_body(spark, sf_dir):
     pages = _routed(spark, sf_dir)
-    return P.document_body(P.inspect_documents(pages, 3), pages)
+    return P.document_body(P.inspect_documents(pages), pages)
 
 
 def c9_parse_page_analysis(spark, sf_dir):
@@ -68,14 +68,16 @@ def c10_page_ranges(spark, sf_dir):
 def c11_drawing_report(spark, sf_dir):
     pages = _routed(spark, sf_dir)
     totals = pages.groupBy("root").agg(F.count(F.lit(1)).alias("total_pages"))
-    return P.drawing_report(pages.filter("page_number <= 4"), totals)
+    return P.drawing_report(pages.filter(F.col("page_number") <= P.DEFAULTS.visual_pages), totals)
 
 
 def c12_expand_page_specs(spark, sf_dir):
-    l = X.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")  # noqa: E741
+    l = X.table(spark, sf_dir, "lineitem")  # noqa: E741
     low = (F.col("l_partkey") % 40).cast("string")
     spec = F.concat(low, F.when(F.col("l_suppkey") % 3 == 0, F.lit("–")).otherwise(F.lit(" - ")), (F.col("l_suppkey") % 60).cast("string"), F.lit(", "), (F.col("l_orderkey") % 9).cast("string"), F.when(F.col("l_orderkey") % 11 == 0, F.lit(",x")).otherwise(F.lit("")))
-    return P.expand_page_specs(l.select(F.xxhash64(*l.columns).alias("request"), spec.alias("spec")), ["request"])
+    keys = ["l_orderkey", "l_partkey", "l_suppkey"]
+    out = P.expand_page_specs(l.select(*keys, spec.alias("spec")), keys)
+    return out.select(*keys, F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "error")
 
 
 def d1_capped_sizes(spark, sf_dir):
@@ -117,9 +119,9 @@ c AS (SELECT *, CASE WHEN chars >= 24 AND raster = 0 THEN 'native-vector' WHEN c
 r AS (SELECT *, classification IN ('vector-outlines', 'scanned-raster') OR raster_area >= 0.02 OR vector >= 100 AS drawing FROM c)
 """
 _RANGES = "(SELECT root, string_agg(t, ', ' ORDER BY a) AS {name} FROM (SELECT root, min(p) AS a, CASE WHEN min(p) = max(p) THEN min(p)::VARCHAR ELSE min(p) || '-' || max(p) END AS t FROM (SELECT root, p, p - row_number() OVER (PARTITION BY root ORDER BY p) AS g FROM (SELECT DISTINCT root, page_number AS p FROM {rows})) GROUP BY root, g) GROUP BY root)"
-_DOCS = """, d AS (SELECT root, max(total) AS total_pages, count(*) AS processed_pages, sum(needs_vlm::INT) AS visual_pages, max(total) > 3 AS truncated,
+_DOCS = """, d AS (SELECT root, max(total) AS total_pages, count(*) AS processed_pages, sum(needs_vlm::INT) AS visual_pages, max(total) > 60 AS truncated,
  coalesce(string_agg('[PAGE ' || page_number || ']' || chr(10) || clean_text, chr(10) || chr(10) ORDER BY page_number) FILTER (clean_text <> '' AND NOT needs_vlm), '') AS native_text
- FROM (SELECT *, count(*) OVER (PARTITION BY root) AS total FROM r) WHERE page_number <= 3 GROUP BY root)
+ FROM (SELECT *, count(*) OVER (PARTITION BY root) AS total FROM r) WHERE page_number <= 60 GROUP BY root)
 """
 _BODY = """, b AS (SELECT d.root, '[PDF METADATA]' || chr(10) || 'Pages: ' || total_pages || chr(10) || 'Processed: ' || processed_pages || chr(10) || chr(10) || '[PAGE ANALYSIS]' || chr(10) || a.t ||
  CASE WHEN native_text <> '' THEN chr(10) || chr(10) || native_text ELSE '' END AS body FROM d JOIN (SELECT root, string_agg('Page ' || page_number || ': ' || classification || '; native characters=' || chars || '; raster images=' || raster || '; vector operations=' || vector || '; vision OCR=' || CASE WHEN needs_vlm THEN 'required' ELSE 'skipped' END, chr(10) ORDER BY page_number) AS t FROM r GROUP BY root) a ON d.root = a.root)
@@ -134,7 +136,7 @@ rr AS (SELECT *, unnest(range(0, rows)) AS ri FROM sp),
 tl AS (SELECT *, CASE WHEN cols > 1 THEN round_even(ci * ((pw - sw) / (cols - 1)::DOUBLE), 0)::BIGINT ELSE 0 END AS lf, CASE WHEN rows > 1 THEN round_even(ri * ((ph - sh) / (rows - 1)::DOUBLE), 0)::BIGINT ELSE 0 END AS tp FROM (SELECT *, unnest(range(0, cols)) AS ci FROM rr)),
 t AS (SELECT image_id, rows, cols, ri + 1 AS row, ci + 1 AS col, lf AS left, tp AS top, lf + sw AS right, tp + sh AS bottom, round(scale, 9) AS scale FROM tl)
 """
-_LIST = {"drawn_pages": "(SELECT * FROM k WHERE drawing)", "none_pages": "(SELECT * FROM k WHERE NOT drawing)", "no_text_pages": "(SELECT * FROM k WHERE drawing AND needs_vlm)", "unchecked_pages": "(SELECT * FROM r WHERE page_number > 4)"}
+_LIST = {"drawn_pages": "(SELECT * FROM k WHERE drawing)", "none_pages": "(SELECT * FROM k WHERE NOT drawing)", "no_text_pages": "(SELECT * FROM k WHERE drawing AND needs_vlm)", "unchecked_pages": "(SELECT * FROM r WHERE page_number > 60)"}
 
 ORACLES = {
     "c1_page_text_stats": oracle("v_page", _STATS + "SELECT page_id, clean_text, chars FROM s"),
@@ -149,7 +151,10 @@ ORACLES = {
     "c8_document_body": oracle("v_page", _STATS + _DOCS + _BODY + "SELECT * FROM b"),
     "c9_parse_page_analysis": oracle("v_page", _STATS + "SELECT root, page_number, classification, chars, raster, CASE WHEN raster > 0 THEN 1.0 ELSE 0.0 END AS raster_area, vector, needs_vlm FROM r"),
     "c10_page_ranges": oracle("v_page", _STATS + "SELECT * FROM " + _RANGES.format(name="ranges", rows="(SELECT * FROM r WHERE needs_vlm)")),
-    "c11_drawing_report": oracle("v_page", _STATS + ", k AS (SELECT * FROM r WHERE page_number <= 4), g AS (SELECT root, count(*) AS total_pages FROM r GROUP BY root), a AS (SELECT root, count(*) AS checked, sum(drawing::INT) AS drawn, sum((NOT drawing)::INT) AS none_detected, sum((drawing AND needs_vlm)::INT) AS no_text, bool_and(classification = 'scanned-raster') AS scan FROM k GROUP BY root), j AS (SELECT g.root, total_pages, checked, drawn, none_detected, no_text, scan, drawn_pages, none_pages, no_text_pages, unchecked_pages, greatest(total_pages - 4, 0) AS unchecked FROM g JOIN a ON g.root = a.root " + " ".join(f"LEFT JOIN {_RANGES.format(name=n, rows=q)} AS {n}_t ON {n}_t.root = g.root" for n, q in _LIST.items()) + "), z AS (SELECT *, CASE WHEN unchecked > 0 THEN '; page' || CASE WHEN unchecked = 1 THEN ' ' ELSE 's ' END || unchecked_pages || ' were not checked (page limit)' ELSE '' END AS tail FROM j) SELECT root, total_pages, checked, drawn, none_detected, no_text, drawn_pages, none_pages, no_text_pages, unchecked_pages, unchecked, CASE WHEN scan AND unchecked = 0 THEN 'file check: all ' || total_pages || ' pages are full-page scans with no text layer; their text is only a transcription of the visible labels. ' WHEN drawn = 0 THEN '" + P._BASIS + ": no embedded images or vector strokes detected on any page - drawings stored in another way would not be detected' || tail || '. ' ELSE '" + P._BASIS + ": ' || CASE WHEN none_detected = 0 AND unchecked = 0 THEN 'all ' || total_pages || ' pages contain them' ELSE drawn || ' of ' || total_pages || ' pages contain them - ' || drawn_pages END || CASE WHEN none_detected > 0 THEN '; ' || none_detected || CASE WHEN none_detected = 1 THEN ' page has' ELSE ' pages have' END || ' none detected - ' || none_pages ELSE '' END || CASE WHEN no_text > 0 THEN '; page' || CASE WHEN no_text = 1 THEN ' ' ELSE 's ' END || no_text_pages || CASE WHEN no_text = 1 THEN ' has no text layer, so its' ELSE ' have no text layer, so their' END || ' text is only a transcription of the visible labels' ELSE '' END || tail || '. ' END || '" + P._NOT_IN_TEXT + "' AS sentence FROM z"),
+    "c11_drawing_report": oracle("v_page", _STATS + ", k AS (SELECT * FROM r WHERE page_number <= 60), g AS (SELECT root, count(*) AS total_pages FROM r GROUP BY root), a AS (SELECT root, count(*) AS checked, sum(drawing::INT) AS drawn, sum((NOT drawing)::INT) AS none_detected, sum((drawing AND needs_vlm)::INT) AS no_text, bool_and(classification = 'scanned-raster') AS scan FROM k GROUP BY root), j AS (SELECT g.root, total_pages, checked, drawn, none_detected, no_text, scan, drawn_pages, none_pages, no_text_pages, unchecked_pages, greatest(total_pages - 60, 0) AS unchecked FROM g JOIN a ON g.root = a.root " + " ".join(f"LEFT JOIN {_RANGES.format(name=n, rows=q)} AS {n}_t ON {n}_t.root = g.root" for n, q in _LIST.items()) + "), z AS (SELECT *, CASE WHEN unchecked > 0 THEN '; page' || CASE WHEN unchecked = 1 THEN ' ' ELSE 's ' END || unchecked_pages || ' were not checked (page limit)' ELSE '' END AS tail FROM j) SELECT root, total_pages, checked, drawn, none_detected, no_text, drawn_pages, none_pages, no_text_pages, unchecked_pages, unchecked, CASE WHEN scan AND unchecked = 0 THEN 'file check: all ' || total_pages || ' pages are full-page scans with no text layer; their text is only a transcription of the visible labels. ' WHEN drawn = 0 THEN '" + P._BASIS + ": no embedded images or vector strokes detected on any page - drawings stored in another way would not be detected' || tail || '. ' ELSE '" + P._BASIS + ": ' || CASE WHEN none_detected = 0 AND unchecked = 0 THEN 'all ' || total_pages || ' pages contain them' ELSE drawn || ' of ' || total_pages || ' pages contain them - ' || drawn_pages END || CASE WHEN none_detected > 0 THEN '; ' || none_detected || CASE WHEN none_detected = 1 THEN ' page has' ELSE ' pages have' END || ' none detected - ' || none_pages ELSE '' END || CASE WHEN no_text > 0 THEN '; page' || CASE WHEN no_text = 1 THEN ' ' ELSE 's ' END || no_text_pages || CASE WHEN no_text = 1 THEN ' has no text layer, so its' ELSE ' have no text layer, so their' END || ' text is only a transcription of the visible labels' ELSE '' END || tail || '. ' END || '" + P._NOT_IN_TEXT + "' AS sentence FROM z"),
+    "c12_expand_page_specs": """WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_partkey % 40 AS a, l_suppkey % 60 AS b, l_orderkey % 9 AS c, l_orderkey % 11 = 0 AS bad FROM lineitem),
+ e AS (SELECT *, CASE WHEN bad THEN 'not a page list' WHEN a < 1 OR b < a OR c < 1 THEN 'bad range' END AS error FROM l)
+ SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN error IS NULL THEN array_to_string(list_sort(list_distinct(list_append(range(a, b + 1), c))), ',') END AS pages, error FROM e""",
     "d1_capped_sizes": oracle("v_image", """, s AS (SELECT *, least(1.0, 3072 / greatest(width, height)::DOUBLE, sqrt(8000000 / (width * height)::DOUBLE)) AS scale FROM v_image)
  SELECT image_id, width, height, CASE WHEN scale >= 1 THEN width ELSE greatest(1, floor(width * scale + 1e-6))::BIGINT END AS new_width, CASE WHEN scale >= 1 THEN height ELSE greatest(1, floor(height * scale + 1e-6))::BIGINT END AS new_height, round(scale, 9) AS scale FROM s"""),
     "d2_plan_tiles": oracle("v_image", _TILES + "SELECT * FROM t"),

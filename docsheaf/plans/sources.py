@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
 from docsheaf import fixtures as X
+from docsheaf.functions.folds import fold_by_key
 from docsheaf.functions.readers import batch_read
 from docsheaf.operators import transcripts as T
+from docsheaf.session import shared_folder
 from docsheaf.sources import uploads as U
 from docsheaf.streaming import calls as C
 from docsheaf.streaming import streams as S
 
 
-def shared_folder(spark) -> str:
-    """A new folder below spark.checkpoint.dir; a local temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docsheaf-")
-    return f"{base.rstrip('/')}/docsheaf-{uuid.uuid4().hex}"
-
-
 def _files(spark, sf_dir):
     d = X.table(spark, sf_dir, "documents")
     name = F.concat(F.lit("dir\\"), F.when(F.col("doc_id") % 4 == 0, F.lit("Scan")).otherwise(F.lit("scan · x")), F.when(F.col("doc_id") % 7 == 0, ".txt").when(F.col("doc_id") % 2 == 0, ".pdf").otherwise(".PNG"))
@@ -58,7 +53,7 @@ def a8_read_truth(spark, sf_dir):
 
 def k1_batch_read(spark, sf_dir):
     def reader(content, attempt: int) -> dict:
-        return {"text": content[:50] if (len(content) + attempt) % 3 else "", "finish": "stop"}
+        return {"text": content if (len(content) + attempt) % 3 else "", "finish": "stop"}
 
     pages = X.table(spark, sf_dir, "documents").select("doc_id", "text")
     return batch_read(pages, "doc_id", "text", reader, 4)
@@ -69,6 +64,21 @@ def k2_read_then_resolve(spark, sf_dir):
     return T.resolve_attempts(a, "doc_id")
 
 
+def k2_fold_by_key(spark, sf_dir):
+    """Events of a user with the number of events since its value was last higher: a result that hangs on earlier ones."""
+
+    def fold(own: Iterator[dict]) -> Iterator[dict]:
+        peaks: list[tuple[float, int]] = []
+        for n, row in enumerate(own, 1):
+            while peaks and peaks[-1][0] <= row["value"]:
+                peaks.pop()
+            yield {"user_id": row["user_id"], "event_id": row["event_id"], "since_higher": n - peaks[-1][1] if peaks else n}
+            peaks.append((row["value"], n))
+
+    e = X.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return fold_by_key(e, ["user_id"], ["ts", "event_id"], fold, "user_id long, event_id long, since_higher long")
+
+
 def _streamed(spark, frame, transform, mode: str = "append"):
     """Writes frame as files, runs transform over them as a stream to its end and returns what came out."""
     folder = shared_folder(spark)
@@ -94,14 +104,47 @@ def js5_throttle_stream(spark, sf_dir):
     return _streamed(spark, e, lambda s: S.throttle_stream(s, 3600.0))
 
 
+def js4_assemble_stream(spark, sf_dir):
+    c = X.chunks(spark, sf_dir)
+    ends = c.groupBy("call_id").agg(F.max("seq").alias("last"))
+    rows = c.join(ends, "call_id").select("call_id", F.col("seq").cast("long").alias("seq"), F.concat("piece", F.lit(" ")).alias("piece"), F.when(F.col("seq") == F.col("last"), "stop").alias("finish"))
+    return _streamed(spark, rows, S.assemble_stream)
+
+
+def js7_upsert_trace_stream(spark, sf_dir):
+    folder = shared_folder(spark)
+    e = X.trace_events(spark, sf_dir).select(F.col("turn").cast("string").alias("turn"), F.col("seq").alias("version"), F.concat_ws(":", "kind", "label", F.col("elapsed_ms").cast("string")).alias("document"))
+    e.repartition(6, "version").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    S.upsert_trace_stream(stream, f"{folder}/out", f"{folder}/state", compact_every=2, available_now=True).awaitTermination()
+    return S.latest_traces(spark, f"{folder}/out")
+
+
+def js8_live_turns_stream(spark, sf_dir):
+    e = X.trace_events(spark, sf_dir).select("turn", F.col("seq").cast("long").alias("seq"), F.when((F.col("turn") % 3 == 0) & (F.col("seq") % 50 == 49), "end").otherwise(F.col("kind")).alias("kind"), "status", "started_ms")
+    return S.live_now(_streamed(spark, e, S.live_turn_updates))
+
+
 ORACLES = {
     "a1_check_uploads": """SELECT n, name, mime, CASE WHEN mime = 'application/pdf' THEN 'pdf' ELSE 'image' END AS kind, CASE WHEN place > 12 THEN 'too many files' WHEN mime LIKE '%octet%' THEN 'type not allowed' WHEN size = 0 THEN 'empty file' WHEN mime = 'application/pdf' AND n % 6 <> 0 THEN 'not a PDF file' END AS reason FROM
  (SELECT doc_id AS n, strlen(text) AS size, row_number() OVER (PARTITION BY doc_id // 15 ORDER BY doc_id) AS place, CASE WHEN doc_id % 4 = 0 THEN 'Scan' ELSE 'scan - x' END || CASE WHEN doc_id % 7 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.PNG' END AS name,
   CASE WHEN doc_id % 7 = 0 THEN 'application/octet-stream' WHEN doc_id % 2 = 0 THEN 'application/pdf' ELSE 'image/png' END AS mime FROM documents)""",
+    "a2_uniquify_names": """WITH f AS (SELECT doc_id // 15 AS batch, doc_id AS n, row_number() OVER (PARTITION BY doc_id // 15 ORDER BY doc_id) AS place, CASE WHEN doc_id % 4 = 0 THEN 'Scan' ELSE 'scan - x' END AS stem, CASE WHEN doc_id % 7 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.PNG' END AS ext, strlen(text) AS size FROM documents),
+ a AS (SELECT *, row_number() OVER (PARTITION BY batch, stem, ext ORDER BY n) AS k FROM f WHERE place <= 12 AND ext <> '.txt' AND size > 0 AND (ext <> '.pdf' OR n % 6 = 0)) SELECT batch, n, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || ext AS name FROM a""",
+    "k1_batch_read": "WITH d AS (SELECT doc_id, text, unnest([1, 2, 3]) AS attempt FROM documents), r AS (SELECT doc_id, attempt, CASE WHEN (length(text) + attempt) % 3 <> 0 THEN text ELSE '' END AS text FROM d), o AS (SELECT *, coalesce(bool_or(text <> '') OVER (PARTITION BY doc_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM r) SELECT doc_id, attempt, text, 'stop' AS finish, CAST(NULL AS VARCHAR) AS error FROM o WHERE NOT done",
+    "k2_fold_by_key": "WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT a.user_id, a.event_id, a.n - coalesce(max(b.n), 0) AS since_higher FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.n < a.n AND b.value > a.value GROUP BY a.user_id, a.event_id, a.n",
+    "js3_split_think_stream": X.oracle("v_chunk", r""", p AS (SELECT call_id, string_agg(CASE seq % 20 WHEN 5 THEN piece || '<thi' WHEN 6 THEN 'nk>' || piece WHEN 12 THEN piece || '</think>' ELSE piece END, '' ORDER BY seq) AS u FROM v_chunk GROUP BY call_id),
+ q AS (SELECT call_id, regexp_replace(u, '<thi$', '') AS t FROM p), r AS (SELECT call_id, regexp_replace(t, '(?s)<think>.*?(</think>|$)', '', 'g') AS content, list_sum(list_transform(regexp_extract_all(t, '(?s)<think>(.*?)(?:</think>|$)', 1), lambda x: length(x))) AS n FROM q) SELECT call_id, coalesce(n, 0)::BIGINT AS reasoning_chars, length(content) AS content_chars FROM r"""),
     "a3_storage_layout": X.oracle("v_att", """SELECT id, CASE WHEN page_number IS NOT NULL THEN p || regexp_replace(name, ' · page [0-9]+$', '') || '.page-' || lpad(page_number::VARCHAR, 4, '0') || '.png' WHEN id % 5 = 3 THEN p || 'u' || id || '.model.png'
  WHEN name LIKE '%visual OCR' THEN p || replace(name, ' · ', '.') ELSE p || name END AS file_name, CASE WHEN id % 5 = 3 THEN p || name END AS source_name FROM (SELECT *, CASE WHEN id % 9 = 0 THEN 'CON_' ELSE '' END AS p FROM v_att)"""),
     "a6_write_events_ndjson": X.oracle("v_event", "SELECT turn, seq, kind, status FROM v_event"),
     "a8_read_truth": X.oracle("v_box", "SELECT page AS path, 'target' AS role, box_no - 1 AS n, label, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM v_box UNION ALL SELECT page, 'distractor', 0, label, round(x, 6), round(y, 6), round(w, 6), round(h, 6) FROM v_box WHERE box_no = 1"),
+    "js4_assemble_stream": X.oracle("v_chunk", "SELECT call_id, string_agg(piece || ' ', '' ORDER BY seq) AS text, count(*) AS chunks, 'stop' AS finish FROM v_chunk GROUP BY call_id"),
+    "js5_throttle_stream": """WITH RECURSIVE e AS (SELECT user_id AS call_id, epoch_us(ts::TIMESTAMP) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ k AS (SELECT call_id, t, n FROM e WHERE n = 1 UNION ALL SELECT call_id, t, n FROM (SELECT e.*, min(e.n) OVER (PARTITION BY e.call_id) AS first FROM k JOIN e ON e.call_id = k.call_id AND e.n > k.n AND e.t - k.t >= 3600) WHERE n = first)
+ SELECT call_id, n AS seq, t AS "at" FROM k""",
+    "js7_upsert_trace_stream": X.oracle("v_event", "SELECT turn::VARCHAR AS turn, max(seq) AS version, arg_max(kind || ':' || label || ':' || elapsed_ms, seq) AS document FROM v_event GROUP BY turn"),
+    "js8_live_turns_stream": X.oracle("v_event", "SELECT turn, min(started_ms) AS started_ms, max(started_ms) AS last_ms, count(*) FILTER (status = 'running') AS open_spans FROM v_event GROUP BY turn HAVING NOT bool_or(turn % 3 = 0 AND seq % 50 = 49)"),
     "js1_watch_calls_stream": X.oracle("v_chunk", ", r AS (SELECT call_id, seq, piece, greatest(sum((length(piece) > 0)::INT) OVER w, sum(length(piece)) OVER w // 4) AS tokens FROM v_chunk WINDOW w AS (PARTITION BY call_id ORDER BY seq)) SELECT call_id, min(seq)::BIGINT AS seq, 'budget' AS verdict, arg_min(tokens, seq) AS tokens FROM r WHERE tokens > 100 AND length(piece) > 0 GROUP BY call_id"),
 }
 QUERIES = {k: v for k, v in dict(globals()).items() if k[:2] in ("a1", "a2", "a3", "a6", "a8", "k1", "k2", "js")}

@@ -167,6 +167,9 @@ ORACLES = {
     "b14_derive_titles": oracle("v_msg", r"SELECT conversation_id, coalesce(substr(trim(regexp_replace(arg_min(content, position) FILTER (role = 'user' AND trim(content) <> ''), '\s+', ' ', 'g')), 1, 80), '새 채팅') AS title FROM v_msg GROUP BY conversation_id"),
     "b15_monotone_stamps": oracle("v_event", ", e AS (SELECT turn, seq, prompt_tokens + seq // 3 AS ts FROM v_event) SELECT turn, seq, ts, seq + max(ts - seq) OVER (PARTITION BY turn ORDER BY seq) AS stamp FROM e"),
     "b16_valid_ids": "SELECT CASE doc_id % 3 WHEN 0 THEN 'id-' || doc_id ELSE 'conversation-' || doc_id END AS id FROM documents WHERE doc_id % 3 = 1 OR doc_id % 3 = 0 AND length('id-' || doc_id) >= 8",
+    "b17_link_uploaded_files": X.oracle("v_att", """, a AS (SELECT conversation_id, id, name, mime, kind, position, min(name) OVER (PARTITION BY conversation_id) AS told, regexp_replace(name, ' · (page [0-9]+|visual OCR)$', '') AS root FROM v_att WHERE kind <> 'document'),
+ s AS (SELECT conversation_id, root, arg_max(id, position) AS id FROM a GROUP BY conversation_id, root), f AS (SELECT DISTINCT conversation_id, told AS name, -1 AS n FROM a UNION ALL SELECT conversation_id, name, position FROM a WHERE name <> told)
+ SELECT f.conversation_id, count(*)::INT AS files, string_agg(f.name || coalesce('=' || s.id, ''), ';' ORDER BY n) AS listing FROM f LEFT JOIN s ON s.conversation_id = f.conversation_id AND s.root = f.name GROUP BY f.conversation_id"""),
     "b18_upsert_artifacts": oracle("v_event", ", g AS (SELECT turn, 'a' || image AS name, arg_max(elapsed_ms, seq) AS elapsed_ms, min(seq) AS f FROM v_event GROUP BY turn, image) SELECT turn, name, elapsed_ms, row_number() OVER (PARTITION BY turn ORDER BY f) AS slot FROM g"),
     "b19_resolve_content": "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN 'source' WHEN doc_id % 3 > 0 AND doc_id % 7 > 0 THEN 'primary' WHEN doc_id % 4 = 0 THEN 'blob' END AS content FROM documents",
 }

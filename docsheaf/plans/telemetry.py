@@ -60,7 +60,7 @@ def i7_usage_counters(spark, sf_dir):
 
 
 def i8_action_summary(spark, sf_dir):
-    e = _events(spark, sf_dir).filter("prompt_tokens % 3 = 0").select(
+    e = _events(spark, sf_dir).select(
         "turn", "seq", "kind", (F.col("prompt_tokens") % 2 == 0).alias("stopped"), F.when(F.col("prompt_tokens") % 4 < 2, "repeat").otherwise("budget").alias("reason"),
         F.concat(F.lit("plan.pdf · page 1 · tile r"), F.col("image").cast("string"), F.lit("c1")).alias("image"))
     return T.action_summary(e)
@@ -180,8 +180,12 @@ ORACLES = {
     "i4_number_calls": oracle("v_event", _TOOLS + "SELECT *, row_number() OVER (PARTITION BY turn, call_kind ORDER BY seq) AS number FROM c"),
     "i5_turn_summary": oracle("v_event", f"SELECT turn, count(*) FILTER (kind = 'llm') AS llm_calls, count(*) FILTER (kind = 'ocr') AS ocr_calls, count(*) FILTER (kind = 'grounding') AS grounding_calls, count(*) FILTER (kind = 'tool') AS tool_runs, coalesce(sum(elapsed_ms) FILTER ({_M}), 0) AS model_ms, coalesce(sum(prompt_tokens) FILTER ({_M}), 0) AS prompt_tokens, coalesce(sum(completion_tokens) FILTER ({_M}), 0) AS completion_tokens, coalesce(sum(reasoning_tokens) FILTER ({_M}), 0) AS reasoning_tokens, count(*) FILTER ({_M} AND finish = 'length') AS cut_length, count(*) FILTER ({_M} AND finish = 'reasoning_budget') AS cut_reasoning_budget, count(*) FILTER (status IN ('failed', 'cancelled')) AS failed FROM v_event GROUP BY turn"),
     "i6_slowest_calls": oracle("v_event", f"SELECT turn, rank, seq, label, elapsed_ms, reasoning_tokens FROM (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY elapsed_ms DESC, seq) AS rank, count(*) OVER (PARTITION BY turn) AS n FROM v_event WHERE {_M}) WHERE rank <= 3 AND n > 3 AND elapsed_ms > 0"),
+    "a7_export_traces": oracle("v_event", """SELECT turn, '{"events":[' || string_agg('{"seq":' || seq || ',"kind":"' || kind || '","elapsed_ms":' || elapsed_ms || '}', ',' ORDER BY seq) || ']}' AS document FROM v_event GROUP BY turn"""),
+    "j5_throttle_progress": """WITH RECURSIVE e AS (SELECT user_id AS call_id, epoch_us(ts::TIMESTAMP) / 1e6 AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ k AS (SELECT call_id, t, event_id, n FROM e WHERE n = 1 UNION ALL SELECT call_id, t, event_id, n FROM (SELECT e.*, min(e.n) OVER (PARTITION BY e.call_id) AS first FROM k JOIN e ON e.call_id = k.call_id AND e.n > k.n AND e.t - k.t >= 3600) WHERE n = first)
+ SELECT call_id, t AS "at", event_id FROM k""",
     "i7_usage_counters": oracle("v_event", ", c AS (SELECT turn, CASE prompt_tokens % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'grounding' WHEN 2 THEN 'analysis' ELSE 'answer' END AS k, finish = 'length' AS l, prompt_tokens % 7 = 0 AS f, prompt_tokens % 14 = 0 AS s, reasoning_tokens AS r, CASE WHEN prompt_tokens % 6 = 0 THEN prompt_tokens % 20 END AS t, CASE WHEN prompt_tokens % 6 = 0 THEN prompt_tokens % 3 END AS b FROM v_event) SELECT turn, " + ", ".join(f"count(*) FILTER (k = '{k}') AS {k}_calls" for k in ("ocr", "grounding", "answer", "analysis")) + ", count(t) AS tiled_images, coalesce(sum(t), 0) AS tiles, coalesce(sum(b), 0) AS blank_tiles, " + ", ".join(f"count(*) FILTER (k = '{k}' AND l) AS {k}_length_stops" for k in ("ocr", "grounding", "analysis")) + ", " + ", ".join(f"count(*) FILTER (k = '{k}' AND {c[0]}) AS {k}_reasoning_{c}" for c in ("forced", "stopped") for k in ("answer", "grounding", "ocr", "analysis")) + ", sum(r) AS reasoning_tokens FROM c GROUP BY turn"),
-    "i8_action_summary": oracle("v_event", ", a AS (SELECT turn, seq, kind, prompt_tokens % 2 = 0 AS stopped, CASE WHEN prompt_tokens % 4 < 2 THEN 'repeat' ELSE 'budget' END AS reason, 'r' || image || 'c1' AS n, row_number() OVER (PARTITION BY turn ORDER BY seq) AS rn FROM v_event WHERE prompt_tokens % 3 = 0) SELECT turn, kind, stopped, reason, array_to_string(list(n ORDER BY seq)[1:6], ', ') AS images, greatest(count(*) - 6, 0) AS more FROM a WHERE rn <= 60 GROUP BY turn, kind, stopped, reason"),
+    "i8_action_summary": oracle("v_event", ", a AS (SELECT turn, seq, kind, prompt_tokens % 2 = 0 AS stopped, CASE WHEN prompt_tokens % 4 < 2 THEN 'repeat' ELSE 'budget' END AS reason, 'r' || image || 'c1' AS n, row_number() OVER (PARTITION BY turn ORDER BY seq) AS rn FROM v_event) SELECT turn, kind, stopped, reason, array_to_string(list(n ORDER BY seq)[1:6], ', ') AS images, greatest(count(*) - 6, 0) AS more FROM a WHERE rn <= 60 GROUP BY turn, kind, stopped, reason"),
     "i9_retried_after_limit": oracle("v_event", "SELECT turn, image, count(*) AS calls FROM v_event WHERE kind <> 'tool' GROUP BY turn, image HAVING bool_or(finish = 'length') AND count(*) > 1"),
     "i10_close_turns": oracle("v_event", ", t AS (SELECT turn, max(started_ms) + 1000 AS e FROM v_event GROUP BY turn) SELECT v.turn, seq, CASE WHEN status = 'running' THEN e ELSE started_ms + elapsed_ms END AS end_ms, CASE WHEN status <> 'running' THEN status WHEN v.turn % 3 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN status = 'running' AND v.turn % 3 = 0 THEN 'timeout' END AS reason FROM v_event v JOIN t ON v.turn = t.turn"),
     "i11_interrupt_stale": oracle("v_event", ", t AS (SELECT turn, max(started_ms) - 500 AS e FROM v_event GROUP BY turn) SELECT v.turn, seq, CASE WHEN v.turn % 2 = 0 AND v.turn % 6 <> 0 AND status = 'running' THEN 'interrupted' ELSE status END AS status, started_ms, CASE WHEN status <> 'running' THEN started_ms + elapsed_ms WHEN v.turn % 2 = 0 AND v.turn % 6 <> 0 THEN greatest(e, started_ms) END AS end_ms FROM v_event v JOIN t ON v.turn = t.turn"),

@@ -66,7 +66,7 @@ def _tiles(spark, sf_dir):
 
 
 def e6_drop_overlap_lines(spark, sf_dir):
-    return T.drop_overlap_lines(_tiles(spark, sf_dir))
+    return T.drop_overlap_lines(_tiles(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("x0", "y0", "x1", "y1")})
 
 
 def _grid(df):
@@ -150,6 +150,11 @@ ORACLES = {
   WHEN n = head THEN rtrim(line) || chr(10) || rtrim(line) || chr(10) || rtrim(line) || chr(10) || '[REPEATED LINE OMITTED x' || (size - 3) || ': likely a model repetition loop]' END AS line FROM s)
  SELECT doc_id, trim(regexp_replace(string_agg(line, chr(10) ORDER BY n), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM o WHERE line IS NOT NULL GROUP BY doc_id""",
     "e5_resolve_attempts": oracle("v_msg", _REPLIES + ", a AS (SELECT conversation_id AS image, position + 1 AS attempt, text AS clean, CASE WHEN length(content) % 4 = 0 THEN content ELSE '' END AS partial, length(content) AS n FROM rp WHERE position < 3), d AS (SELECT *, CASE WHEN n % 13 = 0 THEN NULL WHEN n % 11 = 0 THEN 'failed' WHEN n % 7 = 0 AND partial <> '' THEN 'ok' WHEN n % 7 = 0 THEN 'failed' WHEN n % 2 = 0 AND regexp_matches(clean, '" + T.NO_TEXT + "') THEN 'empty' WHEN " + _USABLE.format("clean") + " THEN 'ok' END AS status FROM a), t AS (SELECT *, CASE WHEN n % 11 = 0 THEN '[OCR FAILED: the model''s reasoning did not finish (budget) and was stopped before producing a transcription. Not retried.]' WHEN n % 7 = 0 AND partial <> '' THEN partial || chr(10) || '[TRANSCRIPTION INCOMPLETE: the model reached the output limit of 4096 tokens here. Text after this point was not transcribed.]' WHEN n % 7 = 0 THEN '[OCR FAILED: the model reached the output limit of 4096 tokens without producing a transcription. Not retried.]' WHEN status = 'empty' THEN '' ELSE clean END AS result FROM d) SELECT image, coalesce(arg_min(status, attempt) FILTER (status IS NOT NULL), 'failed') AS status, CASE WHEN count(status) = 0 THEN '[OCR FAILED AFTER 3 ATTEMPTS: ' || arg_max(CASE WHEN n % 13 = 0 THEN 'timeout' ELSE 'empty or non-transcription OCR response' END, attempt) || ']' ELSE arg_min(result, attempt) FILTER (status IS NOT NULL) END AS text FROM t GROUP BY image"),
+    "e6_drop_overlap_lines": "WITH x AS (SELECT 1)" + _TILES + r""", ln AS (SELECT page, row, col, i, ls[i] AS line, trim(regexp_replace(ls[i], '\s+', ' ', 'g')) AS k FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM tl WHERE status = 'ok'))),
+ n AS (SELECT page, row, col, k FROM ln WHERE length(replace(k, ' ', '')) >= 6 AND regexp_matches(k, '\p{L}') AND NOT regexp_full_match(k, '\[.*\]') GROUP BY ALL HAVING count(*) = 1),
+ gone AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page, k ORDER BY row, col) AS rn FROM n) WHERE rn > 1),
+ new AS (SELECT ln.page, ln.row, ln.col, trim(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.k IS NULL), ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM ln LEFT JOIN gone ON gone.page = ln.page AND gone.row = ln.row AND gone.col = ln.col AND gone.k = ln.k GROUP BY ALL)
+ SELECT tl.page, tl.row, tl.col, round((tl.col - 1) * 0.4, 6) AS x0, round((tl.row - 1) * 0.4, 6) AS y0, round((tl.col - 1) * 0.4 + 0.6, 6) AS x1, round((tl.row - 1) * 0.4 + 0.6, 6) AS y1, coalesce(new.text, tl.text) AS text, status FROM tl LEFT JOIN new ON new.page = tl.page AND new.row = tl.row AND new.col = tl.col""",
     "e7_merge_tile_transcripts": "WITH x AS (SELECT 1)" + _TILES + "SELECT * FROM mg",
     "e8_variant_label": oracle("v_event", "SELECT DISTINCT mode, thinking, budget, effort, CASE WHEN mode = 'tile' THEN 'tile:1536:0.125:200:2048:48:2e-05:24:6' ELSE 'whole' END || CASE WHEN thinking THEN '+thinking' || CASE WHEN budget > 0 THEN ':b' || budget ELSE '' END || CASE WHEN effort <> '' THEN ':e' || effort ELSE '' END ELSE '' END AS variant FROM (SELECT CASE WHEN prompt_tokens % 2 = 0 THEN 'tile' ELSE 'whole' END AS mode, prompt_tokens % 3 = 0 AS thinking, prompt_tokens % 4 * 1000 AS budget, CASE WHEN prompt_tokens % 5 = 0 THEN 'low' ELSE '' END AS effort FROM v_event)"),
     "e9_transcription_plan": "WITH k AS (SELECT doc_id AS page_id, lang || chr(1) || text AS c FROM documents), h AS (SELECT c, min(page_id) AS p FROM k WHERE page_id % 10 = 0 GROUP BY c), f AS (SELECT c, min(page_id) AS first FROM k GROUP BY c) SELECT page_id, coalesce(p % 20 = 0, false) AS hit, CASE WHEN p % 20 = 0 THEN 'read ' || p END AS text, NOT coalesce(p % 20 = 0, false) AND page_id = first AS to_read FROM k LEFT JOIN h ON k.c = h.c JOIN f ON k.c = f.c",

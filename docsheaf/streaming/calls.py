@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,12 +81,12 @@ def throttle_progress(events: DataFrame, seconds: float = 1.0, key: str = "call_
     """The rows at least `seconds` after the last row kept, from the first one on; exact, by an ordered fold."""
     from docsheaf.functions.folds import fold_by_key
 
-    def fold(own: list[dict]) -> list[dict]:
-        out: list[dict] = []
+    def fold(own: Iterator[dict]) -> Iterator[dict]:
+        last = None
         for row in own:
-            if not out or row[time] - out[-1][time] >= seconds:
-                out.append(row)
-        return out
+            if last is None or row[time] - last >= seconds:
+                last = row[time]
+                yield row
 
     return fold_by_key(events, [key], [time], fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema))
 

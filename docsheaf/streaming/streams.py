@@ -19,22 +19,40 @@ def _load(state: GroupState, fresh: dict) -> dict:
     return json.loads(state.get[0]) if state.exists else fresh
 
 
-def _stateful(stream: DataFrame, key: str, step, schema: str) -> DataFrame:
-    """step(state dict, row dict) -> output rows, over the rows of a key by seq. The state is a small JSON document."""
+def _stateful(stream: DataFrame, key: str, step, schema: str, quiet_ms: int | None, unfinished=None) -> DataFrame:
+    """step(state dict, rows of a batch by seq) -> output rows. The state is a small JSON document.
+
+    It goes when step() marks it as over, or when the key has been quiet for quiet_ms; unfinished(state) then gives last
+    output rows. Set quiet_ms on streams that don't end, so that no state stays for ever; with it a query with the
+    availableNow trigger doesn't end by itself, since Spark keeps looking for keys whose time is over.
+    """
     kind = stream.schema[key].dataType.simpleString()
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = _load(state, {})
-        rows = pd.concat(list(frames)).sort_values("seq").to_dict("records")
-        out = [o for row in rows for o in step(kept, row)]
-        state.update((json.dumps(kept),))
+        if state.hasTimedOut:
+            state.remove()
+            out = unfinished(kept) if unfinished else []
+        else:
+            rows = pd.concat(list(frames)).sort_values("seq")
+            out = step(kept, rows.astype(object).where(rows.notna(), None).to_dict("records"))
+            if kept.get("over"):
+                state.remove()
+            else:
+                state.update((json.dumps(kept),))
+                if quiet_ms:
+                    state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame([{key: keys[0], **o} for o in out], columns=[key, *names])
 
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}", _STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {schema}", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if quiet_ms else GroupStateTimeout.NoTimeout)
+
+
+def _row_by_row(step):
+    return lambda kept, rows: [o for row in rows for o in step(kept, row)]
 
 
-def watch_calls(chunks: DataFrame, budget: int, settings: Settings = DEFAULTS) -> DataFrame:
+def watch_calls(chunks: DataFrame, budget: int, settings: Settings = DEFAULTS, quiet_ms: int | None = None) -> DataFrame:
     """(call_id, seq, verdict, tokens): the chunk at which a call's reasoning repeats itself or exceeds its budget.
 
     A repeat is tested before the budget, and the first verdict of a call is its only one. The state holds the counts,
@@ -72,10 +90,10 @@ def watch_calls(chunks: DataFrame, budget: int, settings: Settings = DEFAULTS) -
         kept["done"] = True
         return [{"seq": int(row["seq"]), "verdict": verdict, "tokens": tokens}]
 
-    return _stateful(chunks, "call_id", step, "seq long, verdict string, tokens long")
+    return _stateful(chunks, "call_id", _row_by_row(step), "seq long, verdict string, tokens long", quiet_ms)
 
 
-def split_think_stream(chunks: DataFrame) -> DataFrame:
+def split_think_stream(chunks: DataFrame, quiet_ms: int | None = None) -> DataFrame:
     """(call_id, seq, reasoning, content) for each chunk; a tail that may be the start of a tag waits for the next one."""
     tags = {False: "<think>", True: "</think>"}
 
@@ -90,10 +108,10 @@ def split_think_stream(chunks: DataFrame) -> DataFrame:
         kept["held"], kept["inside"] = text[len(text) - hold :], inside
         return [{"seq": int(row["seq"]), "reasoning": parts[True], "content": parts[False]}]
 
-    return _stateful(chunks, "call_id", step, "seq long, reasoning string, content string")
+    return _stateful(chunks, "call_id", _row_by_row(step), "seq long, reasoning string, content string", quiet_ms)
 
 
-def throttle_stream(events: DataFrame, seconds: float = 1.0) -> DataFrame:
+def throttle_stream(events: DataFrame, seconds: float = 1.0, quiet_ms: int | None = None) -> DataFrame:
     """(call_id, seq, at): at most one row every `seconds` for each call. events: call_id, seq, at (seconds)."""
 
     def step(kept: dict, row: dict) -> list[dict]:
@@ -102,43 +120,122 @@ def throttle_stream(events: DataFrame, seconds: float = 1.0) -> DataFrame:
         kept["at"] = float(row["at"])
         return [{"seq": int(row["seq"]), "at": float(row["at"])}]
 
-    return _stateful(events, "call_id", step, "seq long, at double")
+    return _stateful(events, "call_id", _row_by_row(step), "seq long, at double", quiet_ms)
+
+
+def assemble_stream(chunks: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+    """(call_id, text, chunks, finish) of each call once, when its last piece and all before it have come.
+
+    chunks: call_id, seq (0, 1, ... within a call), piece, finish (null but in the last piece). Pieces may come out of
+    order. A call that is quiet for quiet_ms is given out as far as it came, with an empty finish.
+    """
 
+    def whole(kept: dict, finish: str) -> list[dict]:
+        pieces = kept.get("pieces", {})
+        return [{"text": "".join(pieces[k] for k in sorted(pieces, key=int)), "chunks": len(pieces), "finish": finish}]
+
+    def step(kept: dict, rows: list[dict]) -> list[dict]:
+        pieces = kept.setdefault("pieces", {})
+        for row in rows:
+            pieces[str(int(row["seq"]))] = row["piece"] or ""
+            if row["finish"]:
+                kept["last"], kept["finish"] = int(row["seq"]), row["finish"]
+        if "last" not in kept or len(pieces) <= kept["last"]:
+            return []
+        kept["over"] = True
+        return whole(kept, kept["finish"])
 
-def assemble_stream(chunks: DataFrame) -> DataFrame:
-    """(call_id, text, chunks) so far, in update mode. chunks: call_id, seq, piece."""
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "")
-    return chunks.groupBy("call_id").agg(ordered.alias("text"), F.count(F.lit(1)).alias("chunks"))
+    return _stateful(chunks, "call_id", step, "text string, chunks long, finish string", quiet_ms, lambda kept: whole(kept, ""))
 
 
 def live_turns(events: DataFrame) -> DataFrame:
-    """(turn, started_ms, last_ms, open_spans) of turns without an end event so far, in update or complete mode."""
+    """(turn, started_ms, last_ms, open_spans) of turns without an end event, over a table of events."""
     open_ = F.sum(F.when(F.col("status") == "running", 1).otherwise(0))
     g = events.groupBy("turn").agg(F.min("started_ms").alias("started_ms"), F.max("started_ms").alias("last_ms"), open_.alias("open_spans"), F.max(F.col("kind") == "end").alias("ended"))
     return g.filter("not ended").drop("ended")
 
 
-def upsert_trace_stream(events: DataFrame, path: str, checkpoint: str):
-    """Keeps the newest document of each turn as a Parquet table below path/version=N; older versions never win.
+def live_turn_updates(events: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+    """(turn, update_no, started_ms, last_ms, open_spans, ended): what each batch of a stream makes of a turn.
 
-    events: turn, version, document. Every micro-batch (0.25 s apart) merges into the last table and writes the next
-    one; a batch that is run again writes the same version again. The folder of the highest number is the table.
+    events: turn, seq, kind, status, started_ms. The state of a turn goes with its end event, or
+    when it has been quiet for quiet_ms.
+    """
+
+    def step(kept: dict, rows: list[dict]) -> list[dict]:
+        for row in rows:
+            at = int(row["started_ms"])
+            kept["started"], kept["last"] = min(kept.get("started", at), at), max(kept.get("last", at), at)
+            kept["open"] = kept.get("open", 0) + (row["status"] == "running")
+            kept["over"] = kept.get("over", False) or row["kind"] == "end"
+        kept["n"] = kept.get("n", 0) + 1
+        return [{"update_no": kept["n"], "started_ms": kept["started"], "last_ms": kept["last"], "open_spans": kept["open"], "ended": kept["over"]}]
+
+    gone = lambda kept: [{"update_no": kept["n"] + 1, "started_ms": kept["started"], "last_ms": kept["last"], "open_spans": kept["open"], "ended": True}]
+    return _stateful(events, "turn", step, "update_no long, started_ms long, last_ms long, open_spans long, ended boolean", quiet_ms, gone)
+
+
+def live_now(updates: DataFrame) -> DataFrame:
+    """(turn, started_ms, last_ms, open_spans): the newest update of each turn that hasn't ended."""
+    newest = updates.groupBy("turn").agg(F.max_by(F.struct("started_ms", "last_ms", "open_spans", "ended"), "update_no").alias("u"))
+    return newest.filter("not u.ended").select("turn", "u.started_ms", "u.last_ms", "u.open_spans")
+
+
+#: After so many batches the batches' small tables are merged into one.
+COMPACT_EVERY = 100
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("turn").agg(F.max("version").alias("version"), F.max_by("document", "version").alias("document"))
+
+
+def upsert_trace_stream(events: DataFrame, path: str, checkpoint: str, compact_every: int = COMPACT_EVERY, available_now: bool = False):
+    """Keeps the newest document of each turn below path; older versions never win. events: turn, version, document.
+
+    Every micro-batch (0.25 s apart) writes just its own newest documents, as path/delta=N; a batch that is run again
+    writes the same table again. Every compact_every batches all are merged into path/base=N, and tables that only the
+    base before the last one was made of are deleted. latest_traces() reads the last base and the deltas after it.
     """
     spark = events.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        now = latest_traces(spark, path, number - 1)
-        both = batch.select("turn", "version", "document") if now is None else batch.select("turn", "version", "document").unionByName(now)
-        both.groupBy("turn").agg(F.max("version").alias("version"), F.max_by("document", "version").alias("document")).write.mode("overwrite").parquet(f"{path}/version={number}")
+        _newest(batch.select("turn", "version", "document")).write.mode("overwrite").parquet(f"{path}/delta={number}")
+        if (number + 1) % compact_every == 0:
+            _compact(spark, path, number)
+
+    writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="250 milliseconds")).start()
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _tables(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Numbers of the complete tables below path, by kind, rising."""
+    folder, system = _files(spark, path)
+    out: dict[str, list[int]] = {"base": [], "delta": []}
+    for status in system.listStatus(folder) if system.exists(folder) else []:
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in out and system.exists(_files(spark, f"{path}/{kind}={number}/_SUCCESS")[0]):
+            out[kind].append(int(number))
+    return {k: sorted(v) for k, v in out.items()}
+
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime="250 milliseconds").start()
+def _compact(spark: SparkSession, path: str, number: int) -> None:
+    before = [n for n in _tables(spark, path)["base"] if n < number]
+    latest_traces(spark, path, number).write.mode("overwrite").parquet(f"{path}/base={number}")
+    _, system = _files(spark, path)
+    for kind, numbers in _tables(spark, path).items():
+        for n in numbers:
+            if before and (n < before[-1] or kind == "delta" and n == before[-1]):
+                system.delete(_files(spark, f"{path}/{kind}={n}")[0], True)
 
 
 def latest_traces(spark: SparkSession, path: str, number: int | None = None) -> DataFrame | None:
-    """The table of the given version, or of the highest one; null before the first."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    have = sorted(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(folder)) if files.exists(folder) else []
-    have = [n for n in have if number is None or n <= number]
-    return spark.read.parquet(f"{path}/version={have[-1]}").select("turn", "version", "document") if have else None
+    """(turn, version, document) after the given batch, or after the last one; null before the first."""
+    tables = {k: [n for n in v if number is None or n <= number] for k, v in _tables(spark, path).items()}
+    base = [n for n in tables["base"] if n != number or n not in tables["delta"]][-1:]
+    used = [f"{path}/base={n}" for n in base] + [f"{path}/delta={n}" for n in tables["delta"] if not base or n > base[0]]
+    return _newest(spark.read.schema("turn string, version int, document string").parquet(*used)) if used else None

@@ -1,5 +1,6 @@
 """Operators on literal rows with known results."""
 
+import difflib
 import random
 import subprocess
 import sys
@@ -7,6 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from docsheaf.functions import containment
 from docsheaf.functions.readers import batch_read
 from docsheaf.operators import dialogue, evidence, pages, regions, store, telemetry, tiles, transcripts
 from docsheaf.sources import uploads
@@ -113,6 +115,16 @@ def test_tool_calls_in_text(spark):
     assert {r.k for r in dialogue.flag_malformed_envelopes(df, ["search"], "k").collect()} == {5, 6}
 
 
+def test_odd_replies_do_not_end_the_job(spark):
+    deep = "[" * 100_000
+    rows = [(1, '{"name": ["search"], "x": "search"}'), (2, '{"tool_calls": [7, null, {"function": {"name": {"search": 1}}}, {"function": {"name": "search", "arguments": "{\\"q\\": 1}"}}]}'), (3, deep + '"search"'), (4, '"search" ' + '{"a":' * 100_000), (5, '{"name": "search", "arguments": ' + '{"a":' * 100_000), (6, '{"name": "search", "args": null}')]
+    df = spark.createDataFrame(rows, "k int, content string")
+    got = {r.k: [(c.name, c.arguments) for c in r.calls] for r in dialogue.extract_tool_calls(df, ["search"], "k").collect()}
+    assert got == {1: [], 2: [("search", '{"q": 1}')], 3: [], 4: [], 5: [], 6: [("search", "{}")]}
+    replies = spark.createDataFrame([(1, deep), (2, '{"a":' * 100_000), (3, 'x [{"bbox":[0,0,1,1]}]'), (3, "none")], "k int, reply string")
+    assert sorted((r.k, r.structured) for r in regions.parse_regions(replies, "k").collect()) == [(1, False), (2, False), (3, False), (3, True)]
+
+
 def test_stitching_stops(spark):
     rows = [(1, 0, "a", "length"), (1, 1, "b", "length"), (1, 2, "b", "stop"), (2, 0, "a", "stop"), (2, 1, "b", "stop"), (3, 0, "a", "length"), (3, 1, "", "length"), (3, 2, "c", "stop")]
     got = {r.k: (r.text, r.pieces) for r in dialogue.stitch_continuations(spark.createDataFrame(rows, "k int, n int, text string, finish string"), "k").collect()}
@@ -181,24 +193,29 @@ def test_think_tags_cut_anywhere(spark, tmp_path):
     assert ("".join(r.reasoning for r in out), "".join(r.content for r in out)) == ("why\nnotopen", "before  after ")
 
 
-def test_newest_trace_wins(spark, tmp_path):
-    rows = [("t1", 2, "new"), ("t1", 1, "old"), ("t2", 5, "five")]
-    spark.createDataFrame(rows, "turn string, version int, document string").repartition(3).write.parquet(f"{tmp_path}/in")
+@pytest.mark.parametrize("every", [1, 2, 100])
+def test_newest_trace_wins(spark, tmp_path, every):
+    rows = [("t1", 2, "new"), ("t1", 1, "old"), ("t2", 5, "five"), ("t3", 1, "a"), ("t3", 3, "c"), ("t3", 2, "b")]
+    spark.createDataFrame(rows, "turn string, version int, document string").repartition(5).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("turn string, version int, document string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = streams.upsert_trace_stream(source, f"{tmp_path}/out", f"{tmp_path}/state")
-    q.processAllAvailable()
-    q.stop()
-    assert {tuple(r) for r in streams.latest_traces(spark, f"{tmp_path}/out").collect()} == {("t1", 2, "new"), ("t2", 5, "five")}
+    streams.upsert_trace_stream(source, f"{tmp_path}/out", f"{tmp_path}/state", compact_every=every, available_now=True).awaitTermination()
+    assert {tuple(r) for r in streams.latest_traces(spark, f"{tmp_path}/out").collect()} == {("t1", 2, "new"), ("t2", 5, "five"), ("t3", 3, "c")}
+    names = {p.name for p in (tmp_path / "out").iterdir()}
+    assert sum(n.startswith("base=") for n in names) <= 2 and (every < 100 or not any(n.startswith("base=") for n in names))
+    assert streams.latest_traces(spark, f"{tmp_path}/none") is None
 
 
 def test_live_turns_on_a_stream(spark, tmp_path):
     rows = [("a", 1, "llm", "running", 10), ("a", 2, "llm", "ok", 20), ("b", 1, "llm", "ok", 5), ("b", 2, "end", "ok", 9)]
-    frame = spark.createDataFrame(rows, "turn string, seq int, kind string, status string, started_ms long")
-    frame.write.parquet(f"{tmp_path}/in")
-    out = streams.live_turns(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"))
-    q = out.writeStream.format("memory").queryName("live_turns").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [tuple(r) for r in spark.sql("SELECT * FROM live_turns").collect()] == [("a", 10, 20, 1)]
+    frame = spark.createDataFrame(rows, "turn string, seq long, kind string, status string, started_ms long")
+    updates = _stream(spark, tmp_path, frame, streams.live_turn_updates)
+    assert [tuple(r) for r in streams.live_now(updates).collect()] == [("a", 10, 20, 1)] == [tuple(r) for r in streams.live_turns(frame).collect()]
+
+
+def test_calls_are_assembled_when_complete(spark, tmp_path):
+    rows = [("a", 0, "x", None), ("a", 1, "y", "stop"), ("b", 1, "late", "length"), ("c", 0, "open", None)]
+    frame = spark.createDataFrame(rows, "call_id string, seq long, piece string, finish string")
+    assert [tuple(r) for r in _stream(spark, tmp_path, frame, streams.assemble_stream).collect()] == [("a", "xy", 2, "stop")]
 
 
 def test_unrelated_lines(spark):
@@ -207,14 +224,67 @@ def test_unrelated_lines(spark):
     assert [r.line for r in transcripts.unrelated_lines(texts, expected, "k").collect()] == ["A cat sits on a sofa"]
 
 
+def test_unrelated_lines_over_blocks(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdef", k=rng.randint(3, 7)))
+    items = [" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    lines = [rng.choice([lambda: rng.choice(items), lambda: rng.choice(items)[1:], lambda: rng.choice(items)[:-3] + word(), lambda: word(), lambda: word() + " " + word(), lambda: "x " + rng.choice(items)])() for _ in range(200)]
+    same = lambda x: " ".join(x.split()).lower()
+
+    def unrelated(line):
+        a = same(line)
+        return not any(t in a or a in t or difflib.SequenceMatcher(None, a, t).ratio() >= 0.6 for t in map(same, items))
+
+    texts = spark.createDataFrame([(k, "\n".join(lines[k * 10 : k * 10 + 10])) for k in range(20)], "k int, text string")
+    expected = spark.createDataFrame([(i,) for i in items], "item string")
+    want = sorted((k, n, x) for k in range(20) for n, x in enumerate(y.strip() for y in lines[k * 10 : k * 10 + 10]) if x and unrelated(x))
+    for block in (7, 2000):
+        assert sorted(tuple(r) for r in transcripts.unrelated_lines(texts, expected, "k", block=block).collect()) == want
+    assert want and transcripts.unrelated_lines(texts, spark.createDataFrame([("",)], "item string"), "k").count() == 0
+
+
+def test_containing_needs_no_nested_loop(spark):
+    texts = spark.createDataFrame([(1, "the cat sat"), (2, "a dog"), (3, ""), (4, "ca" * 50), (5, "é😀中文")], "k int, t string")
+    strings = spark.createDataFrame([("cat",), ("a",), ("og",), ("",), ("dog",), ("aca",), ("zzz",), ("😀中",)], "s string")
+    want = {(1, "cat"), (1, "a"), (2, "a"), (2, "og"), (2, "dog"), (4, "a"), (4, "aca"), (5, "😀中")}
+    for block in (2, 100):
+        got = containment.containing(texts, ["k"], "t", strings, "s", block)
+        assert {(r.k, s) for r in got.collect() for s in r.held} == want
+    plan = evidence.search_documents(strings.selectExpr("1 AS query_id", "s AS query"), texts.selectExpr("1 AS conversation_id", "k AS position", "k AS doc", "t AS text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and all("contains(" not in line for line in plan.split("\n") if "Join" in line)
+
+
+def test_search_places_and_excerpts(spark):
+    docs = spark.createDataFrame([("c", 1, "d1", "Aa aA.aa x"), ("c", 2, "d2", "none"), ("c", 3, "d3", "y aa"), ("d", 1, "d4", "AAA"), ("d", 2, "d5", None)], "conversation_id string, position int, doc string, text string")
+    asked = spark.createDataFrame([(1, " aa "), (2, "a.a"), (3, "x"), (4, "AA")], "query_id int, query string")
+    got = sorted((r.query_id, r.conversation_id, r.doc, r.offset) for r in evidence.search_documents(asked, docs, limit=3).collect())
+    hits = [("c", "d1", 0), ("c", "d1", 3), ("c", "d1", 6), ("d", "d4", 0)]
+    assert got == [(1, *h) for h in hits] + [(2, "c", "d1", 4)] + [(4, *h) for h in hits]
+
+
 def test_uploads_from_files(spark, tmp_path):
     folder = tmp_path / "batch1"
     folder.mkdir()
-    for name, data in (("a.pdf", b"%PDF-1.7 x"), ("b.pdf", b"nope"), ("c.txt", b"x"), ("d.JPG", b"x")):
+    for name, data in (("a.pdf", b"%PDF-1.7 x"), ("b.pdf", b"nope"), ("c.txt", b"x"), ("d.JPG", b"x"), ("e.png", b""), ("f.pdf", b"\n\r\t " * 60 + b"%PDF-1.4"), ("g.pdf", b"")):
         (folder / name).write_bytes(data)
     accepted, rejected = uploads.scan_uploads(spark, str(tmp_path))
-    assert {(r.name, r.mime) for r in accepted.collect()} == {("a.pdf", "application/pdf"), ("d.JPG", "image/jpeg")}
-    assert {(r.name, r.reason) for r in rejected.collect()} == {("b.pdf", "not a PDF file"), ("c.txt", "type not allowed")}
+    assert {(r.name, r.mime) for r in accepted.collect()} == {("a.pdf", "application/pdf"), ("d.JPG", "image/jpeg"), ("f.pdf", "application/pdf")}
+    assert {(r.name, r.reason) for r in rejected.collect()} == {("b.pdf", "not a PDF file"), ("c.txt", "type not allowed"), ("e.png", "empty file"), ("g.pdf", "empty file")}
+
+
+def test_names_within_a_batch(spark):
+    names = {1: ["a.pdf", "A.PDF", "a.pdf", "b", "b"], 2: ["a.pdf", "a (2).pdf", "a.pdf", "A (2).pdf", "a (2) (2).pdf"], 3: [".png", ".png", "x.tar.gz", "X.tar.gz"]}
+    rows = [(b, k, n) for b, own in names.items() for k, n in enumerate(own)]
+    got = uploads.uniquify_names(spark.createDataFrame(rows, "batch int, n int, name string"), ["batch"], "n").collect()
+    made = {b: [r.name for r in sorted(got, key=lambda r: r.n) if r.batch == b] for b in names}
+    assert made[1] == ["a.pdf", "A (2).PDF", "a (3).pdf", "b", "b (2)"] and made[3] == [".png", " (2).png", "x.tar.gz", "X.tar (2).gz"]
+    assert made[2] == ["a.pdf", "a (2).pdf", "a (3).pdf", "A (2) (2).pdf", "a (2) (2) (2).pdf"]
+
+
+def test_safe_file_names(spark):
+    names = ["e\u0301t\u00e9.pdf", "CON", "con.txt", " ..a:b?.pdf. ", "x" * 120 + ".jpeg", "a.b.c", "no_ext.12345678901", "...", "a  \t b .png", "\u1112\u1161\u11ab.png", "a · page 1.png", None]
+    got = [r.f for r in spark.createDataFrame(list(enumerate(names)), "k int, n string").orderBy("k").select("k", uploads.safe_filename(F.col("n")).alias("f")).orderBy("k").collect()]
+    assert got == ["\u00e9t\u00e9.pdf", "_CON", "_con.txt", "a_b_.pdf", "x" * 91 + ".jpeg", "a.b.c", "no_ext.12345678901", "file", "a _ b.png", "\ud55c.png", "a.page 1.png", "file"]
 
 
 def test_truth_files(spark, tmp_path):
@@ -239,6 +309,12 @@ def test_unknown_parents_become_roots(spark):
     assert got == {1: (0, "1", 1), 2: (1, "1/2", 1), 3: (2, "1/2/3", 0), 4: (0, "4", 1), 5: (1, "4/5", 0)}
 
 
+def test_deep_span_trees_and_circles(spark):
+    rows = [(1, k, k - 1 if k > 1 else None) for k in range(1, 301)] + [(2, 1, 2), (2, 2, 1), (2, 3, None), (2, 4, 3), (2, 5, 5)]
+    got = {(r.turn, r.seq): (r.depth, r.path) for r in telemetry.span_tree(spark.createDataFrame(rows, "turn int, seq int, parent int")).collect()}
+    assert len(got) == 302 and got[1, 300] == (299, "/".join(map(str, range(1, 301)))) and got[2, 4] == (1, "3/4") and (2, 1) not in got and (2, 5) not in got
+
+
 def test_meta_groups_only_when_complete(spark):
     rows = [('{"tiling":{"overlap":-2},"imageMode":"tile","answerImages":{"sent":1}}',), ('{"reasoning":{"repeatLines":8}}',), ("broken",), (None,)]
     got = [r.m for r in spark.createDataFrame(rows, "j string").select(store.sanitize_meta(F.col("j")).alias("m")).collect()]
