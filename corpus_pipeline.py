@@ -10,28 +10,31 @@ from docsheaf.llm.common import saved, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or whose host is rejected, go."""
+    """Documents that fail the base rules, or whose host is rejected, go; so do null and empty texts. Repeated rows are
+    each judged, an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the least id."""
+    """One document of each near-duplicate class stays, that of the least id. Rows that repeat an id are one document; rows
+    without an id are in no class and stay."""
     return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go, each row by its own text. Null and empty texts, and all texts if
+    the benchmark is empty, stay."""
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by a mark; n_chars follows the new text."""
+    """Every secret is replaced by a mark; n_chars follows the new text. Null texts and rows without secrets stay as they are."""
     masked = secrets.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def binary_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two lengths, none across documents."""
+    """Token sequences of power-of-two lengths, none across documents. A null or empty text is its end id alone."""
     return packing.pack(docs)
 
 
