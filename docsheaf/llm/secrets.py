@@ -15,7 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsheaf.llm.common import bind, saved, text_of
+from docsheaf.llm.common import saved, text_of
 
 
 @dataclass(frozen=True)
