@@ -247,22 +247,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _outside(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """rows (bucket, doc_id), saved, with outside: whether a member is outside the bucket's largest component; with
-    members and queries, the bucket's numbers of all and of those outside. Buckets of one component are left out."""
-    own = saved(rows.join(comps, "doc_id", "left").select("bucket", "doc_id", F.coalesce("comp", "doc_id").alias("own")))
-    counted = own.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.groupBy("bucket").agg(F.max(F.struct("n", "own")).alias("top"), F.sum("n").alias("group_rows"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    placed = joined_groups(own, saved(top.select("bucket", "top", "group_rows")), ["bucket"], own.count())
-    return saved(placed.select("bucket", "doc_id", (F.col("own") != F.col("top.own")).alias("outside"), F.col("group_rows").alias("members"), (F.col("group_rows") - F.col("top.n")).alias("queries")))
+    """rows (bucket, doc_id) as (task, doc_id), saved, with outside: whether a member is outside the bucket's largest
+    component; with members and queries, the bucket's numbers of all and of those outside. Buckets of one component are
+    left out."""
+    own = saved(rows.withColumnRenamed("bucket", "task").join(comps, "doc_id", "left").select("task", "doc_id", F.coalesce("comp", "doc_id").alias("own")))
+    counted = own.groupBy("task", "own").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.groupBy("task").agg(F.max(F.struct("n", "own")).alias("top"), F.sum("n").alias("group_rows"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    placed = joined_groups(own, saved(top.select("task", "top", "group_rows")), ["task"], own.count())
+    return saved(placed.select("task", "doc_id", (F.col("own") != F.col("top.own")).alias("outside"), F.col("group_rows").alias("members"), (F.col("group_rows") - F.col("top.n")).alias("queries")))
 
 
 def _tasks(sized: DataFrame) -> DataFrame:
     """Tasks that compare the members outside the largest component with all members, in blocks of both."""
     q_parts, m_parts = F.ceil(F.col("queries") / QUERIES).cast("long"), F.ceil(F.col("members") / BLOCK).cast("long")
     spread = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
-    queries = sized.filter("outside").select("bucket", "doc_id", F.pmod(F.xxhash64("doc_id"), q_parts).alias("q"), spread(m_parts).alias("m"), F.lit(0).alias("role"))
-    members = sized.select("bucket", "doc_id", spread(q_parts).alias("q"), F.pmod(F.xxhash64("doc_id"), m_parts).alias("m"), F.when(F.col("outside"), 2).otherwise(1).alias("role"))
-    return queries.unionByName(members).select(F.col("bucket").alias("task"), F.xxhash64("q", "m").alias("part"), "doc_id", "role")
+    queries = sized.filter("outside").select("task", "doc_id", F.pmod(F.xxhash64("doc_id"), q_parts).alias("q"), spread(m_parts).alias("m"), F.lit(0).alias("role"))
+    members = sized.select("task", "doc_id", spread(q_parts).alias("q"), F.pmod(F.xxhash64("doc_id"), m_parts).alias("m"), F.when(F.col("outside"), 2).otherwise(1).alias("role"))
+    return queries.unionByName(members).select("task", F.xxhash64("q", "m").alias("part"), "doc_id", "role")
 
 
 def rare_buckets(table: DataFrame) -> DataFrame:
