@@ -62,7 +62,7 @@ def c9_parse_page_analysis(spark, sf_dir):
 
 
 def c10_page_ranges(spark, sf_dir):
-    return P.page_ranges(_routed(spark, sf_dir).filter("needs_vlm"), ["root"])
+    return P.page_ranges(_routed(spark, sf_dir).filter("drawing"), ["root"])
 
 
 def c11_drawing_report(spark, sf_dir):
@@ -150,7 +150,7 @@ ORACLES = {
     "c7_inspect_documents": oracle("v_page", _STATS + _DOCS + "SELECT * FROM d"),
     "c8_document_body": oracle("v_page", _STATS + _DOCS + _BODY + "SELECT * FROM b"),
     "c9_parse_page_analysis": oracle("v_page", _STATS + "SELECT root, page_number, classification, chars, raster, CASE WHEN raster > 0 THEN 1.0 ELSE 0.0 END AS raster_area, vector, needs_vlm FROM r"),
-    "c10_page_ranges": oracle("v_page", _STATS + "SELECT * FROM " + _RANGES.format(name="ranges", rows="(SELECT * FROM r WHERE needs_vlm)")),
+    "c10_page_ranges": oracle("v_page", _STATS + "SELECT * FROM " + _RANGES.format(name="ranges", rows="(SELECT * FROM r WHERE drawing)")),
     "c11_drawing_report": oracle("v_page", _STATS + ", k AS (SELECT * FROM r WHERE page_number <= 60), g AS (SELECT root, count(*) AS total_pages FROM r GROUP BY root), a AS (SELECT root, count(*) AS checked, sum(drawing::INT) AS drawn, sum((NOT drawing)::INT) AS none_detected, sum((drawing AND needs_vlm)::INT) AS no_text, bool_and(classification = 'scanned-raster') AS scan FROM k GROUP BY root), j AS (SELECT g.root, total_pages, checked, drawn, none_detected, no_text, scan, drawn_pages, none_pages, no_text_pages, unchecked_pages, greatest(total_pages - 60, 0) AS unchecked FROM g JOIN a ON g.root = a.root " + " ".join(f"LEFT JOIN {_RANGES.format(name=n, rows=q)} AS {n}_t ON {n}_t.root = g.root" for n, q in _LIST.items()) + "), z AS (SELECT *, CASE WHEN unchecked > 0 THEN '; page' || CASE WHEN unchecked = 1 THEN ' ' ELSE 's ' END || unchecked_pages || ' were not checked (page limit)' ELSE '' END AS tail FROM j) SELECT root, total_pages, checked, drawn, none_detected, no_text, drawn_pages, none_pages, no_text_pages, unchecked_pages, unchecked, CASE WHEN scan AND unchecked = 0 THEN 'file check: all ' || total_pages || ' pages are full-page scans with no text layer; their text is only a transcription of the visible labels. ' WHEN drawn = 0 THEN '" + P._BASIS + ": no embedded images or vector strokes detected on any page - drawings stored in another way would not be detected' || tail || '. ' ELSE '" + P._BASIS + ": ' || CASE WHEN none_detected = 0 AND unchecked = 0 THEN 'all ' || total_pages || ' pages contain them' ELSE drawn || ' of ' || total_pages || ' pages contain them - ' || drawn_pages END || CASE WHEN none_detected > 0 THEN '; ' || none_detected || CASE WHEN none_detected = 1 THEN ' page has' ELSE ' pages have' END || ' none detected - ' || none_pages ELSE '' END || CASE WHEN no_text > 0 THEN '; page' || CASE WHEN no_text = 1 THEN ' ' ELSE 's ' END || no_text_pages || CASE WHEN no_text = 1 THEN ' has no text layer, so its' ELSE ' have no text layer, so their' END || ' text is only a transcription of the visible labels' ELSE '' END || tail || '. ' END || '" + P._NOT_IN_TEXT + "' AS sentence FROM z"),
     "c12_expand_page_specs": """WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_partkey % 40 AS a, l_suppkey % 60 AS b, l_orderkey % 9 AS c, l_orderkey % 11 = 0 AS bad FROM lineitem),
  e AS (SELECT *, CASE WHEN bad THEN 'not a page list' WHEN a < 1 OR b < a OR c < 1 THEN 'bad range' END AS error FROM l)
