@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsheaf.llm import decontaminate, langid, neardup, packing, pii, quality, secrets, substrings, tokens, warc
+from docsheaf.llm import alignment, decontaminate, langid, neardup, packing, pieces, pii, quality, secrets, substrings, tokens, trie, warc
 from docsheaf.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("path")
+
+
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.links_report(table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +77,9 @@ QUERIES = {
         op8_binary_packing,
         op9_feistel_pseudonyms,
         op10_prefix_tokens,
+        op11_conversation_trie,
+        op12_lockstep_alignment,
+        op13_sentencepiece,
     )
 }
-ORACLES = {"op1_warc_archive": warc.ORACLE, "op3_secret_scan": secrets.ORACLE, "op4_spaced_seed_decontamination": decontaminate.ORACLE, "op7_host_rules": quality.ORACLE}
+ORACLES = {"op1_warc_archive": warc.ORACLE, "op3_secret_scan": secrets.ORACLE, "op4_spaced_seed_decontamination": decontaminate.ORACLE, "op7_host_rules": quality.ORACLE, "op11_conversation_trie": trie.ORACLE}
