@@ -12,8 +12,11 @@ from docsheaf.functions.text import let
 
 #: Strings without a whole word inside are looked up by pieces of this many characters, shorter ones by themselves.
 GRAM = 3
-#: Strings are handled in blocks of this many, each of which is broadcast and compared with all texts.
-BLOCK = 50_000
+#: Strings are handled in blocks of about this many bytes, each of which is broadcast and compared with all texts.
+BLOCK_BYTES = 16_000_000
+#: Pieces are counted in one text out of so many: the counts choose which piece of a string is looked up, and no result
+#: hangs on that choice.
+COUNTED = 8
 _BETWEEN = r"[^\p{L}\p{N}]+"
 
 
@@ -37,19 +40,20 @@ def grams(text: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(let(F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0)), lambda letters: F.concat(*[of_size(letters, n) for n in sizes])))
 
 
-def containing(texts: DataFrame, keys: Sequence[str], text: str, strings: DataFrame, string: str, block: int = BLOCK) -> DataFrame:
+def containing(texts: DataFrame, keys: Sequence[str], text: str, strings: DataFrame, string: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of texts that contain some of the strings, with `held`: those strings, in an array. Empty strings are in none.
 
     A text that contains a string has its inner words, or for a string without any its runs of GRAM characters. The texts
-    with the rarest of these (by the number of texts that have it) are candidates, and only they are searched for the
-    string. Keys tell the texts apart; none is null.
+    with the rarest of these are candidates, and only they are searched for the string. Keys tell the texts apart; none is
+    null.
     """
     keys = list(keys)
     asked = strings.select(F.col(string).alias("string")).filter(F.length("string") > 0).distinct()
     asked = asked.withColumn("inner", inner_words(F.col("string"))).withColumn("by", F.when(F.size("inner") > 0, 0).otherwise(F.least(F.length("string"), F.lit(GRAM))))
-    kinds = {r["by"]: r["count"] for r in asked.groupBy("by").count().collect()}  # GRAM + 1 rows at most
-    blocks = max(1, -(-sum(kinds.values()) // block))
-    found = [_candidates(texts, keys, text, asked.filter(F.pmod(F.xxhash64("string"), F.lit(blocks)) == k), sorted(kinds)) for k in range(blocks)]
+    # Inner words, or runs of GRAM characters, of a string take up to some five times its bytes.
+    sizes = {r["by"]: r["bytes"] for r in asked.groupBy("by").agg((F.sum(F.octet_length("string")) * 5).alias("bytes")).collect()}  # GRAM + 1 rows at most
+    blocks = max(1, -(-sum(sizes.values()) // block_bytes))
+    found = [_candidates(texts, keys, text, asked.filter(F.pmod(F.xxhash64("string"), F.lit(blocks)) == k), sorted(sizes)) for k in range(blocks)]
     named = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.collect_set("string").alias("maybe"))
     held = texts.join(named, keys).withColumn("held", F.filter("maybe", lambda s: F.contains(F.col(text), s)))
     return held.filter(F.size("held") > 0).drop("maybe")
@@ -62,8 +66,10 @@ def _candidates(texts: DataFrame, keys: list[str], text: str, asked: DataFrame,
     own = F.coalesce(F.when(F.col("by") == 0, F.transform("inner", lambda w: F.concat(F.lit(" "), w))), *map(by_size, sizes))
     parts = ([F.transform(words(F.col(text)), lambda w: F.concat(F.lit(" "), w))] if 0 in kinds else []) + ([grams(F.col(text), sizes)] if sizes else [])
     pieces = asked.select("string", F.explode(own).alias("piece"))
-    spelled = texts.select(*keys, F.explode(F.array_distinct(F.concat(*parts))).alias("piece"))
-    common = spelled.join(F.broadcast(pieces.select("piece").distinct()), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("n_texts"))
-    rarest = pieces.join(F.broadcast(common), "piece", "left").groupBy("string").agg(F.min(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), "piece")).alias("r"))
-    chosen = rarest.filter("r.n > 0").select("string", F.col("r.piece").alias("piece"))
-    return spelled.join(F.broadcast(chosen), "piece").select(*keys, "string")
+    spelled = lambda some: some.select(*keys, F.explode(F.array_distinct(F.concat(*parts))).alias("piece"))
+    counted = spelled(texts.filter(F.pmod(F.xxhash64(*keys), F.lit(COUNTED)) == 0))
+    common = counted.join(F.broadcast(pieces.select("piece").distinct()), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("n_texts"))
+    # Of pieces that weren't met, the longest is the likeliest to be rare.
+    order = F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), (-F.length("piece")).alias("short"), "piece")
+    chosen = pieces.join(F.broadcast(common), "piece", "left").groupBy("string").agg(F.min(order)["piece"].alias("piece"))
+    return spelled(texts).join(F.broadcast(chosen), "piece").select(*keys, "string")

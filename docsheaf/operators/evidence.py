@@ -168,12 +168,23 @@ def search_documents(queries: DataFrame, docs: DataFrame, limit: int = 12) -> Da
     order, at most `limit` for each query and conversation. queries: query_id, query (at least 2 characters).
     docs: conversation_id, position, doc, text. Offsets are those in the lower-cased text.
 
-    Candidates come from the rarest three characters of each query; places and excerpts are found in one row for each
-    text, so a text isn't copied for each query.
+    Candidates come from the rarest inner word of each query, or from runs of three characters; places and excerpts are
+    found in one row for each text, so a text isn't copied for each query. search_index() does the same by a stored index.
     """
-    asked = queries.select("query_id", F.lower(strip(F.col("query"))).alias("needle")).filter(F.length("needle") >= 2)
+    asked = asked_needles(queries)
     lowered = docs.select("conversation_id", "position", "doc", "text", F.lower("text").alias("low")).filter("low is not null")
     hits = containing(lowered, ["conversation_id", "position", "doc"], "low", asked, "needle")
+    return found_spots(hits, asked, limit)
+
+
+def asked_needles(queries: DataFrame) -> DataFrame:
+    """(query_id, needle): lower-case queries of at least two characters."""
+    return queries.select("query_id", F.lower(strip(F.col("query"))).alias("needle")).filter(F.length("needle") >= 2)
+
+
+def found_spots(hits: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """The rows of search_documents() in texts that hold needles. hits: conversation_id, position, doc, text, low (its lower
+    case), held (the needles)."""
 
     def places(needle: Column) -> Column:
         size = F.length(needle)

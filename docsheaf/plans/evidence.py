@@ -8,6 +8,8 @@ from docsheaf import fixtures as X
 from docsheaf.fixtures import oracle
 from docsheaf.functions.text import clip
 from docsheaf.operators import evidence as E
+from docsheaf.operators import search_index as I
+from docsheaf.session import shared_folder
 
 
 def _att(spark, sf_dir):
@@ -71,10 +73,20 @@ def g12_assemble_prompts(spark, sf_dir):
     return E.assemble_prompts(p, a.filter("kind <> 'image'"), images)
 
 
-def g13_search_documents(spark, sf_dir):
+def _searched(spark, sf_dir):
     q = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit(" "), "text").alias("query"))
-    d = X.table(spark, sf_dir, "documents").select(F.col("source").alias("conversation_id"), F.col("doc_id").alias("position"), F.col("doc_id").alias("doc"), "text")
-    return E.search_documents(q, d)
+    return q, X.table(spark, sf_dir, "documents").select(F.col("source").alias("conversation_id"), F.col("doc_id").alias("position"), F.col("doc_id").alias("doc"), "text")
+
+
+def g13_search_documents(spark, sf_dir):
+    return E.search_documents(*_searched(spark, sf_dir))
+
+
+def g13_search_index(spark, sf_dir):
+    q, d = _searched(spark, sf_dir)
+    path = shared_folder(spark)
+    I.write_index(d, path)
+    return I.search_index(q, d, path)
 
 
 def g14_read_window(spark, sf_dir):
@@ -167,4 +179,5 @@ ORACLES = {
     "g19_collate_answers": "WITH a AS (SELECT source, doc_id AS page, CASE WHEN doc_id % 10 < 5 THEN 'pages 1-5' ELSE 'page ' || doc_id END AS marker, CASE WHEN doc_id % 10 < 5 THEN 'same' ELSE text END AS answer FROM documents), b AS (SELECT *, lag(marker) OVER w AS pm FROM a WINDOW w AS (PARTITION BY source ORDER BY page)) SELECT source, string_agg('[' || marker || '] ' || answer, chr(10) ORDER BY page) AS text, count(*) AS n FROM b WHERE NOT coalesce(pm = marker AND marker = 'pages 1-5', false) GROUP BY source",
     "g20_viewed_pages": oracle("v_event", ", q AS (SELECT turn, seq AS n, prompt_tokens % 25 = 0 AS an, prompt_tokens % 30 AS page, sum((prompt_tokens % 25 = 0)::INT) OVER (PARTITION BY turn ORDER BY seq) AS e FROM v_event), l AS (SELECT turn, max(e) AS le FROM q GROUP BY turn), f AS (SELECT *, (row_number() OVER (PARTITION BY turn, e, page ORDER BY n) = 1)::INT AS f FROM q WHERE NOT an), u AS (SELECT *, sum(f) OVER (PARTITION BY turn, e ORDER BY n) AS u FROM f), t AS (SELECT *, bool_or(u <= 12) FILTER (f = 1) OVER (PARTITION BY turn, e, page) AS t FROM u) SELECT t.turn, n, page, CASE WHEN NOT t THEN 'refused' WHEN f = 1 THEN 'attached' ELSE 'repeat' END AS state, e < le AND t AND f = 1 AS dropped FROM t JOIN l ON t.turn = l.turn"),
 }
+ORACLES["g13_search_index"] = ORACLES["g13_search_documents"]
 QUERIES = {k: v for k, v in dict(globals()).items() if k[:1] == "g" and k[1:2].isdigit()}

@@ -101,6 +101,13 @@ ORACLES = {
  CASE WHEN ok > 0 AND tiles > ok THEN (tiles - ok) || ' of ' || tiles || ' tiles did not return structured regions, so targets inside those tiles may be missing.' WHEN ok = 0 AND (cut > 0 OR looped > 0) THEN 'The vision model did not return structured regions for any tile; no boxes could be measured.' ELSE '' END
  || CASE WHEN cut > 0 THEN ' ' || cut || ' of ' || tiles || ' tiles stopped at the output limit of 4096 tokens before answering and were not retried.' ELSE '' END
  || CASE WHEN looped > 0 THEN ' ' || looped || ' of ' || tiles || ' tiles were stopped because the model''s reasoning did not finish (it repeated itself or exceeded its budget) and were not retried.' ELSE '' END AS warning FROM g LEFT JOIN n ON g.page = n.page"""),
+    "f8_score_boxes": oracle("v_box", """, b AS (SELECT page AS run, box_no, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM v_box),
+ o AS (SELECT a.run, t.box_no AS t, a.box_no AS p, least(a.x + a.w, t.x + t.w) - greatest(a.x, t.x) AS ow, least(a.y + a.h, t.y + t.h) - greatest(a.y, t.y) AS oh, a.w * a.h AS aa, t.w * t.h AS ta FROM b a JOIN b t ON a.run = t.run AND a.box_no % 2 = 1 AND t.box_no % 2 = 0),
+ r AS (SELECT run, t, p, iou, row_number() OVER (PARTITION BY run ORDER BY iou DESC, t DESC, p DESC) AS n FROM (SELECT *, ow * oh / (aa + ta - ow * oh) AS iou FROM o WHERE ow > 0 AND oh > 0)),
+ k AS (WITH RECURSIVE w AS (SELECT run, n, t, p, iou, true AS ok, [t] AS ts, [p] AS ps FROM r WHERE n = 1 UNION ALL SELECT r.run, r.n, r.t, r.p, r.iou, NOT list_contains(ts, r.t) AND NOT list_contains(ps, r.p),
+  CASE WHEN list_contains(ts, r.t) OR list_contains(ps, r.p) THEN ts ELSE list_append(ts, r.t) END, CASE WHEN list_contains(ts, r.t) OR list_contains(ps, r.p) THEN ps ELSE list_append(ps, r.p) END FROM w JOIN r ON r.run = w.run AND r.n = w.n + 1) SELECT * FROM w WHERE ok),
+ s AS (SELECT b.run, round(coalesce(k.iou, 0), 3) AS iou FROM b LEFT JOIN k ON k.run = b.run AND k.t = b.box_no WHERE b.box_no % 2 = 0), n AS (SELECT run, count(*) AS predictions FROM b WHERE box_no % 2 = 1 GROUP BY run)
+ SELECT s.run, count(*) AS targets, floor((2 * sum(round(iou * 1000)::BIGINT) + count(*)) / (2 * count(*))) / 1000 AS mean_iou, count(*) FILTER (iou >= 0.5) AS hits, any_value(predictions) AS predictions, any_value(predictions) - count(*) FILTER (iou >= 0.5) AS unmatched FROM s JOIN n ON s.run = n.run GROUP BY s.run"""),
     "f9_distractor_hits": oracle("v_box", ", b AS (SELECT page AS run, box_no, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM v_box), p AS (SELECT a.run, a.box_no, greatest(0, least(a.x + a.w, d.x + d.w) - greatest(a.x, d.x)) * greatest(0, least(a.y + a.h, d.y + d.h) - greatest(a.y, d.y)) AS s, a.w * a.h + d.w * d.h AS t FROM b a JOIN b d ON a.run = d.run AND a.box_no % 2 = 1 AND d.box_no % 2 = 0) SELECT run, count(DISTINCT box_no) AS on_distractor FROM p WHERE s / (t - s) >= 0.3 GROUP BY run"),
 }
 QUERIES = {k: v for k, v in dict(globals()).items() if k[:1] == "f" and k[1:2].isdigit()}

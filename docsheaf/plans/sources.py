@@ -12,7 +12,9 @@ from docsheaf.functions.readers import batch_read
 from docsheaf.operators import transcripts as T
 from docsheaf.session import shared_folder
 from docsheaf.sources import uploads as U
+from docsheaf.plans.telemetry import J4_ROWS, REPETITION, call_lines, chunk_rows
 from docsheaf.streaming import calls as C
+from docsheaf.streaming import ordered as O
 from docsheaf.streaming import streams as S
 
 
@@ -89,14 +91,33 @@ def _streamed(spark, frame, transform, mode: str = "append"):
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
+def _chunk_stream(spark, rows, transform):
+    """Runs transform over the chunks in three micro-batches, each with chunks of every call from all over it."""
+    folder = shared_folder(spark)
+    last = F.max("seq").over(C.W.partitionBy("call_id"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))
+    frame = rows.withColumns({"seq": F.col("seq").cast("long"), "at": at, "last": F.col("seq") == last})
+    frame.repartition(3, F.xxhash64("call_id", "seq")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withWatermark("at", "30 days")
+    out = transform(stream)
+    writer = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 def js1_watch_calls_stream(spark, sf_dir):
-    return _streamed(spark, X.chunks(spark, sf_dir).withColumn("seq", F.col("seq").cast("long")), lambda s: S.watch_calls(s, 100))
+    return _chunk_stream(spark, X.chunks(spark, sf_dir), lambda s: O.watch_calls(s, 100)).drop("at")
+
+
+def js2_repetition_stream(spark, sf_dir):
+    lines = call_lines(spark, sf_dir).select("call_id", (F.col("pos") - 1).alias("seq"), F.concat("line", F.lit("\n")).alias("piece"))
+    return _chunk_stream(spark, lines, lambda s: O.watch_calls(s, 0)).select("call_id", (F.col("seq") + 1).alias("pos"), "verdict")
 
 
 def js3_split_think_stream(spark, sf_dir):
-    c = X.chunks(spark, sf_dir)
     piece = F.when(F.col("seq") % 20 == 5, F.concat("piece", F.lit("<thi"))).when(F.col("seq") % 20 == 6, F.concat(F.lit("nk>"), "piece")).when(F.col("seq") % 20 == 12, F.concat("piece", F.lit("</think>"))).otherwise(F.col("piece"))
-    return _streamed(spark, c.select("call_id", F.col("seq").cast("long").alias("seq"), piece.alias("piece")), S.split_think_stream).groupBy("call_id").agg(F.sum(F.length("reasoning")).alias("reasoning_chars"), F.sum(F.length("content")).alias("content_chars"))
+    split = _chunk_stream(spark, X.chunks(spark, sf_dir).select("call_id", "seq", piece.alias("piece")), O.split_think_stream)
+    return split.groupBy("call_id").agg(F.sum(F.length("reasoning")).alias("reasoning_chars"), F.sum(F.length("content")).alias("content_chars"))
 
 
 def js5_throttle_stream(spark, sf_dir):
@@ -105,10 +126,8 @@ def js5_throttle_stream(spark, sf_dir):
 
 
 def js4_assemble_stream(spark, sf_dir):
-    c = X.chunks(spark, sf_dir)
-    ends = c.groupBy("call_id").agg(F.max("seq").alias("last"))
-    rows = c.join(ends, "call_id").select("call_id", F.col("seq").cast("long").alias("seq"), F.concat("piece", F.lit(" ")).alias("piece"), F.when(F.col("seq") == F.col("last"), "stop").alias("finish"))
-    return _streamed(spark, rows, S.assemble_stream)
+    """The calls of j4 through splitter, monitor and assembler: the same rows as of the batch form."""
+    return _chunk_stream(spark, chunk_rows(spark, sf_dir), O.answer_stream).select("call_id", "text", "reasoning", "finish", "tokens", "tool_calls")
 
 
 def js7_upsert_trace_stream(spark, sf_dir):
@@ -116,7 +135,7 @@ def js7_upsert_trace_stream(spark, sf_dir):
     e = X.trace_events(spark, sf_dir).select(F.col("turn").cast("string").alias("turn"), F.col("seq").alias("version"), F.concat_ws(":", "kind", "label", F.col("elapsed_ms").cast("string")).alias("document"))
     e.repartition(6, "version").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    S.upsert_trace_stream(stream, f"{folder}/out", f"{folder}/state", compact_every=2, available_now=True).awaitTermination()
+    S.upsert_trace_stream(stream, f"{folder}/out", f"{folder}/state", available_now=True).awaitTermination()
     return S.latest_traces(spark, f"{folder}/out")
 
 
@@ -134,12 +153,13 @@ ORACLES = {
     "k1_batch_read": "WITH d AS (SELECT doc_id, text, unnest([1, 2, 3]) AS attempt FROM documents), r AS (SELECT doc_id, attempt, CASE WHEN (length(text) + attempt) % 3 <> 0 THEN text ELSE '' END AS text FROM d), o AS (SELECT *, coalesce(bool_or(text <> '') OVER (PARTITION BY doc_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM r) SELECT doc_id, attempt, text, 'stop' AS finish, CAST(NULL AS VARCHAR) AS error FROM o WHERE NOT done",
     "k2_fold_by_key": "WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT a.user_id, a.event_id, a.n - coalesce(max(b.n), 0) AS since_higher FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.n < a.n AND b.value > a.value GROUP BY a.user_id, a.event_id, a.n",
     "js3_split_think_stream": X.oracle("v_chunk", r""", p AS (SELECT call_id, string_agg(CASE seq % 20 WHEN 5 THEN piece || '<thi' WHEN 6 THEN 'nk>' || piece WHEN 12 THEN piece || '</think>' ELSE piece END, '' ORDER BY seq) AS u FROM v_chunk GROUP BY call_id),
- q AS (SELECT call_id, regexp_replace(u, '<thi$', '') AS t FROM p), r AS (SELECT call_id, regexp_replace(t, '(?s)<think>.*?(</think>|$)', '', 'g') AS content, list_sum(list_transform(regexp_extract_all(t, '(?s)<think>(.*?)(?:</think>|$)', 1), lambda x: length(x))) AS n FROM q) SELECT call_id, coalesce(n, 0)::BIGINT AS reasoning_chars, length(content) AS content_chars FROM r"""),
+ q AS (SELECT call_id, u AS t FROM p), r AS (SELECT call_id, regexp_replace(t, '(?s)<think>.*?(</think>|$)', '', 'g') AS content, list_sum(list_transform(regexp_extract_all(t, '(?s)<think>(.*?)(?:</think>|$)', 1), lambda x: length(x))) AS n FROM q) SELECT call_id, coalesce(n, 0)::BIGINT AS reasoning_chars, length(content) AS content_chars FROM r"""),
     "a3_storage_layout": X.oracle("v_att", """SELECT id, CASE WHEN page_number IS NOT NULL THEN p || regexp_replace(name, ' · page [0-9]+$', '') || '.page-' || lpad(page_number::VARCHAR, 4, '0') || '.png' WHEN id % 5 = 3 THEN p || 'u' || id || '.model.png'
  WHEN name LIKE '%visual OCR' THEN p || replace(name, ' · ', '.') ELSE p || name END AS file_name, CASE WHEN id % 5 = 3 THEN p || name END AS source_name FROM (SELECT *, CASE WHEN id % 9 = 0 THEN 'CON_' ELSE '' END AS p FROM v_att)"""),
     "a6_write_events_ndjson": X.oracle("v_event", "SELECT turn, seq, kind, status FROM v_event"),
     "a8_read_truth": X.oracle("v_box", "SELECT page AS path, 'target' AS role, box_no - 1 AS n, label, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM v_box UNION ALL SELECT page, 'distractor', 0, label, round(x, 6), round(y, 6), round(w, 6), round(h, 6) FROM v_box WHERE box_no = 1"),
-    "js4_assemble_stream": X.oracle("v_chunk", "SELECT call_id, string_agg(piece || ' ', '' ORDER BY seq) AS text, count(*) AS chunks, 'stop' AS finish FROM v_chunk GROUP BY call_id"),
+    "js2_repetition_stream": X.oracle("v_line", REPETITION + "SELECT call_id, min(pos) AS pos, 'repeat' AS verdict FROM hits GROUP BY call_id"),
+    "js4_assemble_stream": X.oracle("v_chunk", J4_ROWS),
     "js5_throttle_stream": """WITH RECURSIVE e AS (SELECT user_id AS call_id, epoch_us(ts::TIMESTAMP) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
  k AS (SELECT call_id, t, n FROM e WHERE n = 1 UNION ALL SELECT call_id, t, n FROM (SELECT e.*, min(e.n) OVER (PARTITION BY e.call_id) AS first FROM k JOIN e ON e.call_id = k.call_id AND e.n > k.n AND e.t - k.t >= 3600) WHERE n = first)
  SELECT call_id, n AS seq, t AS "at" FROM k""",

@@ -130,12 +130,12 @@ def j1_reasoning_budget(spark, sf_dir):
     return S.reasoning_budget(X.chunks(spark, sf_dir), 100)
 
 
-def _call_lines(spark, sf_dir):
+def call_lines(spark, sf_dir):
     return X.lines(spark, sf_dir).filter("trim(line) <> ''").select(F.col("doc_id").alias("call_id"), F.row_number().over(S.W.partitionBy("doc_id").orderBy("line_no")).alias("pos"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("thinking about part "), (F.col("line_no") % (1 + F.col("doc_id") % 5)).cast("string"))).otherwise(S.squeeze(F.col("line"))).alias("line"))
 
 
 def j2_repetition(spark, sf_dir):
-    return S.repetition(_call_lines(spark, sf_dir))
+    return S.repetition(call_lines(spark, sf_dir))
 
 
 def j3_split_think(spark, sf_dir):
@@ -144,20 +144,24 @@ def j3_split_think(spark, sf_dir):
     return S.split_think(cut.select("call_id", "c.*"))
 
 
-def j4_assemble_calls(spark, sf_dir):
-    c = X.chunks(spark, sf_dir)
+def chunk_rows(spark, sf_dir):
+    """The words of a message in turn as content, reasoning and parts of two tool calls, the second of which has no name."""
     k = F.col("seq") % 4
-    rows = c.select(
+    return X.chunks(spark, sf_dir).select(
         "call_id", "seq", F.when(k == 0, F.concat("piece", F.lit(" "))).alias("content"), F.when(k == 1, F.concat("piece", F.lit(" "))).alias("reasoning"), F.when(k >= 2, (F.col("seq") % 2)).alias("tool_index"),
-        F.when(k == 2, F.concat(F.lit("id"), F.col("seq").cast("string"))).alias("tool_id"), F.when(F.col("seq") % 12 == 2, F.lit("search")).alias("tool_name"), F.when(k >= 2, "piece").alias("tool_args"),
+        F.when(k == 2, F.concat(F.lit("id"), F.col("seq").cast("string"))).alias("tool_id"), F.when(F.col("seq") % 12 == 2, F.lit("search")).alias("tool_name"),
+        F.when(F.col("seq") == 2, '{"n": ').when(F.col("seq") == 6, '"7"}').when(k == 3, F.col("piece")).alias("tool_args"),
         F.when(F.col("seq") % 9 == 8, F.when(F.col("seq") % 2 == 0, "stop").otherwise("length")).alias("finish"), F.when(F.col("seq") % 5 == 4, F.col("seq").cast("long")).alias("tokens"),
     )
-    return S.assemble_calls(rows)
+
+
+def j4_assemble_calls(spark, sf_dir):
+    return S.assemble_calls(chunk_rows(spark, sf_dir))
 
 
 def j5_throttle_progress(spark, sf_dir):
     e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("call_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_id")
-    return S.throttle_progress(e, 3600.0)
+    return S.throttle_progress(e, 3600.0, tie="event_id")
 
 
 def j6_reasoning_outcomes(spark, sf_dir):
@@ -170,6 +174,15 @@ def j6_reasoning_outcomes(spark, sf_dir):
 _TOOLS = """, e AS (SELECT * REPLACE (CASE WHEN kind = 'tool' AND prompt_tokens % 2 = 0 THEN 'inspect_visual' WHEN kind = 'tool' AND prompt_tokens % 3 = 0 THEN 'analyze_pages' ELSE label END AS label) FROM v_event),
 c AS (SELECT e.turn, e.seq, CASE WHEN p.kind = 'ocr' THEN 'ocr' WHEN p.kind = 'tool' THEN CASE p.label WHEN 'inspect_visual' THEN 'grounding' WHEN 'analyze_pages' THEN 'analysis' ELSE 'tool:' || p.label END ELSE 'answer' END AS call_kind FROM e LEFT JOIN e p ON e.turn = p.turn AND e.parent = p.seq WHERE e.kind = 'llm')
 """
+#: Ends of blocks of k lines that have come three times in a row.
+REPETITION = r""", l AS (SELECT doc_id AS call_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos, CASE WHEN doc_id % 3 = 0 THEN 'thinking about part ' || line_no % (1 + doc_id % 5) ELSE trim(regexp_replace(line, '\s+', ' ', 'g')) END AS line FROM v_line WHERE trim(line) <> ''),
+ n AS (SELECT call_id, list(line ORDER BY pos) AS ls FROM l GROUP BY call_id), p AS (SELECT call_id, pos, k, ls[pos-k+1:pos] AS b, ls[pos-2*k+1:pos-k] AS c, ls[pos-3*k+1:pos-2*k] AS d FROM (SELECT l.call_id, l.pos, ls, unnest(range(1, 9)) AS k FROM l JOIN n ON l.call_id = n.call_id) WHERE pos >= 3 * k),
+ hits AS (SELECT * FROM p WHERE b = c AND c = d AND list_sum(list_transform(b, lambda x: length(x))) >= 24)
+ """
+J4_ROWS = r"""SELECT call_id, regexp_replace(coalesce(string_agg(piece || ' ', '' ORDER BY seq) FILTER (seq % 4 = 0), ''), '^\s+|\s+$', '', 'g') AS text,
+ regexp_replace(coalesce(string_agg(piece || ' ', '' ORDER BY seq) FILTER (seq % 4 = 1), ''), '^\s+|\s+$', '', 'g') AS reasoning, arg_max(CASE WHEN seq % 2 = 0 THEN 'stop' ELSE 'length' END, seq) FILTER (seq % 9 = 8) AS finish,
+ CAST(max(seq) FILTER (seq % 5 = 4) AS BIGINT) AS tokens, CASE WHEN max(seq) < 2 THEN '[]' ELSE '[{"name":"search","id":"id' || max(seq) FILTER (seq % 4 = 2) || '","arguments":"' || CASE WHEN max(seq) >= 6 THEN '{\"n\":\"7\"}' ELSE '{}' END || '"}]' END AS tool_calls
+ FROM v_chunk GROUP BY call_id"""
 _M = "kind IN ('llm', 'ocr', 'grounding')"
 ORACLES = {
     "i1_explode_traces": oracle("v_event", "SELECT " + ", ".join(_FIELDS) + " FROM v_event"),
@@ -181,6 +194,7 @@ ORACLES = {
     "i5_turn_summary": oracle("v_event", f"SELECT turn, count(*) FILTER (kind = 'llm') AS llm_calls, count(*) FILTER (kind = 'ocr') AS ocr_calls, count(*) FILTER (kind = 'grounding') AS grounding_calls, count(*) FILTER (kind = 'tool') AS tool_runs, coalesce(sum(elapsed_ms) FILTER ({_M}), 0) AS model_ms, coalesce(sum(prompt_tokens) FILTER ({_M}), 0) AS prompt_tokens, coalesce(sum(completion_tokens) FILTER ({_M}), 0) AS completion_tokens, coalesce(sum(reasoning_tokens) FILTER ({_M}), 0) AS reasoning_tokens, count(*) FILTER ({_M} AND finish = 'length') AS cut_length, count(*) FILTER ({_M} AND finish = 'reasoning_budget') AS cut_reasoning_budget, count(*) FILTER (status IN ('failed', 'cancelled')) AS failed FROM v_event GROUP BY turn"),
     "i6_slowest_calls": oracle("v_event", f"SELECT turn, rank, seq, label, elapsed_ms, reasoning_tokens FROM (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY elapsed_ms DESC, seq) AS rank, count(*) OVER (PARTITION BY turn) AS n FROM v_event WHERE {_M}) WHERE rank <= 3 AND n > 3 AND elapsed_ms > 0"),
     "a7_export_traces": oracle("v_event", """SELECT turn, '{"events":[' || string_agg('{"seq":' || seq || ',"kind":"' || kind || '","elapsed_ms":' || elapsed_ms || '}', ',' ORDER BY seq) || ']}' AS document FROM v_event GROUP BY turn"""),
+    "j4_assemble_calls": oracle("v_chunk", J4_ROWS),
     "j5_throttle_progress": """WITH RECURSIVE e AS (SELECT user_id AS call_id, epoch_us(ts::TIMESTAMP) / 1e6 AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
  k AS (SELECT call_id, t, event_id, n FROM e WHERE n = 1 UNION ALL SELECT call_id, t, event_id, n FROM (SELECT e.*, min(e.n) OVER (PARTITION BY e.call_id) AS first FROM k JOIN e ON e.call_id = k.call_id AND e.n > k.n AND e.t - k.t >= 3600) WHERE n = first)
  SELECT call_id, t AS "at", event_id FROM k""",
@@ -198,9 +212,7 @@ ORACLES = {
     "i18_clip_trace_text": "SELECT doc_id, length(text) AS chars, CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, 1, 470) || chr(10) || '…[' || format('{:,}', length(text) - 940) || '자 생략]…' || chr(10) || right(text, 470) END AS text FROM documents",
     "i19_classify_errors": oracle("v_msg", "SELECT conversation_id, position, CASE WHEN n % 11 = 0 THEN 'output-limit' WHEN n % 13 = 0 THEN 'unfinished-reasoning' WHEN regexp_matches(m, '" + T.CONTEXT_ERROR + "') THEN 'context-overflow' WHEN n % 7 = 0 OR regexp_matches(m, '" + T.TOOLS_ERROR + "') THEN 'tools-unsupported' ELSE 'other' END AS error_kind FROM (SELECT *, length(content) AS n, CASE length(content) % 5 WHEN 0 THEN 'Prompt is too long: ' || content WHEN 1 THEN 'no Function-Call here: ' || content ELSE content END AS m FROM v_msg)"),
     "j1_reasoning_budget": oracle("v_chunk", ", r AS (SELECT call_id, seq, piece, greatest(sum((length(piece) > 0)::INT) OVER w, sum(length(piece)) OVER w // 4) AS tokens FROM v_chunk WINDOW w AS (PARTITION BY call_id ORDER BY seq)) SELECT call_id, min(seq) AS seq, arg_min(tokens, seq) AS tokens FROM r WHERE tokens > 100 AND length(piece) > 0 GROUP BY call_id"),
-    "j2_repetition": oracle("v_line", r""", l AS (SELECT doc_id AS call_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos, CASE WHEN doc_id % 3 = 0 THEN 'thinking about part ' || line_no % (1 + doc_id % 5) ELSE trim(regexp_replace(line, '\s+', ' ', 'g')) END AS line FROM v_line WHERE trim(line) <> ''),
- n AS (SELECT call_id, list(line ORDER BY pos) AS ls FROM l GROUP BY call_id), p AS (SELECT call_id, pos, k, ls[pos-k+1:pos] AS b, ls[pos-2*k+1:pos-k] AS c, ls[pos-3*k+1:pos-2*k] AS d FROM (SELECT l.call_id, l.pos, ls, unnest(range(1, 9)) AS k FROM l JOIN n ON l.call_id = n.call_id) WHERE pos >= 3 * k)
- SELECT call_id, arg_min(pos, pos * 10 + k) AS pos, arg_min(k, pos * 10 + k) AS length FROM p WHERE b = c AND c = d AND list_sum(list_transform(b, lambda x: length(x))) >= 24 GROUP BY call_id"""),
+    "j2_repetition": oracle("v_line", REPETITION + "SELECT call_id, arg_min(pos, pos * 10 + k) AS pos, arg_min(k, pos * 10 + k) AS length FROM hits GROUP BY call_id"),
     "j3_split_think": oracle("v_chunk", "SELECT call_id, string_agg(piece, '' ORDER BY seq) AS reasoning, string_agg(' ' || piece, '' ORDER BY seq) AS content FROM v_chunk GROUP BY call_id"),
     "j6_reasoning_outcomes": "SELECT event_id AS call_id, CASE WHEN event_id % 3 = 0 THEN 'budget' ELSE 'repeat' END AS forced, f AS runaway, CAST(floor(value) * 6 AS BIGINT) AS reasoning_tokens, f IS NULL AS answer_kept FROM (SELECT *, CASE WHEN user_id % 7 = 0 THEN 'rejected' WHEN user_id % 11 = 0 THEN 'repeat' WHEN floor(value) * 5 > 512 THEN 'budget' WHEN user_id % 5 = 0 THEN 'empty' END AS f FROM events WHERE event_id % 3 <> 2)",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,6 +60,14 @@ def split_think(chunks: DataFrame) -> DataFrame:
     return whole.select("call_id", F.array_join(inner, "").alias("reasoning"), F.regexp_replace("t", r"(?is)<think>.*?(?:</think>|\z)", "").alias("content"))
 
 
+def tool_json(tools: Column) -> Column:
+    """Tool calls, array of (tool_index, name, id, args), as JSON in order of their index. Those without a name don't
+    count; arguments that aren't JSON count as none."""
+    named = F.filter(F.sort_array(tools), lambda x: x["name"].isNotNull())
+    arguments = lambda x: F.coalesce(F.to_json(F.from_json(x["args"], "map<string,string>")), F.lit("{}"))
+    return F.to_json(F.transform(named, lambda x: F.struct(x["name"].alias("name"), x["id"].alias("id"), arguments(x).alias("arguments"))))
+
+
 def assemble_calls(chunks: DataFrame) -> DataFrame:
     """(call_id, text, reasoning, finish, tokens, tool_calls) of chunk rows.
 
@@ -71,14 +79,13 @@ def assemble_calls(chunks: DataFrame) -> DataFrame:
     first = lambda c: F.min(F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct("seq", F.col(c).alias("v"))))["v"]
     calls = chunks.groupBy("call_id").agg(strip(ordered("content")).alias("text"), strip(ordered("reasoning")).alias("reasoning"), last("finish").alias("finish"), last("tokens").alias("tokens"))
     parts = chunks.filter("tool_index is not null").groupBy("call_id", "tool_index").agg(first("tool_name").alias("name"), last("tool_id").alias("id"), ordered("tool_args").alias("args"))
-    json = F.from_json("args", "map<string,string>")
-    good = parts.filter("name is not null").withColumn("arguments", F.coalesce(F.to_json(json), F.lit("{}")))
-    tools = good.groupBy("call_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("tool_index", F.struct("name", "id", "arguments").alias("c")))), lambda x: x["c"])).alias("tool_calls"))
+    tools = parts.groupBy("call_id").agg(tool_json(F.collect_list(F.struct("tool_index", "name", "id", "args"))).alias("tool_calls"))
     return calls.join(tools, "call_id", "left").na.fill("[]", ["tool_calls"])
 
 
-def throttle_progress(events: DataFrame, seconds: float = 1.0, key: str = "call_id", time: str = "at") -> DataFrame:
-    """The rows at least `seconds` after the last row kept, from the first one on; exact, by an ordered fold."""
+def throttle_progress(events: DataFrame, seconds: float = 1.0, key: str = "call_id", time: str = "at", tie: str = "seq") -> DataFrame:
+    """The rows at least `seconds` after the last row kept, from the first one on; exact, by an ordered fold. Rows of one
+    time are taken in order of `tie`."""
     from docsheaf.functions.folds import fold_by_key
 
     def fold(own: Iterator[dict]) -> Iterator[dict]:
@@ -88,7 +95,7 @@ def throttle_progress(events: DataFrame, seconds: float = 1.0, key: str = "call_
                 last = row[time]
                 yield row
 
-    return fold_by_key(events, [key], [time], fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema))
+    return fold_by_key(events, [key], [time, tie], fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema))
 
 
 def reasoning_outcomes(first: DataFrame, second: DataFrame) -> DataFrame:

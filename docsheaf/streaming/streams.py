@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the call detectors, the progress throttle and the live view of turns."""
+"""Structured Streaming forms of the progress throttle, the live view of turns and the upsert of traces."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docsheaf.settings import DEFAULTS, Settings
-
 _STATE = "state string"
 
 
@@ -52,65 +51,6 @@ def _row_by_row(step):
     return lambda kept, rows: [o for row in rows for o in step(kept, row)]
 
 
-def watch_calls(chunks: DataFrame, budget: int, settings: Settings = DEFAULTS, quiet_ms: int | None = None) -> DataFrame:
-    """(call_id, seq, verdict, tokens): the chunk at which a call's reasoning repeats itself or exceeds its budget.
-
-    A repeat is tested before the budget, and the first verdict of a call is its only one. The state holds the counts,
-    the unfinished line and the last few lines. chunks: call_id, seq (rising within a call), piece.
-    """
-    keep = settings.repeat_lines * settings.repeat_count + 1
-
-    def repeats(lines: list[str]) -> bool:
-        for n in range(1, settings.repeat_lines + 1):
-            if n * settings.repeat_count > len(lines):
-                return False
-            block = lines[-n:]
-            if sum(map(len, block)) >= settings.repeat_min_chars and all(lines[len(lines) - n * (k + 1) : len(lines) - n * k] == block for k in range(1, settings.repeat_count)):
-                return True
-        return False
-
-    def step(kept: dict, row: dict) -> list[dict]:
-        if kept.get("done") or not row["piece"]:
-            return []
-        kept["n"], kept["chars"] = kept.get("n", 0) + 1, kept.get("chars", 0) + len(row["piece"])
-        *ended, kept["open"] = (kept.get("open", "") + row["piece"]).split("\n")
-        lines, verdict = kept.get("lines", []), ""
-        for line in ended:
-            if squeezed := " ".join(line.split()):
-                lines = [*lines, squeezed][-keep:]
-                if repeats(lines):
-                    verdict = "repeat"
-                    break
-        kept["lines"] = lines
-        tokens = max(kept["n"], kept["chars"] // 4)
-        if not verdict and budget and tokens > budget:
-            verdict = "budget"
-        if not verdict:
-            return []
-        kept["done"] = True
-        return [{"seq": int(row["seq"]), "verdict": verdict, "tokens": tokens}]
-
-    return _stateful(chunks, "call_id", _row_by_row(step), "seq long, verdict string, tokens long", quiet_ms)
-
-
-def split_think_stream(chunks: DataFrame, quiet_ms: int | None = None) -> DataFrame:
-    """(call_id, seq, reasoning, content) for each chunk; a tail that may be the start of a tag waits for the next one."""
-    tags = {False: "<think>", True: "</think>"}
-
-    def step(kept: dict, row: dict) -> list[dict]:
-        text, inside = kept.get("held", "") + (row["piece"] or ""), kept.get("inside", False)
-        parts = {True: "", False: ""}
-        while (at := text.lower().find(tags[inside])) >= 0:
-            parts[inside] += text[:at]
-            text, inside = text[at + len(tags[inside]) :], not inside
-        hold = next((n for n in range(min(7, len(text)), 0, -1) if tags[inside].startswith(text[-n:].lower())), 0)
-        parts[inside] += text[: len(text) - hold]
-        kept["held"], kept["inside"] = text[len(text) - hold :], inside
-        return [{"seq": int(row["seq"]), "reasoning": parts[True], "content": parts[False]}]
-
-    return _stateful(chunks, "call_id", _row_by_row(step), "seq long, reasoning string, content string", quiet_ms)
-
-
 def throttle_stream(events: DataFrame, seconds: float = 1.0, quiet_ms: int | None = None) -> DataFrame:
     """(call_id, seq, at): at most one row every `seconds` for each call. events: call_id, seq, at (seconds)."""
 
@@ -123,31 +63,6 @@ def throttle_stream(events: DataFrame, seconds: float = 1.0, quiet_ms: int | Non
     return _stateful(events, "call_id", _row_by_row(step), "seq long, at double", quiet_ms)
 
 
-def assemble_stream(chunks: DataFrame, quiet_ms: int | None = None) -> DataFrame:
-    """(call_id, text, chunks, finish) of each call once, when its last piece and all before it have come.
-
-    chunks: call_id, seq (0, 1, ... within a call), piece, finish (null but in the last piece). Pieces may come out of
-    order. A call that is quiet for quiet_ms is given out as far as it came, with an empty finish.
-    """
-
-    def whole(kept: dict, finish: str) -> list[dict]:
-        pieces = kept.get("pieces", {})
-        return [{"text": "".join(pieces[k] for k in sorted(pieces, key=int)), "chunks": len(pieces), "finish": finish}]
-
-    def step(kept: dict, rows: list[dict]) -> list[dict]:
-        pieces = kept.setdefault("pieces", {})
-        for row in rows:
-            pieces[str(int(row["seq"]))] = row["piece"] or ""
-            if row["finish"]:
-                kept["last"], kept["finish"] = int(row["seq"]), row["finish"]
-        if "last" not in kept or len(pieces) <= kept["last"]:
-            return []
-        kept["over"] = True
-        return whole(kept, kept["finish"])
-
-    return _stateful(chunks, "call_id", step, "text string, chunks long, finish string", quiet_ms, lambda kept: whole(kept, ""))
-
-
 def live_turns(events: DataFrame) -> DataFrame:
     """(turn, started_ms, last_ms, open_spans) of turns without an end event, over a table of events."""
     open_ = F.sum(F.when(F.col("status") == "running", 1).otherwise(0))
@@ -181,61 +96,25 @@ def live_now(updates: DataFrame) -> DataFrame:
     return newest.filter("not u.ended").select("turn", "u.started_ms", "u.last_ms", "u.open_spans")
 
 
-#: After so many batches the batches' small tables are merged into one.
-COMPACT_EVERY = 100
-
-
 def _newest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("turn").agg(F.max("version").alias("version"), F.max_by("document", "version").alias("document"))
 
 
-def upsert_trace_stream(events: DataFrame, path: str, checkpoint: str, compact_every: int = COMPACT_EVERY, available_now: bool = False):
-    """Keeps the newest document of each turn below path; older versions never win. events: turn, version, document.
+def upsert_trace_stream(events: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Writes the newest document of each turn of every micro-batch (0.25 s apart) to the table at path, partitioned by
+    batch. events: turn, version, document.
 
-    Every micro-batch (0.25 s apart) writes just its own newest documents, as path/delta=N; a batch that is run again
-    writes the same table again. Every compact_every batches all are merged into path/base=N, and tables that only the
-    base before the last one was made of are deleted. latest_traces() reads the last base and the deltas after it.
+    A batch that is run again replaces its own partition. latest_traces() picks the newest version of each turn, so older
+    versions never win whenever they come. Merging partitions is left to the table's maintenance.
     """
-    spark = events.sparkSession
 
-    def merge(batch: DataFrame, number: int) -> None:
-        _newest(batch.select("turn", "version", "document")).write.mode("overwrite").parquet(f"{path}/delta={number}")
-        if (number + 1) % compact_every == 0:
-            _compact(spark, path, number)
+    def write(batch: DataFrame, number: int) -> None:
+        _newest(batch.select("turn", "version", "document")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="250 milliseconds")).start()
 
 
-def _files(spark: SparkSession, path: str):
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _tables(spark: SparkSession, path: str) -> dict[str, list[int]]:
-    """Numbers of the complete tables below path, by kind, rising."""
-    folder, system = _files(spark, path)
-    out: dict[str, list[int]] = {"base": [], "delta": []}
-    for status in system.listStatus(folder) if system.exists(folder) else []:
-        kind, _, number = status.getPath().getName().partition("=")
-        if kind in out and system.exists(_files(spark, f"{path}/{kind}={number}/_SUCCESS")[0]):
-            out[kind].append(int(number))
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def _compact(spark: SparkSession, path: str, number: int) -> None:
-    before = [n for n in _tables(spark, path)["base"] if n < number]
-    latest_traces(spark, path, number).write.mode("overwrite").parquet(f"{path}/base={number}")
-    _, system = _files(spark, path)
-    for kind, numbers in _tables(spark, path).items():
-        for n in numbers:
-            if before and (n < before[-1] or kind == "delta" and n == before[-1]):
-                system.delete(_files(spark, f"{path}/{kind}={n}")[0], True)
-
-
-def latest_traces(spark: SparkSession, path: str, number: int | None = None) -> DataFrame | None:
-    """(turn, version, document) after the given batch, or after the last one; null before the first."""
-    tables = {k: [n for n in v if number is None or n <= number] for k, v in _tables(spark, path).items()}
-    base = [n for n in tables["base"] if n != number or n not in tables["delta"]][-1:]
-    used = [f"{path}/base={n}" for n in base] + [f"{path}/delta={n}" for n in tables["delta"] if not base or n > base[0]]
-    return _newest(spark.read.schema("turn string, version int, document string").parquet(*used)) if used else None
+def latest_traces(spark: SparkSession, path: str) -> DataFrame:
+    """(turn, version, document) of the table that upsert_trace_stream() writes."""
+    return _newest(spark.read.schema("turn string, version int, document string, batch long").parquet(path))

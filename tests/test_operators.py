@@ -172,39 +172,6 @@ def _stream(spark, tmp_path, frame, transform, files=3):
     return spark.sql(f"SELECT * FROM {q.name}")
 
 
-def test_stream_budget_and_repetition_equal_batch(spark, tmp_path):
-    rows = [("a", k, "ab") for k in range(1, 12)] + [("b", 1, "x" * 100)] + [("c", k, f"a longer line number {k % 4}\n") for k in range(1, 30)]
-    frame = spark.createDataFrame(rows, "call_id string, seq long, piece string")
-    got = {r.call_id: (r.seq, r.verdict) for r in _stream(spark, tmp_path, frame, lambda s: streams.watch_calls(s, 10)).collect()}
-    batch = {r.call_id: r.seq for r in calls.reasoning_budget(frame, 10).collect()}
-    assert got["a"] == (11, "budget") and got["b"] == (1, "budget") and batch["a"] == 11 and batch["b"] == 1
-    assert calls.reasoning_budget(frame, 0).count() == 0
-    lines = calls.repetition(calls.complete_lines(frame.filter("call_id = 'c'"))).first()
-    assert (lines.pos, lines.length) == (12, 4)
-
-
-def test_think_tags_cut_anywhere(spark, tmp_path):
-    text = "before <THINK>why\nnot</think> after <think>open"
-    rows = [("a", k, text[3 * k : 3 * k + 3]) for k in range(len(text) // 3 + 1)]
-    frame = spark.createDataFrame(rows, "call_id string, seq long, piece string")
-    batch = calls.split_think(frame).first()
-    assert (batch.reasoning, batch.content) == ("why\nnotopen", "before  after ")
-    out = _stream(spark, tmp_path, frame, streams.split_think_stream).orderBy("seq").collect()
-    assert ("".join(r.reasoning for r in out), "".join(r.content for r in out)) == ("why\nnotopen", "before  after ")
-
-
-@pytest.mark.parametrize("every", [1, 2, 100])
-def test_newest_trace_wins(spark, tmp_path, every):
-    rows = [("t1", 2, "new"), ("t1", 1, "old"), ("t2", 5, "five"), ("t3", 1, "a"), ("t3", 3, "c"), ("t3", 2, "b")]
-    spark.createDataFrame(rows, "turn string, version int, document string").repartition(5).write.parquet(f"{tmp_path}/in")
-    source = spark.readStream.schema("turn string, version int, document string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    streams.upsert_trace_stream(source, f"{tmp_path}/out", f"{tmp_path}/state", compact_every=every, available_now=True).awaitTermination()
-    assert {tuple(r) for r in streams.latest_traces(spark, f"{tmp_path}/out").collect()} == {("t1", 2, "new"), ("t2", 5, "five"), ("t3", 3, "c")}
-    names = {p.name for p in (tmp_path / "out").iterdir()}
-    assert sum(n.startswith("base=") for n in names) <= 2 and (every < 100 or not any(n.startswith("base=") for n in names))
-    assert streams.latest_traces(spark, f"{tmp_path}/none") is None
-
-
 def test_live_turns_on_a_stream(spark, tmp_path):
     rows = [("a", 1, "llm", "running", 10), ("a", 2, "llm", "ok", 20), ("b", 1, "llm", "ok", 5), ("b", 2, "end", "ok", 9)]
     frame = spark.createDataFrame(rows, "turn string, seq long, kind string, status string, started_ms long")
@@ -212,12 +179,6 @@ def test_live_turns_on_a_stream(spark, tmp_path):
     assert [tuple(r) for r in streams.live_now(updates).collect()] == [("a", 10, 20, 1)] == [tuple(r) for r in streams.live_turns(frame).collect()]
 
 
-def test_calls_are_assembled_when_complete(spark, tmp_path):
-    rows = [("a", 0, "x", None), ("a", 1, "y", "stop"), ("b", 1, "late", "length"), ("c", 0, "open", None)]
-    frame = spark.createDataFrame(rows, "call_id string, seq long, piece string, finish string")
-    assert [tuple(r) for r in _stream(spark, tmp_path, frame, streams.assemble_stream).collect()] == [("a", "xy", 2, "stop")]
-
-
 def test_unrelated_lines(spark):
     texts = spark.createDataFrame([(1, "DRAWING NO A-1024\nDRAWNG NO A-1O24\n[TILE r1c1]\nA cat sits on a sofa\nno a")], "k int, text string")
     expected = spark.createDataFrame([("Drawing No  A-1024",)], "item string")

@@ -9,7 +9,7 @@ from docsheaf import catalog
 from docsheaf import fixtures as X
 from tests.conftest import SF
 
-PLAIN = {"c4_count_paint_ops", "e4_salvage_cutoff", "e14_unrelated_lines", "f1_parse_regions", "f6_merge_tile_boxes", "f8_score_boxes", "j4_assemble_calls", "k2_read_then_resolve"}
+PLAIN = {"c4_count_paint_ops", "e4_salvage_cutoff", "e14_unrelated_lines", "f1_parse_regions", "f6_merge_tile_boxes", "k2_read_then_resolve"}
 
 
 def result(spark, name, *columns):
@@ -122,26 +122,6 @@ def test_scored_boxes(spark):
     assert all(abs(g[2] - w[2]) < 2e-3 for g, w in zip(got, sorted(want), strict=True))
 
 
-def test_assembled_calls(spark):
-    calls = defaultdict(list)
-    for c in X.chunks(spark, SF).collect():
-        calls[c.call_id].append((c.seq, c.piece))
-    want = []
-    for call, pieces in calls.items():
-        pieces.sort()
-        text = "".join(p + " " for s, p in pieces if s % 4 == 0).strip()
-        thought = "".join(p + " " for s, p in pieces if s % 4 == 1).strip()
-        finish = [("stop" if s % 2 == 0 else "length") for s, _ in pieces if s % 9 == 8]
-        tokens = [s for s, _ in pieces if s % 5 == 4]
-        named = any(s % 12 == 2 for s, _ in pieces)
-        ids = [f"id{s}" for s, _ in pieces if s % 4 == 2]
-        # index 0 has the name and ids of places 2 mod 4; index 1 has none and is left out; words are no JSON, so no arguments
-        tools = [{"name": "search", "id": ids[-1], "arguments": "{}"}] if named else []
-        want.append((call, text, thought, finish[-1] if finish else None, tokens[-1] if tokens else None, tools))
-    got = [(r.call_id, r.text, r.reasoning, r.finish, r.tokens, json.loads(r.tool_calls)) for r in catalog.QUERIES["j4_assemble_calls"](spark, SF).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
-
-
 def test_attempts_of_a_reader_are_resolved(spark):
     want = []
     for d in table(spark, "documents"):
