@@ -80,7 +80,7 @@ ORACLES = {
     "h2_flag_false_refusals": oracle("v_msg v_att", _MSG + "SELECT conversation_id, position FROM m WHERE role = 'assistant' AND length(content) < 1500 AND regexp_matches(content, '(?i)" + "|".join(D.FALSE_REFUSAL).replace("'", "''") + "') AND conversation_id IN (SELECT conversation_id FROM v_att WHERE text <> '' OR kind = 'image')"),
     "h3_flag_error_replies": oracle("v_msg", _MSG + r"SELECT conversation_id, position FROM m WHERE role = 'assistant' AND regexp_matches(trim(content), '(?i)^(?:오류|error)\s*:')"),
     "h4_extract_tool_calls": oracle("v_msg", """, c AS (SELECT conversation_id || '-' || position AS reply, length(content) AS n FROM v_msg), k AS (SELECT *, n % 5 IN (0, 1, 2) AND n % 3 < 2 AS ok FROM c)
- SELECT reply, ok::INT AS n, CASE WHEN ok THEN CASE n % 3 WHEN 0 THEN 'search' ELSE 'view_page' END END AS name, CASE WHEN ok THEN '{"q": ' || n || '}' END AS arguments FROM k"""),
+ SELECT reply, ok::INT AS n, CASE WHEN ok THEN CASE n % 3 WHEN 0 THEN 'search' ELSE 'view_page' END END AS name, CASE WHEN ok THEN '{"q":' || n || '}' END AS arguments FROM k"""),
     "h5_flag_malformed_envelopes": oracle("v_msg", "SELECT conversation_id || '-' || position AS reply FROM v_msg WHERE length(content) % 5 = 3"),
     "h8_stitch_continuations": oracle("v_msg", """, m AS (SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY position) AS k, CASE WHEN length(content) % 9 = 0 THEN '' ELSE content END AS t, length(content) % 4 > 0 AS cut FROM v_msg),
  h AS (WITH RECURSIVE w AS (SELECT conversation_id, k, t AS text, cut AS open, 1 AS pieces FROM m WHERE k = 1 UNION ALL SELECT m.conversation_id, m.k, CASE WHEN m.t = '' OR ends_with(w.text, m.t) THEN w.text ELSE w.text || chr(10) || chr(10) || m.t END, m.t <> '' AND NOT ends_with(w.text, m.t) AND m.cut, w.pieces + (m.t <> '' AND NOT ends_with(w.text, m.t))::INT FROM w JOIN m ON m.conversation_id = w.conversation_id AND m.k = w.k + 1 WHERE w.open AND w.k <= 8) SELECT * FROM w)

@@ -139,6 +139,8 @@ t AS (SELECT image_id, rows, cols, ri + 1 AS row, ci + 1 AS col, lf AS left, tp
 _LIST = {"drawn_pages": "(SELECT * FROM k WHERE drawing)", "none_pages": "(SELECT * FROM k WHERE NOT drawing)", "no_text_pages": "(SELECT * FROM k WHERE drawing AND needs_vlm)", "unchecked_pages": "(SELECT * FROM r WHERE page_number > 60)"}
 
 ORACLES = {
+    "c4_count_paint_ops": r"""SELECT source AS page, sum(len(list_filter(string_split_regex(regexp_replace(replace(text, 'the', 'S'), '\((\\.|[^\\()])*\)', '()', 'g'), '[ \t\n\x0b\f\r]+'), lambda w: w IN ('B', 'B*', 'b', 'b*', 'f', 'f*', 'F', 'S', 's', 'sh'))))::BIGINT AS vector
+ FROM documents GROUP BY source""",
     "c1_page_text_stats": oracle("v_page", _STATS + "SELECT page_id, clean_text, chars FROM s"),
     "c2_classify_pages": oracle("v_page", _STATS + "SELECT page_id, classification, needs_vlm FROM c"),
     "c3_raster_coverage": """SELECT o_orderkey AS page, round(greatest(0, least(1, coalesce(s, 0) / ((o_orderkey % 60 + 40) * (o_orderkey % 50 + 30)))), 6) AS raster_area FROM orders LEFT JOIN

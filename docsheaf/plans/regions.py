@@ -87,6 +87,7 @@ _PAIR = """, p AS (SELECT a.page, a.type, a.box_no AS first, b.box_no AS second,
  FROM v_box a JOIN v_box b ON a.page = b.page AND a.type = b.type AND a.box_no < b.box_no AND a.tile <> b.tile)
 """
 ORACLES = {
+    "f1_parse_regions": oracle("v_msg", "SELECT conversation_id || '-' || position AS reply_id, length(content) % 5 <> 3 AS structured, (length(content) % 5 <> 3)::INT AS n, CASE WHEN length(content) % 5 = 3 THEN -1.0::DOUBLE ELSE (length(content) % 300)::DOUBLE END AS x FROM v_msg"),
     "f2_normalize_coords": oracle("v_box", """, r AS (SELECT page, box_no AS n, (box_no + page) % 4 AS k, x, y, x + w AS u, y + h AS v FROM v_box), m AS (SELECT *, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1000.0 ELSE 2000.0 END AS q, greatest(x, y, u, v) AS g FROM r),
  s AS (SELECT page, n, CASE WHEN g * q <= 1 THEN 1000.0 * q WHEN g * q > 1000 THEN q * 1000.0 / 1800.0 ELSE q END AS sx, CASE WHEN g * q <= 1 THEN 1000.0 * q WHEN g * q > 1000 THEN q * 1000.0 / 1500.0 ELSE q END AS sy, x, y, u, v FROM m),
  c AS (SELECT page, n, greatest(0, least(1000, x * sx::DOUBLE)) AS x, greatest(0, least(1000, y * sy::DOUBLE)) AS y, greatest(0, least(1000, u * sx::DOUBLE)) AS u, greatest(0, least(1000, v * sy::DOUBLE)) AS v FROM s)

@@ -149,6 +149,8 @@ ORACLES = {
  o AS (SELECT doc_id, n, CASE WHEN head IS NULL OR n > tail OR NOT (upper(rk) = '[UNCLEAR]' AND size > 1 OR size > 12) THEN rtrim(line) WHEN n = head AND upper(rk) = '[UNCLEAR]' THEN rtrim(line)
   WHEN n = head THEN rtrim(line) || chr(10) || rtrim(line) || chr(10) || rtrim(line) || chr(10) || '[REPEATED LINE OMITTED x' || (size - 3) || ': likely a model repetition loop]' END AS line FROM s)
  SELECT doc_id, trim(regexp_replace(string_agg(line, chr(10) ORDER BY n), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM o WHERE line IS NOT NULL GROUP BY doc_id""",
+    "e4_salvage_cutoff": oracle("v_msg", _REPLIES + r""", a AS (SELECT reply, CASE WHEN contains(text, '</think>') THEN regexp_replace(text, '(?s)^.*</think>', '') WHEN contains(text, '<think') OR position % 3 = 0 AND position % 4 <> 0 THEN '' ELSE text END AS t FROM rp WHERE position % 2 = 0),
+ c AS (SELECT reply, trim(regexp_replace(regexp_replace(t, '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS x FROM a) SELECT reply, CASE WHEN """ + _USABLE.format("x") + " THEN x ELSE '' END AS text FROM c"),
     "e5_resolve_attempts": oracle("v_msg", _REPLIES + ", a AS (SELECT conversation_id AS image, position + 1 AS attempt, text AS clean, CASE WHEN length(content) % 4 = 0 THEN content ELSE '' END AS partial, length(content) AS n FROM rp WHERE position < 3), d AS (SELECT *, CASE WHEN n % 13 = 0 THEN NULL WHEN n % 11 = 0 THEN 'failed' WHEN n % 7 = 0 AND partial <> '' THEN 'ok' WHEN n % 7 = 0 THEN 'failed' WHEN n % 2 = 0 AND regexp_matches(clean, '" + T.NO_TEXT + "') THEN 'empty' WHEN " + _USABLE.format("clean") + " THEN 'ok' END AS status FROM a), t AS (SELECT *, CASE WHEN n % 11 = 0 THEN '[OCR FAILED: the model''s reasoning did not finish (budget) and was stopped before producing a transcription. Not retried.]' WHEN n % 7 = 0 AND partial <> '' THEN partial || chr(10) || '[TRANSCRIPTION INCOMPLETE: the model reached the output limit of 4096 tokens here. Text after this point was not transcribed.]' WHEN n % 7 = 0 THEN '[OCR FAILED: the model reached the output limit of 4096 tokens without producing a transcription. Not retried.]' WHEN status = 'empty' THEN '' ELSE clean END AS result FROM d) SELECT image, coalesce(arg_min(status, attempt) FILTER (status IS NOT NULL), 'failed') AS status, CASE WHEN count(status) = 0 THEN '[OCR FAILED AFTER 3 ATTEMPTS: ' || arg_max(CASE WHEN n % 13 = 0 THEN 'timeout' ELSE 'empty or non-transcription OCR response' END, attempt) || ']' ELSE arg_min(result, attempt) FILTER (status IS NOT NULL) END AS text FROM t GROUP BY image"),
     "e6_drop_overlap_lines": "WITH x AS (SELECT 1)" + _TILES + r""", ln AS (SELECT page, row, col, i, ls[i] AS line, trim(regexp_replace(ls[i], '\s+', ' ', 'g')) AS k FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM tl WHERE status = 'ok'))),
  n AS (SELECT page, row, col, k FROM ln WHERE length(replace(k, ' ', '')) >= 6 AND regexp_matches(k, '\p{L}') AND NOT regexp_full_match(k, '\[.*\]') GROUP BY ALL HAVING count(*) = 1),

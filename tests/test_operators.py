@@ -120,7 +120,7 @@ def test_odd_replies_do_not_end_the_job(spark):
     rows = [(1, '{"name": ["search"], "x": "search"}'), (2, '{"tool_calls": [7, null, {"function": {"name": {"search": 1}}}, {"function": {"name": "search", "arguments": "{\\"q\\": 1}"}}]}'), (3, deep + '"search"'), (4, '"search" ' + '{"a":' * 100_000), (5, '{"name": "search", "arguments": ' + '{"a":' * 100_000), (6, '{"name": "search", "args": null}')]
     df = spark.createDataFrame(rows, "k int, content string")
     got = {r.k: [(c.name, c.arguments) for c in r.calls] for r in dialogue.extract_tool_calls(df, ["search"], "k").collect()}
-    assert got == {1: [], 2: [("search", '{"q": 1}')], 3: [], 4: [], 5: [], 6: [("search", "{}")]}
+    assert got == {1: [], 2: [("search", '{"q":1}')], 3: [], 4: [], 5: [], 6: [("search", "{}")]}
     replies = spark.createDataFrame([(1, deep), (2, '{"a":' * 100_000), (3, 'x [{"bbox":[0,0,1,1]}]'), (3, "none")], "k int, reply string")
     assert sorted((r.k, r.structured) for r in regions.parse_regions(replies, "k").collect()) == [(1, False), (2, False), (3, False), (3, True)]
 

@@ -9,7 +9,7 @@ from docsheaf import catalog
 from docsheaf import fixtures as X
 from tests.conftest import SF
 
-PLAIN = {"c4_count_paint_ops", "e4_salvage_cutoff", "e14_unrelated_lines", "f1_parse_regions", "f6_merge_tile_boxes", "k2_read_then_resolve"}
+PLAIN = {"e14_unrelated_lines", "f6_merge_tile_boxes", "k2_read_then_resolve"}
 
 
 def result(spark, name, *columns):
@@ -25,7 +25,7 @@ def test_paint_operators(spark):
     for d in table(spark, "documents"):
         bare = re.sub(r"\((?:\\.|[^\\()])*\)", "()", d.text.replace("the", "S"))
         want[d.source] += len(re.findall(r"(?:^|(?<=[ \t\n\x0b\f\r]))(?:B\*?|b\*?|f\*?|F|S|s|sh)(?=[ \t\n\x0b\f\r]|$)", bare))
-    assert result(spark, "c4_count_paint_ops", "page", "vector") == sorted(want.items(), key=str) and sum(want.values())
+    assert result(spark, "page", "vector") == sorted(want.items(), key=str) and sum(want.values())
 
 
 def replies(spark):
@@ -47,7 +47,7 @@ def test_salvaged_answers(spark):
         text = re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in text.split("\n"))).strip("\n")
         refused = text.lstrip().startswith("Sorry,") or not text.strip()
         want.append((f"{m.conversation_id}-{p}", "" if refused else text))
-    assert result(spark, "e4_salvage_cutoff", "reply", "text") == sorted(want, key=str)
+    assert result(spark, "reply", "text") == sorted(want, key=str)
 
 
 def test_unrelated_lines(spark):
@@ -64,7 +64,7 @@ def test_unrelated_lines(spark):
 
 def test_parsed_regions(spark):
     want = [(f"{m.conversation_id}-{m.position}", n % 5 != 3, int(n % 5 != 3), -1.0 if n % 5 == 3 else float(n % 300)) for m, n in replies(spark)]
-    assert result(spark, "f1_parse_regions", "reply_id", "structured", "n", "x") == sorted(want, key=str)
+    assert result(spark, "reply_id", "structured", "n", "x") == sorted(want, key=str)
 
 
 def overlap(a, b):
