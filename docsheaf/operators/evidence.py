@@ -233,23 +233,38 @@ def resolve_names(requests: DataFrame, attachments: DataFrame) -> DataFrame:
     return requests.select("request_id").join(found, "request_id", "left")
 
 
-def plan_page_analysis(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def plan_page_analysis(requests: DataFrame, settings: Settings = DEFAULTS, fixed: bool = False) -> DataFrame:
     """What becomes of each requested page: beyond, deferred, cached, allowed or refused, in request order.
 
-    requests: turn, call, page, question, total_pages. A call takes its first pages; a (page, question) seen in an
-    earlier call of the turn is free; the turn takes a bounded number of new ones. Plans don't depend on outcomes.
+    requests: turn, call, page, question, total_pages (null if unknown). A call takes its first pages; a (page, question)
+    that an earlier call of the turn was allowed is free; the turn takes a bounded number of new ones. A call that has
+    something new when the turn has used these up is refused as a whole, cached pages too: call_refused. Plans don't
+    depend on outcomes.
+
+    With fixed a call takes all pages from its first existing one up to what a call takes, whatever else was asked for,
+    and the rest of the document is deferred.
     """
-    page = requests.withColumn("beyond", F.coalesce(F.col("page") > F.col("total_pages"), F.lit(False)))
+    asked = requests.select("turn", "call", "page", "question", "total_pages")
+    if fixed:
+        exists = F.col("total_pages").isNull() | (F.col("page") <= F.col("total_pages"))
+        calls = asked.groupBy("turn", "call").agg(F.min(F.when(exists, F.col("page"))).alias("start"), F.first("question").alias("question"), F.max("total_pages").alias("total_pages"))
+        last = F.coalesce("total_pages", F.col("start") + (settings.analyze_pages_per_call - 1)).cast("long")
+        whole = calls.filter("start is not null").select("turn", "call", F.explode(F.sequence(F.col("start").cast("long"), last)).alias("page"), "question", "total_pages").withColumn("page", F.col("page").cast(requests.schema["page"].dataType))
+        asked = whole.unionByName(asked.join(calls.filter("start is null").select("turn", "call"), ["turn", "call"], "left_semi"))
+    page = asked.withColumn("beyond", F.coalesce(F.col("page") > F.col("total_pages"), F.lit(False)))
     place = F.row_number().over(W.partitionBy("turn", "call", "beyond").orderBy("page"))
     page = page.withColumn("deferred", ~F.col("beyond") & (place > settings.analyze_pages_per_call))
     live = page.withColumn("live", ~F.col("beyond") & ~F.col("deferred"))
     same = W.partitionBy("turn", "page", "question", "live").orderBy("call")
     first = live.withColumn("fresh", F.col("live") & (F.row_number().over(same) == 1))
-    used = F.sum(F.col("fresh").cast("int")).over(W.partitionBy("turn").orderBy("call", "page").rowsBetween(W.unboundedPreceding, 0))
-    ranked = first.withColumn("used", used)
+    turn = W.partitionBy("turn").orderBy("call", "page")
+    ranked = first.withColumn("used", F.sum(F.col("fresh").cast("int")).over(turn.rowsBetween(W.unboundedPreceding, 0)))
     granted = ranked.withColumn("ok", F.max((F.col("fresh") & (F.col("used") <= settings.max_analyzed_pages)).cast("int")).over(W.partitionBy("turn", "page", "question", "live")) == 1)
-    state = F.when(F.col("beyond"), "beyond").when(F.col("deferred"), "deferred").when(~F.col("ok"), "refused").when(F.col("fresh"), "allowed").otherwise("cached")
-    return granted.select("turn", "call", "page", "question", state.alias("state"))
+    before = F.coalesce(F.sum(F.col("fresh").cast("int")).over(W.partitionBy("turn").orderBy("call").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    new = F.max(F.col("live") & (F.col("fresh") | ~F.col("ok"))).over(W.partitionBy("turn", "call"))
+    planned = granted.withColumn("call_refused", new & (before >= settings.max_analyzed_pages))
+    state = F.when(F.col("beyond"), "beyond").when(F.col("deferred"), "deferred").when(F.col("call_refused") | ~F.col("ok"), "refused").when(F.col("fresh"), "allowed").otherwise("cached")
+    return planned.select("turn", "call", "page", "question", state.alias("state"), "call_refused")
 
 
 def group_pages(pages: DataFrame, keys: list[str], k: int, settings: Settings = DEFAULTS) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docsheaf.functions.text import root_name, squeeze, strip
+from docsheaf.functions.embedded import as_text, fields, items
+from docsheaf.functions.text import let, root_name, squeeze, strip
 
 DEFAULT_TITLE = "새 채팅"
 ID_PATTERN = r"^[a-zA-Z0-9-]{8,80}$"
@@ -41,9 +42,85 @@ def parse_json_list(text: Column, element: str) -> Column:
     return F.coalesce(F.from_json(text, f"array<{element}>"), F.array().cast(f"array<{element}>"))
 
 
-def load_store(messages: DataFrame) -> DataFrame:
-    """Messages with their JSON columns typed."""
-    return messages.withColumns({"artifacts": parse_json_list(F.col("artifacts_json"), ARTIFACT), "files": parse_json_list(F.col("files_json"), FILE)}).drop("artifacts_json", "files_json")
+#: Columns of the four stored tables; what ends in _json holds JSON text.
+TABLES = {
+    "conversations": "id string, title string, provider string, model string, created_at long, updated_at long",
+    "messages": "conversation_id string, position int, role string, content string, artifacts_json string, files_json string, created_at long, meta_json string",
+    "attachments": "id long, conversation_id string, position int, name string, mime string, kind string, size long, text_content string, data binary, metadata_json string, file_path string, source_path string",
+    "traces": "id string, conversation_id string, created_at long, updated_at long, status string, events_json string",
+}
+#: Each JSON column, its table, the column that names a row in a report, and whether it holds a list or an object.
+JSON_COLUMNS = (
+    ("messages", "artifacts_json", "list"), ("messages", "files_json", "list"), ("messages", "meta_json", "object"), ("attachments", "metadata_json", "object"), ("traces", "events_json", "object"),
+)
+EVENT = "struct<id:string,kind:string,label:string,status:string,startedMs:long,endedMs:long,elapsedMs:long,parent:string,data:variant>"
+
+
+def _truth(value: Column) -> Column:
+    """Whether a JSON value counts as true: not null, false, 0, or an empty text."""
+    return ~F.coalesce(as_text(value), F.lit("")).isin("", "false", "0", "0.0", "null")
+
+
+def typed_metadata(text: Column) -> Column:
+    """An attachment's metadata: its thirteen keys with their types; bad JSON has none of them."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    page = lambda v: F.struct(
+        *[F.try_variant_get(v, f"$.{k}", kind).alias(name) for k, kind, name in (("page", "int", "page"), ("classification", "string", "classification"), ("chars", "long", "chars"), ("raster", "int", "raster"), ("rasterArea", "double", "raster_area"), ("vector", "int", "vector"), ("vlm", "boolean", "vlm"))]
+    )
+
+    def of(m: Column) -> Column:
+        value = lambda k, kind: F.try_variant_get(m[k], "$", kind)
+        numbers = [value(k, "long").alias(name) for k, name in (("width", "width"), ("height", "height"), ("sourceWidth", "source_width"), ("sourceHeight", "source_height"), ("pageNumber", "page_number"))]
+        texts = [as_text(m[k]).alias(name) for k, name in (("pageClassification", "page_classification"), ("sourceMime", "source_mime"), ("ocrVariant", "ocr_variant"))]
+        flags = [_truth(m[k]).alias(name) for k, name in (("ocrRequired", "ocr_required"), ("sendToModel", "send_to_model"))]
+        counts = [F.coalesce(value(k, "long"), F.lit(0)).alias(name) for k, name in (("visualPages", "visual_pages"), ("totalPages", "total_pages"))]
+        pages = F.transform(F.filter(items(m["pageAnalysis"]), lambda v: fields(v).isNotNull()), page).alias("page_analysis")
+        return F.struct(*numbers, *texts, *flags, *counts, pages)
+
+    return let(F.coalesce(fields(F.try_parse_json(text)), empty), of)
+
+
+def typed_messages(messages: DataFrame) -> DataFrame:
+    """Messages with their JSON columns typed: artifacts, files, and where there is a meta_json the bounded meta."""
+    typed = messages.withColumns({"artifacts": parse_json_list(F.col("artifacts_json"), ARTIFACT), "files": parse_json_list(F.col("files_json"), FILE)}).drop("artifacts_json", "files_json")
+    return typed.withColumn("meta", sanitize_meta(F.col("meta_json"))).drop("meta_json") if "meta_json" in messages.columns else typed
+
+
+def typed_attachments(attachments: DataFrame) -> DataFrame:
+    """Attachments with the keys of their metadata as columns."""
+    return attachments.withColumn("m", typed_metadata(F.col("metadata_json"))).select(*[c for c in attachments.columns if c != "metadata_json"], "m.*")
+
+
+def typed_traces(traces: DataFrame) -> DataFrame:
+    """Traces with their events, an array that is empty where the document has none or isn't JSON."""
+    event = lambda v: F.struct(*[F.try_variant_get(v, f"$.{f.split(':')[0]}", f.split(":")[1]).alias(f.split(":")[0]) for f in EVENT.removeprefix("struct<").removesuffix(">").split(",")])
+    listed = F.filter(items(fields(F.try_parse_json("events_json"))["events"]), lambda v: fields(v).isNotNull())
+    return traces.withColumn("events", F.coalesce(F.transform(listed, event), F.array().cast(f"array<{EVENT}>"))).drop("events_json")
+
+
+def rejected_json(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, conversation_id, row, column, value): stored JSON that isn't JSON or not of the kind that its column holds.
+    row is a message's position, or the id of an attachment or trace. Null and empty values aren't reported."""
+    out = None
+    for table, column, kind in JSON_COLUMNS:
+        if table in tables:
+            shape = items if kind == "list" else fields
+            row = F.col("position" if table == "messages" else "id").cast("string")
+            bad = tables[table].filter((strip(F.col(column)) != "") & shape(F.try_parse_json(column)).isNull())
+            found = bad.select(F.lit(table).alias("table"), "conversation_id", row.alias("row"), F.lit(column).alias("column"), F.col(column).alias("value"))
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def load_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The four tables below path (Parquet, a folder each) as typed frames, and `rejected`, see rejected_json().
+
+    Bad JSON never ends the job: it counts as empty in the typed frames. A listing that selects no `data` reads no bytes.
+    """
+    raw = {name: spark.read.schema(columns).parquet(f"{path}/{name}") for name, columns in TABLES.items()}
+    return {
+        "conversations": raw["conversations"], "messages": typed_messages(raw["messages"]), "attachments": typed_attachments(raw["attachments"]), "traces": typed_traces(raw["traces"]), "rejected": rejected_json(raw),
+    }
 
 
 def evolve_schema(df: DataFrame, target: DataFrame, defaults: dict) -> DataFrame:
@@ -114,6 +191,16 @@ def deleted_count(conversations: DataFrame, ids: DataFrame) -> DataFrame:
     return conversations.join(valid_ids(ids, "id").select("id").distinct(), "id", "left_semi").agg(F.count(F.lit(1)).alias("deleted"))
 
 
+def delete_all(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table empty, and (deleted): how many conversations there were."""
+    return {name: df.limit(0) for name, df in tables.items()}, tables["conversations"].agg(F.count(F.lit(1)).alias("deleted"))
+
+
+def delete_attachments(attachments: DataFrame, gone: DataFrame) -> DataFrame:
+    """Attachments without those named by gone: conversation_id, id. An id of another conversation deletes nothing."""
+    return attachments.join(gone.select("conversation_id", "id").distinct(), ["conversation_id", "id"], "left_anti").select(*attachments.columns)
+
+
 def session_list(conversations: DataFrame, messages: DataFrame, attachments: DataFrame, limit: int = 100) -> DataFrame:
     """The latest conversations with counts of messages and of attachments other than documents and page images."""
     m = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.count(F.lit(1)).alias("message_count"))
@@ -134,9 +221,16 @@ def public_attachments(attachments: DataFrame) -> DataFrame:
 
 
 def session_detail(conversations: DataFrame, messages: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Conversations with their messages in order and their attachment names in order."""
-    m = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
-    a = attachments.groupBy(F.col("conversation_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("attachments"))
+    """Conversations with their messages in order and what a client may see of their attachments in order.
+
+    A message has role and content, and of created_at, artifacts, files and meta those that messages has.
+    """
+    said = ["role", "content", *[c for c in ("created_at", "artifacts", "files", "meta") if c in messages.columns]]
+    ordered = lambda order, own: F.transform(F.sort_array(F.collect_list(F.struct(*order, F.struct(*own).alias("own")))), lambda x: x["own"])
+    m = messages.groupBy(F.col("conversation_id").alias("id")).agg(ordered(["position"], said).alias("messages"))
+    public = public_attachments(attachments)
+    shown = [c for c in public.columns if c not in ("conversation_id", "position")]
+    a = public.groupBy(F.col("conversation_id").alias("id")).agg(ordered(["position", F.col("id").alias("number")], shown).alias("attachments"))
     return conversations.join(m, "id", "left").join(a, "id", "left")
 
 

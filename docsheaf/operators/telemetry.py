@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -182,13 +182,32 @@ def link_images(images: DataFrame, attachments: DataFrame) -> DataFrame:
     return both.select("conversation_id", "name", "attachment_id", F.coalesce("width", "own_width").alias("width"), F.coalesce("height", "own_height").alias("height"), tile("row"), tile("col"), *box)
 
 
+def _clipped(text: Column, most: int) -> Column:
+    half = max(1, (most - 60) // 2)
+    note = F.concat(F.lit("\n…["), F.format_number(F.length(text) - 2 * half, 0), F.lit("자 생략]…\n"))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, half), note, F.right(text, F.lit(half))))
+
+
 def clip_trace_text(df: DataFrame, text: str = "text", settings: Settings = DEFAULTS, limit: int | None = None) -> DataFrame:
     """Adds chars; long texts keep head and tail with a note of what is left out."""
-    most = limit or settings.trace_text
-    half = max(1, (most - 60) // 2)
-    c = F.col(text)
-    note = F.concat(F.lit("\n…["), F.format_number(F.length(c) - 2 * half, 0), F.lit("자 생략]…\n"))
-    return df.withColumns({"chars": F.length(c), text: F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, half), note, F.right(c, F.lit(half))))})
+    return df.withColumns({"chars": F.length(text), text: _clipped(F.col(text), limit or settings.trace_text)})
+
+
+def describe_messages(messages: Column, settings: Settings = DEFAULTS, limit: int | None = None) -> Column:
+    """A call's messages as a trace keeps them: role, clipped content, chars, tool calls; name and call id of tool results.
+
+    messages: array of role, content, tool_calls (array of name, arguments, id), name, tool_call_id, images_anchor. Null
+    messages are left out.
+    """
+
+    def one(m: Column) -> Column:
+        content, tool = F.coalesce(m["content"], F.lit("")), F.coalesce(m["role"] == "tool", F.lit(False))
+        return F.struct(
+            F.coalesce(m["role"], F.lit("")).alias("role"), _clipped(content, limit or settings.trace_text).alias("content"), F.length(content).alias("chars"), F.when(F.size(m["tool_calls"]) > 0, m["tool_calls"]).alias("toolCalls"),
+            F.when(tool, F.coalesce(m["name"], F.lit(""))).alias("name"), F.when(tool, F.coalesce(m["tool_call_id"], F.lit(""))).alias("toolCallId"), F.when(m["images_anchor"], F.lit(True)).alias("imagesAnchor"),
+        )
+
+    return F.coalesce(F.transform(F.filter(messages, lambda m: m.isNotNull()), one), F.array().cast("array<struct<role:string,content:string,chars:int,toolCalls:array<struct<name:string,arguments:string,id:string>>,name:string,toolCallId:string,imagesAnchor:boolean>>"))
 
 
 # What servers say when a prompt is too long or tools aren't supported.

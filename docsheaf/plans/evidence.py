@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from docsheaf import fixtures as X
@@ -106,10 +108,15 @@ def _requests(spark, sf_dir):
     return e.select("turn", F.floor(F.col("seq") / 20).alias("call"), (F.col("prompt_tokens") % 40 + 1).alias("page"), F.when(F.col("seq") % 60 < 40, "q1").otherwise("q2").alias("question"), F.lit(35).alias("total_pages")).distinct()
 
 
+_LIMITS = dataclasses.replace(E.DEFAULTS, analyze_pages_per_call=5, max_analyzed_pages=8)
+
+
 def g16_plan_page_analysis(spark, sf_dir):
-    import dataclasses
+    return E.plan_page_analysis(_requests(spark, sf_dir), _LIMITS)
+
 
-    return E.plan_page_analysis(_requests(spark, sf_dir), dataclasses.replace(E.DEFAULTS, analyze_pages_per_call=5, max_analyzed_pages=8))
+def g16_plan_fixed_ranges(spark, sf_dir):
+    return E.plan_page_analysis(_requests(spark, sf_dir).filter("call % 2 = 0"), _LIMITS, fixed=True)
 
 
 def g17_group_pages(spark, sf_dir):
@@ -149,6 +156,10 @@ p AS (SELECT conversation_id, name AS root, unnest(range(1, total_pages + 1)) AS
 c AS (SELECT * FROM u UNION ALL SELECT p.conversation_id, p.root, pn + 1000000, coalesce(i.name, p.root || ' · page ' || pn), i.id, i.id IS NULL FROM p LEFT JOIN v_att i ON i.conversation_id = p.conversation_id AND i.kind = 'image' AND i.page_number = pn AND i.name = p.root || ' · page ' || pn)
 """
 _REQ = ", q AS (SELECT DISTINCT turn, seq // 20 AS call, prompt_tokens % 40 + 1 AS page, CASE WHEN seq % 60 < 40 THEN 'q1' ELSE 'q2' END AS question FROM v_event)\n"
+_PLAN = """, a AS (SELECT *, page > 35 AS b, row_number() OVER (PARTITION BY turn, call, page > 35 ORDER BY page) > 5 AS d FROM q), l AS (SELECT *, NOT b AND NOT d AND row_number() OVER (PARTITION BY turn, page, question, NOT b AND NOT d ORDER BY call) = 1 AS f FROM a),
+ u AS (SELECT *, sum(f::INT) OVER (PARTITION BY turn ORDER BY call, page) AS n, coalesce(sum(f::INT) OVER (PARTITION BY turn ORDER BY call RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM l),
+ k AS (SELECT *, bool_or(f AND n <= 8) OVER (PARTITION BY turn, page, question, NOT b AND NOT d) AS ok FROM u), r AS (SELECT *, p >= 8 AND bool_or(NOT b AND NOT d AND (f OR NOT ok)) OVER (PARTITION BY turn, call) AS c FROM k)
+ SELECT turn, call, page, question, CASE WHEN b THEN 'beyond' WHEN d THEN 'deferred' WHEN c OR NOT ok THEN 'refused' WHEN f THEN 'allowed' ELSE 'cached' END AS state, c AS call_refused FROM r"""
 ORACLES = {
     "g1_with_root": oracle("v_att", f"SELECT id, {_ROOT} AS root FROM v_att"),
     "g2_attachment_manifest": oracle("v_att", f"""SELECT conversation_id, string_agg('"' || root || '": parts=' || parts || coalesce(', pages=' || pages, '') || ', images=' || images || ', parsedText=' || t || ' chars, visualOcr=' || o || ' chars, pendingVision=' || p, '; ' ORDER BY f) AS manifest
@@ -173,7 +184,10 @@ ORACLES = {
  SELECT query_id, conversation_id, doc, CAST(off AS INT) AS offset, trim(regexp_replace(substr(text, CAST(greatest(0, off - 240) + 1 AS BIGINT), CAST(off + length(needle) + 520 - greatest(0, off - 240) AS BIGINT)), '\s+', ' ', 'g')) AS excerpt FROM r WHERE rn <= 12""".replace(", h AS (SELECT 1), q AS", "WITH q AS", 1),
     "g14_read_window": 'SELECT doc * 2 AS request_id, doc, s AS start, least(s + z, length(text)) AS "end", length(text) AS total_characters, s + z < length(text) AS has_more, substr(text, s + 1, z) AS content FROM (SELECT doc_id AS doc, text, CAST(CASE WHEN doc_id * 13 % 3000 - 100 >= 0 THEN least(doc_id * 13 % 3000 - 100, length(text)) ELSE 0 END AS INT) AS s, CAST(CASE WHEN doc_id % 3 > 0 THEN greatest(1000, least(50000, doc_id % 4000)) ELSE 8000 END AS INT) AS z FROM documents)',
     "g15_resolve_names": oracle("v_att", r", r AS (SELECT id AS request_id, conversation_id, CASE id % 4 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN regexp_replace(name, '\.[^.]*$', '') ELSE '''' || name || '''x' END AS w FROM v_att), x AS (SELECT request_id, trim(w, ' ''') AS w, a.id, CASE WHEN a.name = trim(w, ' ''') THEN 0 WHEN lower(a.name) = lower(trim(w, ' ''')) THEN 1 ELSE 2 END AS k FROM r JOIN v_att a ON a.conversation_id = r.conversation_id AND (lower(a.name) = lower(trim(w, ' ''')) OR lower(regexp_replace(a.name, '\.[^.]*$', '')) = lower(trim(w, ' '''))))," " b AS (SELECT request_id, arg_min(id, k * 1000000 + id) AS id, min(k) AS k, count(DISTINCT CASE WHEN k = 2 THEN id END) AS n FROM x GROUP BY request_id) SELECT r.request_id, CASE WHEN b.k < 2 OR n = 1 THEN b.id END AS id FROM r LEFT JOIN b ON r.request_id = b.request_id"),
-    "g16_plan_page_analysis": oracle("v_event", _REQ + ", a AS (SELECT *, page > 35 AS b, row_number() OVER (PARTITION BY turn, call, page > 35 ORDER BY page) > 5 AS d FROM q), l AS (SELECT *, NOT b AND NOT d AND row_number() OVER (PARTITION BY turn, page, question, NOT b AND NOT d ORDER BY call) = 1 AS f FROM a), u AS (SELECT *, sum(f::INT) OVER (PARTITION BY turn ORDER BY call, page) AS n FROM l), k AS (SELECT *, bool_or(f AND n <= 8) OVER (PARTITION BY turn, page, question, NOT b AND NOT d) AS ok FROM u) SELECT turn, call, page, question, CASE WHEN b THEN 'beyond' WHEN d THEN 'deferred' WHEN NOT ok THEN 'refused' WHEN f THEN 'allowed' ELSE 'cached' END AS state FROM k"),
+    "g16_plan_page_analysis": oracle("v_event", _REQ + _PLAN),
+    "g16_plan_fixed_ranges": oracle("v_event", _REQ.replace("q AS", "q0 AS") + """, s AS (SELECT turn, call, any_value(question) AS question, min(page) FILTER (page <= 35) AS f FROM q0 WHERE call % 2 = 0 GROUP BY turn, call),
+ q AS (SELECT turn, call, unnest(range(f, 36)) AS page, question FROM s WHERE f IS NOT NULL UNION ALL SELECT q0.turn, q0.call, page, q0.question FROM q0 JOIN s ON s.turn = q0.turn AND s.call = q0.call AND f IS NULL)
+""" + _PLAN),
     "g17_group_pages": oracle("v_event", _REQ + "SELECT turn, call, page, (row_number() OVER (PARTITION BY turn, call ORDER BY page) - 1) // 3 AS chunk FROM q"),
     "g18_split_page_answers": oracle("v_msg", ", r AS (SELECT conversation_id || '-' || position AS reply, position % 2 = 0 AS two, content FROM v_msg) SELECT reply, CAST(1 AS INT) AS page, trim(content) AS answer FROM r WHERE two UNION ALL SELECT reply, 2, trim('two ' || content) FROM r WHERE two UNION ALL SELECT reply, NULL, '[page 1] ' || content FROM r WHERE NOT two"),
     "g19_collate_answers": "WITH a AS (SELECT source, doc_id AS page, CASE WHEN doc_id % 10 < 5 THEN 'pages 1-5' ELSE 'page ' || doc_id END AS marker, CASE WHEN doc_id % 10 < 5 THEN 'same' ELSE text END AS answer FROM documents), b AS (SELECT *, lag(marker) OVER w AS pm FROM a WINDOW w AS (PARTITION BY source ORDER BY page)) SELECT source, string_agg('[' || marker || '] ' || answer, chr(10) ORDER BY page) AS text, count(*) AS n FROM b WHERE NOT coalesce(pm = marker AND marker = 'pages 1-5', false) GROUP BY source",

@@ -7,15 +7,46 @@ from pyspark.sql import functions as F
 from docsheaf import fixtures as X
 from docsheaf.fixtures import oracle
 from docsheaf.operators import store as S
+from docsheaf.session import shared_folder
 
 _STAMP = 1_800_000_000_000
 
 
-def a4_load_store(spark, sf_dir):
+def _stored(spark, sf_dir):
+    """The four tables of a store with JSON columns, one value in three of them broken or of the wrong kind, read again."""
+    path = shared_folder(spark)
     m = X.messages(spark, sf_dir)
     files = F.when(F.col("position") % 3 == 0, F.concat(F.lit('[{"name":"f'), F.col("position").cast("string"), F.lit('","kind":"pdf","size":3}]'))).when(F.col("position") % 3 == 1, "{broken").otherwise("[]")
-    out = S.load_store(m.withColumns({"files_json": files, "artifacts_json": F.lit(None).cast("string")}))
-    return out.select("conversation_id", "position", F.size("files").alias("n_files"), F.size("artifacts").alias("n_artifacts"), F.get("files", F.lit(0))["name"].alias("first"))
+    meta = F.when(F.length("content") % 3 == 0, F.format_string('{"imageMode":"tile","elapsedMs":%d}', F.length("content"))).when(F.length("content") % 3 == 1, "[]").otherwise("{}")
+    m.withColumns({"files_json": files, "artifacts_json": F.lit(None).cast("string"), "meta_json": meta}).write.parquet(f"{path}/messages")
+    X.conversations(spark, sf_dir).write.parquet(f"{path}/conversations")
+    a, page = X.attachments(spark, sf_dir), F.format_string('{"page":%d,"classification":"vector","chars":3,"raster":1,"rasterArea":0.5,"vector":2,"vlm":true}', F.col("position"))
+    told = F.concat(F.format_string('{"width":%d,"height":4,"pageNumber":%s,"totalPages":%s,"ocrRequired":%s,"ocrVariant":"whole","pageAnalysis":[', F.col("id"), F.coalesce(F.col("page_number").cast("string"), F.lit("null")), F.coalesce(F.col("total_pages").cast("string"), F.lit("0")), F.col("ocr_required").cast("string")), page, F.lit(',7,{"page":"x"}],"other":1}'))
+    a.select("id", "conversation_id", "position", "name", "mime", "kind", "size", F.col("text").alias("text_content"), F.lit(None).cast("binary").alias("data"), F.when(F.col("id") % 3 < 2, told).otherwise("oops").alias("metadata_json"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("string").alias("source_path")).write.parquet(f"{path}/attachments")
+    e = X.trace_events(spark, sf_dir).select("turn", "seq", F.struct(F.col("seq").cast("string").alias("id"), "kind", "label", "status", F.col("started_ms").alias("startedMs"), F.col("elapsed_ms").alias("elapsedMs"), F.col("parent").cast("string").alias("parent"), F.struct("prompt_tokens").alias("data")).alias("e"))
+    document = F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "e"))), lambda x: x["e"]).alias("events")))
+    turn = F.col("turn").cast("string").alias("id")
+    e.groupBy("turn").agg(document.alias("events_json")).select(turn, turn.alias("conversation_id"), F.lit(1).cast("long").alias("created_at"), F.lit(2).cast("long").alias("updated_at"), F.lit("done").alias("status"), F.when(F.col("turn") % 3 < 2, F.col("events_json")).otherwise("[1]").alias("events_json")).write.parquet(f"{path}/traces")
+    return S.load_store(spark, path)
+
+
+def a4_load_store(spark, sf_dir):
+    out = _stored(spark, sf_dir)["messages"]
+    return out.select("conversation_id", "position", F.size("files").alias("n_files"), F.size("artifacts").alias("n_artifacts"), F.get("files", F.lit(0))["name"].alias("first"), "meta.imageMode", "meta.elapsedMs")
+
+
+def a4_load_attachments(spark, sf_dir):
+    a = _stored(spark, sf_dir)["attachments"]
+    return a.select("id", "name", "width", "height", "source_width", "page_number", "total_pages", "visual_pages", "ocr_required", "send_to_model", "ocr_variant", F.to_json("page_analysis").alias("page_analysis"))
+
+
+def a4_load_traces(spark, sf_dir):
+    t = _stored(spark, sf_dir)["traces"].select("id", F.size("events").alias("events"), F.explode_outer("events").alias("e"))
+    return t.select("id", "events", F.col("e.id").alias("event"), "e.kind", "e.startedMs", "e.elapsedMs", "e.parent", F.try_variant_get(F.col("e.data"), "$.prompt_tokens", "long").alias("prompt_tokens"))
+
+
+def a4_rejected_json(spark, sf_dir):
+    return _stored(spark, sf_dir)["rejected"].groupBy("table", "column").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
 
 
 def a5_evolve_schema(spark, sf_dir):
@@ -63,13 +94,26 @@ def b5_delete_conversations(spark, sf_dir):
     return n[0].unionByName(n[1]).unionByName(n[2]).unionByName(S.deleted_count(c, ids).select(F.lit("deleted").alias("what"), F.col("deleted").alias("n")))
 
 
+def b5_delete_all(spark, sf_dir):
+    c, m, a = X.conversations(spark, sf_dir), X.messages(spark, sf_dir), X.attachments(spark, sf_dir)
+    left, deleted = S.delete_all({"conversations": c, "messages": m, "attachments": a})
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, df in left.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(deleted.select(F.lit("deleted").alias("what"), F.col("deleted").alias("n")))
+
+
+def b5_delete_attachments(spark, sf_dir):
+    a = X.attachments(spark, sf_dir)
+    gone = a.filter("id % 4 = 0").select("id", F.when(F.col("id") % 8 == 0, F.col("conversation_id")).otherwise("another-conversation").alias("conversation_id"))
+    return S.delete_attachments(a, gone.unionByName(gone)).select("conversation_id", "id", "name")
+
+
 def b6_session_list(spark, sf_dir):
     return S.session_list(X.conversations(spark, sf_dir), X.messages(spark, sf_dir), X.attachments(spark, sf_dir), 200)
 
 
 def b7_session_detail(spark, sf_dir):
     d = S.session_detail(X.conversations(spark, sf_dir), X.messages(spark, sf_dir), X.attachments(spark, sf_dir))
-    return d.select("id", "title", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("messages"), F.coalesce(F.array_join("attachments", "|"), F.lit("")).alias("attachments"))
+    return d.select("id", "title", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("messages"), F.coalesce(F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["name"], a["kind"], a["parsed_characters"].cast("string"), a["page_number"].cast("string"), a["url"])), "|"), F.lit("")).alias("attachments"))
 
 
 def b8_attachment_listing(spark, sf_dir):
@@ -149,15 +193,22 @@ def b19_resolve_content(spark, sf_dir):
 
 _NEXT = "1800000000000"
 ORACLES = {
-    "a4_load_store": oracle("v_msg", "SELECT conversation_id, position, CASE WHEN position % 3 = 0 THEN 1 ELSE 0 END AS n_files, 0 AS n_artifacts, CASE WHEN position % 3 = 0 THEN 'f' || position END AS first FROM v_msg"),
+    "a4_load_store": oracle("v_msg", "SELECT conversation_id, position, CASE WHEN position % 3 = 0 THEN 1 ELSE 0 END AS n_files, 0 AS n_artifacts, CASE WHEN position % 3 = 0 THEN 'f' || position END AS first, CASE WHEN length(content) % 3 = 0 THEN 'tile' END AS imageMode, CASE WHEN length(content) % 3 = 0 THEN length(content) END AS elapsedMs FROM v_msg"),
+    "a4_load_attachments": oracle("v_att", """, m AS (SELECT *, id % 3 < 2 AS ok FROM v_att) SELECT id, name, CASE WHEN ok THEN id END AS width, CASE WHEN ok THEN 4 END AS height, NULL::BIGINT AS source_width, CASE WHEN ok THEN page_number END AS page_number, CASE WHEN ok THEN coalesce(total_pages, 0) ELSE 0 END AS total_pages, 0 AS visual_pages,
+ ok AND ocr_required AS ocr_required, false AS send_to_model, CASE WHEN ok THEN 'whole' END AS ocr_variant, CASE WHEN ok THEN '[{"page":' || position || ',"classification":"vector","chars":3,"raster":1,"raster_area":0.5,"vector":2,"vlm":true},{}]' END AS page_analysis FROM m"""),
+    "a4_load_traces": oracle("v_event", "SELECT turn::VARCHAR AS id, count(*) OVER (PARTITION BY turn) AS events, seq::VARCHAR AS event, kind, started_ms AS startedMs, elapsed_ms AS elapsedMs, parent::VARCHAR AS parent, prompt_tokens FROM v_event WHERE turn % 3 < 2 UNION ALL SELECT DISTINCT turn::VARCHAR, 0, NULL, NULL, NULL, NULL, NULL, NULL FROM v_event WHERE turn % 3 = 2"),
+    "a4_rejected_json": oracle("v_msg v_att v_event", """, r AS (SELECT 'messages' AS "table", 'files_json' AS "column", position::VARCHAR AS r FROM v_msg WHERE position % 3 = 1 UNION ALL SELECT 'messages', 'meta_json', position::VARCHAR FROM v_msg WHERE length(content) % 3 = 1
+ UNION ALL SELECT 'attachments', 'metadata_json', id::VARCHAR FROM v_att WHERE id % 3 = 2 UNION ALL SELECT DISTINCT 'traces', 'events_json', turn::VARCHAR FROM v_event WHERE turn % 3 = 2) SELECT "table", "column", count(*) AS n, min(r) AS first FROM r GROUP BY ALL"""),
     "a5_evolve_schema": oracle("v_msg", "SELECT conversation_id, position, role, content, 0 AS created_at, '{}' AS meta_json FROM v_msg"),
     "b1_upsert_conversations": oracle("v_conv", f", c AS (SELECT * REPLACE (CASE WHEN created_at % 2 = 0 THEN '새 채팅' ELSE title END AS title) FROM v_conv) SELECT id, CASE WHEN created_at % 6 = 0 THEN 'New title' WHEN created_at % 6 < 3 AND title = '새 채팅' THEN 'derived' ELSE title END AS title, CASE WHEN created_at % 6 < 3 THEN 'local' ELSE provider END AS provider, CASE WHEN created_at % 6 < 3 THEN 'm2' ELSE model END AS model, created_at, CASE WHEN created_at % 6 < 3 THEN {_NEXT} ELSE updated_at END AS updated_at FROM c UNION ALL SELECT 'new-' || id, '새 채팅', 'local', 'm2', {_NEXT}, {_NEXT} FROM c WHERE created_at % 6 = 5"),
     "b2_replace_messages": oracle("v_msg", ", n AS (SELECT conversation_id, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY position) - 1 AS INT) AS position, role, upper(role) AS content, created_at FROM v_msg WHERE created_at % 5 = 0) SELECT * FROM n UNION ALL SELECT * FROM v_msg WHERE conversation_id NOT IN (SELECT conversation_id FROM n)"),
     "b3_upsert_attachments": oracle("v_att", ", n AS (SELECT conversation_id, id + 1000000 AS id, CASE WHEN id % 4 = 0 THEN 'x' || name ELSE name END AS name, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY position) - 1 AS INT) AS position FROM v_att WHERE id % 4 < 2) SELECT coalesce(o.id, n.id) AS id, n.conversation_id, n.position, n.name, 'new' AS text FROM n LEFT JOIN v_att o ON o.conversation_id = n.conversation_id AND o.name = n.name UNION ALL SELECT id, conversation_id, position, name, text FROM v_att o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.conversation_id = o.conversation_id AND n.name = o.name)"),
     "b4_replace_reuploads": oracle("v_att", ", r AS (SELECT conversation_id, name FROM v_att WHERE id % 20 = 0), o AS (SELECT v.id, v.name, r.name IS NOT NULL AS removed FROM v_att v LEFT JOIN r ON r.conversation_id = v.conversation_id AND r.name = regexp_replace(v.name, ' · (page [0-9]+|visual OCR)$', '')) SELECT * FROM o UNION ALL SELECT id + 1000000, name, false FROM v_att WHERE id % 20 = 0"),
     "b5_delete_conversations": oracle("v_conv v_msg v_att", ", g AS (SELECT id FROM v_conv WHERE created_at % 3 = 0) SELECT 'conversations' AS what, count(*) AS n FROM v_conv WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'messages', count(*) FROM v_msg WHERE conversation_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'attachments', count(*) FROM v_att WHERE conversation_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'deleted', count(*) FROM g"),
+    "b5_delete_all": oracle("v_conv", "SELECT 'conversations' AS what, 0 AS n UNION ALL SELECT 'messages', 0 UNION ALL SELECT 'attachments', 0 UNION ALL SELECT 'deleted', count(*) FROM v_conv"),
+    "b5_delete_attachments": oracle("v_att", "SELECT conversation_id, id, name FROM v_att WHERE id % 8 <> 0"),
     "b6_session_list": oracle("v_conv v_msg v_att", "SELECT c.*, (SELECT count(*) FROM v_msg m WHERE m.conversation_id = c.id) AS message_count, (SELECT count(*) FROM v_att a WHERE a.conversation_id = c.id AND a.kind <> 'document' AND a.name NOT LIKE '% · page %') AS file_count FROM v_conv c ORDER BY updated_at DESC, id DESC LIMIT 200"),
-    "b7_session_detail": oracle("v_conv v_msg v_att", "SELECT id, title, (SELECT string_agg(role || ':' || content, '|' ORDER BY position) FROM v_msg m WHERE m.conversation_id = c.id) AS messages, coalesce((SELECT string_agg(name, '|' ORDER BY position, name) FROM v_att a WHERE a.conversation_id = c.id), '') AS attachments FROM v_conv c"),
+    "b7_session_detail": oracle("v_conv v_msg v_att", "SELECT id, title, (SELECT string_agg(role || ':' || content, '|' ORDER BY position) FROM v_msg m WHERE m.conversation_id = c.id) AS messages, coalesce((SELECT string_agg(concat_ws(':', name, kind, length(text), page_number, CASE WHEN has_data THEN '/api/attachments/' || a.id || '/content' END), '|' ORDER BY position, a.id) FROM v_att a WHERE a.conversation_id = c.id), '') AS attachments FROM v_conv c"),
     "b8_attachment_listing": oracle("v_att", "SELECT conversation_id, position, id, name, mime, kind, size, length(text) AS parsed_characters, has_data, page_number, total_pages, CASE WHEN has_data THEN '/api/attachments/' || id || '/content' END AS url FROM v_att"),
     "b9_trace_listing": oracle("v_msg", "SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) AS number FROM (SELECT conversation_id || '-' || position AS id, conversation_id, created_at - created_at % 4 AS created_at FROM v_msg)"),
     "b10_sanitize_messages": oracle("v_msg", f"SELECT conversation_id, position, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN position % 5 = 3 THEN '' ELSE substr(content, 1, 40) END AS content, CASE WHEN role = 'assistant' THEN '{{\"a\":1}}' END AS meta, CASE WHEN position % 4 = 0 THEN {_NEXT} ELSE created_at END AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY position) AS rn FROM v_msg) WHERE rn <= 6"),

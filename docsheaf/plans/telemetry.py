@@ -119,6 +119,19 @@ def i18_clip_trace_text(spark, sf_dir):
     return T.clip_trace_text(X.table(spark, sf_dir, "documents").select("doc_id", "text"), limit=1000)
 
 
+def i18_describe_messages(spark, sf_dir):
+    """The messages of a conversation as one call's list, every third one a tool result."""
+    n = F.length("content")
+    call = F.struct(F.lit("search").alias("name"), F.lit("{}").alias("arguments"), F.concat(F.lit("c"), n.cast("string")).alias("id"))
+    none = F.array().cast("array<struct<name:string,arguments:string,id:string>>")
+    message = F.struct(
+        F.when(n % 3 == 0, "tool").otherwise(F.col("role")).alias("role"), F.when(n % 5 > 0, F.col("content")).alias("content"), F.when(n % 4 == 0, F.array(call)).otherwise(none).alias("tool_calls"), F.when(n % 2 == 0, "search").alias("name"),
+        F.concat(F.lit("c"), n.cast("string")).alias("tool_call_id"), (n % 7 == 0).alias("images_anchor"),
+    )
+    m = X.messages(spark, sf_dir).groupBy("conversation_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", message.alias("m")))), lambda x: x["m"]).alias("messages"))
+    return m.select("conversation_id", F.to_json(T.describe_messages(F.col("messages"), limit=100)).alias("described"))
+
+
 def i19_classify_errors(spark, sf_dir):
     m = X.messages(spark, sf_dir)
     n = F.length("content")
@@ -210,6 +223,9 @@ ORACLES = {
     "i16_check_gates": "SELECT source AS criterion, count(*) AS runs, round(avg((quality = 1)::INT), 6) AS rate, 0.9::DOUBLE AS threshold, avg((quality = 1)::INT) >= 0.9 AS met FROM documents JOIN labels USING (doc_id) GROUP BY source",
     "i17_link_images": oracle("v_att", "SELECT conversation_id, CASE WHEN id % 2 = 0 THEN name || ' · tile r1c2' ELSE name END AS name, CASE WHEN id % 5 <> 4 THEN id END AS attachment_id, CASE WHEN id % 3 = 0 THEN 640 WHEN id % 5 <> 4 THEN 1000 END AS width, CASE WHEN id % 3 = 0 THEN 480 WHEN id % 5 <> 4 THEN 800 END AS height, CASE WHEN id % 2 = 0 THEN 1 END AS row, CASE WHEN id % 2 = 0 THEN 2 END AS col, CASE WHEN id % 2 = 0 THEN 0.1235::DOUBLE END AS x0, CASE WHEN id % 2 = 0 THEN 0.0::DOUBLE END AS y0, CASE WHEN id % 2 = 0 THEN 0.5::DOUBLE END AS x1, CASE WHEN id % 2 = 0 THEN 0.75::DOUBLE END AS y1 FROM v_att WHERE kind = 'image'"),
     "i18_clip_trace_text": "SELECT doc_id, length(text) AS chars, CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, 1, 470) || chr(10) || '…[' || format('{:,}', length(text) - 940) || '자 생략]…' || chr(10) || right(text, 470) END AS text FROM documents",
+    "i18_describe_messages": oracle("v_msg", """, d AS (SELECT conversation_id, position, length(content) AS n, CASE WHEN length(content) % 3 = 0 THEN 'tool' ELSE role END AS role, CASE WHEN length(content) % 5 > 0 THEN content ELSE '' END AS c FROM v_msg),
+ j AS (SELECT conversation_id, position, '{"role":"' || role || '","content":' || to_json(CASE WHEN length(c) <= 100 THEN c ELSE substr(c, 1, 20) || chr(10) || '…[' || format('{:,}', length(c) - 40) || '자 생략]…' || chr(10) || right(c, 20) END) || ',"chars":' || length(c) || CASE WHEN n % 4 = 0 THEN ',"toolCalls":[{"name":"search","arguments":"{}","id":"c' || n || '"}]' ELSE '' END
+ || CASE WHEN role = 'tool' THEN ',"name":"' || CASE WHEN n % 2 = 0 THEN 'search' ELSE '' END || '","toolCallId":"c' || n || '"' ELSE '' END || CASE WHEN n % 7 = 0 THEN ',"imagesAnchor":true' ELSE '' END || '}' AS t FROM d) SELECT conversation_id, '[' || string_agg(t, ',' ORDER BY position) || ']' AS described FROM j GROUP BY conversation_id"""),
     "i19_classify_errors": oracle("v_msg", "SELECT conversation_id, position, CASE WHEN n % 11 = 0 THEN 'output-limit' WHEN n % 13 = 0 THEN 'unfinished-reasoning' WHEN regexp_matches(m, '" + T.CONTEXT_ERROR + "') THEN 'context-overflow' WHEN n % 7 = 0 OR regexp_matches(m, '" + T.TOOLS_ERROR + "') THEN 'tools-unsupported' ELSE 'other' END AS error_kind FROM (SELECT *, length(content) AS n, CASE length(content) % 5 WHEN 0 THEN 'Prompt is too long: ' || content WHEN 1 THEN 'no Function-Call here: ' || content ELSE content END AS m FROM v_msg)"),
     "j1_reasoning_budget": oracle("v_chunk", ", r AS (SELECT call_id, seq, piece, greatest(sum((length(piece) > 0)::INT) OVER w, sum(length(piece)) OVER w // 4) AS tokens FROM v_chunk WINDOW w AS (PARTITION BY call_id ORDER BY seq)) SELECT call_id, min(seq) AS seq, arg_min(tokens, seq) AS tokens FROM r WHERE tokens > 100 AND length(piece) > 0 GROUP BY call_id"),
     "j2_repetition": oracle("v_line", REPETITION + "SELECT call_id, arg_min(pos, pos * 10 + k) AS pos, arg_min(k, pos * 10 + k) AS length FROM hits GROUP BY call_id"),
