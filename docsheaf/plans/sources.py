@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docsheaf import fixtures as X
@@ -29,6 +31,30 @@ def a1_check_uploads(spark, sf_dir):
     return U.check_uploads(_files(spark, sf_dir)).select("n", "name", "mime", "kind", "reason")
 
 
+def _written_files(spark, sf_dir):
+    """A folder with a file for each document, written by the tasks that have it; every eleventh file is empty."""
+    folder = shared_folder(spark)
+    local = folder.removeprefix("file://").removeprefix("file:")
+    rows = _files(spark, sf_dir).select("batch", "n", F.regexp_replace("name", r"^dir\\", "").alias("name"), F.col("head").cast("string").alias("head"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                target = Path(local) / f"b{row['batch']:06}"
+                target.mkdir(parents=True, exist_ok=True)
+                (target / f"{row['n']:08} {row['name']}").write_bytes(b"" if row["n"] % 11 == 0 else row["head"].encode() + b" and what follows" * 100)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["files"])
+
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    return folder
+
+
+def a1_scan_uploads(spark, sf_dir):
+    accepted, rejected = U.scan_uploads(spark, _written_files(spark, sf_dir))
+    columns = ["batch", "name", "mime", "kind", "size", "reason"]
+    return accepted.select(*columns).unionByName(rejected.select(*columns))
+
+
 def a2_uniquify_names(spark, sf_dir):
     return U.uniquify_names(U.check_uploads(_files(spark, sf_dir)).filter("reason is null").select("batch", "n", "name"), ["batch"], "n")
 
@@ -148,6 +174,9 @@ ORACLES = {
     "a1_check_uploads": """SELECT n, name, mime, CASE WHEN mime = 'application/pdf' THEN 'pdf' ELSE 'image' END AS kind, CASE WHEN place > 12 THEN 'too many files' WHEN mime LIKE '%octet%' THEN 'type not allowed' WHEN size = 0 THEN 'empty file' WHEN mime = 'application/pdf' AND n % 6 <> 0 THEN 'not a PDF file' END AS reason FROM
  (SELECT doc_id AS n, strlen(text) AS size, row_number() OVER (PARTITION BY doc_id // 15 ORDER BY doc_id) AS place, CASE WHEN doc_id % 4 = 0 THEN 'Scan' ELSE 'scan - x' END || CASE WHEN doc_id % 7 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.PNG' END AS name,
   CASE WHEN doc_id % 7 = 0 THEN 'application/octet-stream' WHEN doc_id % 2 = 0 THEN 'application/pdf' ELSE 'image/png' END AS mime FROM documents)""",
+    "a1_scan_uploads": """WITH f AS (SELECT doc_id AS n, 'b' || lpad((doc_id // 15)::VARCHAR, 6, '0') AS batch, lpad(doc_id::VARCHAR, 8, '0') || CASE WHEN doc_id % 4 = 0 THEN ' Scan' ELSE ' scan - x' END || CASE WHEN doc_id % 7 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.PNG' END AS name,
+ CASE WHEN doc_id % 7 = 0 THEN 'application/octet-stream' WHEN doc_id % 2 = 0 THEN 'application/pdf' ELSE 'image/png' END AS mime, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 1700 + strlen(CASE WHEN doc_id % 6 = 0 THEN '  %PDF-1.7' ELSE substr(text, 1, 16) END) END AS size, row_number() OVER (PARTITION BY doc_id // 15 ORDER BY doc_id) AS place FROM documents)
+ SELECT batch, name, mime, CASE WHEN mime = 'application/pdf' THEN 'pdf' ELSE 'image' END AS kind, size, CASE WHEN place > 12 THEN 'too many files' WHEN mime LIKE '%octet%' THEN 'type not allowed' WHEN size = 0 THEN 'empty file' WHEN mime = 'application/pdf' AND n % 6 <> 0 THEN 'not a PDF file' END AS reason FROM f""",
     "a2_uniquify_names": """WITH f AS (SELECT doc_id // 15 AS batch, doc_id AS n, row_number() OVER (PARTITION BY doc_id // 15 ORDER BY doc_id) AS place, CASE WHEN doc_id % 4 = 0 THEN 'Scan' ELSE 'scan - x' END AS stem, CASE WHEN doc_id % 7 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.PNG' END AS ext, strlen(text) AS size FROM documents),
  a AS (SELECT *, row_number() OVER (PARTITION BY batch, stem, ext ORDER BY n) AS k FROM f WHERE place <= 12 AND ext <> '.txt' AND size > 0 AND (ext <> '.pdf' OR n % 6 = 0)) SELECT batch, n, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || ext AS name FROM a""",
     "k1_batch_read": "WITH d AS (SELECT doc_id, text, unnest([1, 2, 3]) AS attempt FROM documents), r AS (SELECT doc_id, attempt, CASE WHEN (length(text) + attempt) % 3 <> 0 THEN text ELSE '' END AS text FROM d), o AS (SELECT *, coalesce(bool_or(text <> '') OVER (PARTITION BY doc_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM r) SELECT doc_id, attempt, text, 'stop' AS finish, CAST(NULL AS VARCHAR) AS error FROM o WHERE NOT done",
