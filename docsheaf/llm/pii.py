@@ -4,7 +4,8 @@ Card numbers, IBANs, telephone and social-security numbers, IPv4 addresses, e-ma
 by pattern and validated (Luhn, mod 97, ranges, calendar). A value is ranked within the set of values of its format,
 the rank goes through a keyed Feistel permutation of that set, and the result is written in the original's format. The
 same key sends equal values to equal pseudonyms in every document, whatever their separators, and different values to
-different ones.
+different ones. Order and number of digits belong to the form of a date: a date is linked with others of its form, and with
+those of forms that hold every day (two digits each for day and month, the order beyond doubt or month first).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsheaf.session import ship
+
 ROUNDS = 8
 
 
@@ -132,23 +135,34 @@ def _email(text: str, key: bytes) -> str | None:
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 
-def _date(text: str, key: bytes) -> str | None:
-    parts = re.split(r"[-/.]", text)
-    orders = ("ymd",) if len(parts[0]) == 4 else ("mdy", "dmy") if "/" in text else ("dmy",)
-    for order in orders:
+def _read_date(parts: list[str], marks: list[str]) -> tuple[str, date] | None:
+    """(order, day) of a written date: the first order that gives a day; slashes may stand between month, day and year."""
+    for order in ("ymd",) if len(parts[0]) == 4 else ("mdy", "dmy") if "/" in marks else ("dmy",):
         try:
             day = date(*(int(parts[order.index(k)]) for k in "ymd"))
         except ValueError:
             continue
         if FIRST_DAY <= day <= LAST_DAY:
-            new = FIRST_DAY + timedelta(permute((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, key, "date"))
-            value = {"y": new.year, "m": new.month, "d": new.day}
-            filled = [str(value[k]).zfill(len(parts[i])) for i, k in enumerate(order)]
-            marks = re.findall(r"[-/.]", text)
-            return filled[0] + marks[0] + filled[1] + marks[1] + filled[2]
+            return order, day
     return None
 
 
+def _date(text: str, key: bytes) -> str | None:
+    """Days are permuted until the new one, written in the same order with as many digits, is read in that order: so a
+    date stays within the texts of its form, and no two texts become the same."""
+    parts, marks = re.split(r"[-/.]", text), re.findall(r"[-/.]", text)
+    found = _read_date(parts, marks)
+    if found is None:
+        return None
+    order, day = found
+    while True:
+        day = FIRST_DAY + timedelta(permute((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, key, "date"))
+        value = {"y": day.year, "m": day.month, "d": day.day}
+        filled = [str(value[k]).zfill(len(parts[i])) for i, k in enumerate(order)]
+        if [*map(len, filled)] == [*map(len, parts)] and _read_date(filled, marks) == (order, day):
+            return filled[0] + marks[0] + filled[1] + marks[1] + filled[2]
+
+
 #: kind, pattern, pseudonym or None if the value isn't valid. The first pattern that matches at a place is tried.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
@@ -200,6 +214,7 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     if len(key) < 16:
         raise ValueError("the key must have at least 16 bytes")
     ids = docs.select(id_col).schema[0].dataType.simpleString()
+    ship(docs.sparkSession)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
