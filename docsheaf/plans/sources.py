@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docsheaf import fixtures as X
 from docsheaf.functions.folds import fold_by_key
-from docsheaf.functions.readers import batch_read
+from docsheaf.functions.readers import batch_read, ledger_read
 from docsheaf.operators import transcripts as T
 from docsheaf.session import shared_folder
 from docsheaf.sources import uploads as U
@@ -71,6 +71,23 @@ def a6_write_events_ndjson(spark, sf_dir):
     return spark.read.schema(e.schema).json(folder)
 
 
+def a6_stream_events_ndjson(spark, sf_dir):
+    """Events that come in any order over three micro-batches, written in order of their turns."""
+    folder = shared_folder(spark)
+    e = X.trace_events(spark, sf_dir).select("turn", (F.col("seq") - 1).alias("seq"), "kind", "status", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("started_ms")).alias("at"))
+    e.repartition(3, F.xxhash64("turn", "seq")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withWatermark("at", "30 days")
+    U.stream_events_ndjson(O.in_order(stream, "turn", "kind string, status string").drop("at"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("turn long, seq int, kind string, status string").json(f"{folder}/out").select("turn", (F.col("seq") + 1).alias("seq"), "kind", "status")
+
+
+def k1_ledger_read(spark, sf_dir):
+    def reader(content, attempt: int) -> dict:
+        return {"text": content if (len(content) + attempt) % 3 else "", "finish": "stop"}
+
+    return ledger_read(X.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", reader, shared_folder(spark), partitions=4, flush=100)
+
+
 def a8_read_truth(spark, sf_dir):
     b = X.boxes(spark, sf_dir)
     box = F.struct(F.col("label"), F.array(F.col("x") * 2000, F.col("y") * 1000, (F.col("x") + F.col("w")) * 2000, (F.col("y") + F.col("h")) * 1000).alias("bbox"))
@@ -196,4 +213,6 @@ ORACLES = {
     "js8_live_turns_stream": X.oracle("v_event", "SELECT turn, min(started_ms) AS started_ms, max(started_ms) AS last_ms, count(*) FILTER (status = 'running') AS open_spans FROM v_event GROUP BY turn HAVING NOT bool_or(turn % 3 = 0 AND seq % 50 = 49)"),
     "js1_watch_calls_stream": X.oracle("v_chunk", ", r AS (SELECT call_id, seq, piece, greatest(sum((length(piece) > 0)::INT) OVER w, sum(length(piece)) OVER w // 4) AS tokens FROM v_chunk WINDOW w AS (PARTITION BY call_id ORDER BY seq)) SELECT call_id, min(seq)::BIGINT AS seq, 'budget' AS verdict, arg_min(tokens, seq) AS tokens FROM r WHERE tokens > 100 AND length(piece) > 0 GROUP BY call_id"),
 }
+ORACLES["k1_ledger_read"] = ORACLES["k1_batch_read"]
+ORACLES["a6_stream_events_ndjson"] = ORACLES["a6_write_events_ndjson"]
 QUERIES = {k: v for k, v in dict(globals()).items() if k[:2] in ("a1", "a2", "a3", "a6", "a8", "k1", "k2", "js")}

@@ -314,6 +314,31 @@ class CallAssembler(OrderedChunks):
         ]
 
 
+class InOrder(OrderedChunks):
+    """Passes rows on as they are, in order."""
+
+    def __init__(self, key: str, out: list[str], quiet_ms: int, columns: str):
+        self.columns = columns
+        super().__init__(key, out, quiet_ms)
+
+    def step(self, row: dict) -> list[dict]:
+        return [row]
+
+    def flush(self, row: dict) -> list[dict]:
+        return []
+
+
+def in_order(rows: DataFrame, key: str, columns: str, quiet_ms: int = QUIET_MS) -> DataFrame:
+    """(key, seq, at, columns): the rows of each key in order of seq over all micro-batches, each when those before it have
+    come. rows: key, seq (0, 1, ... within a key), at (with a watermark), `columns` as DDL, and last where it is known."""
+    _use_rocksdb(ship(rows.sparkSession))
+    names, kind = _names(columns), rows.schema[key].dataType.simpleString()
+    last = (F.col("last") if "last" in rows.columns else F.lit(False)).alias("last")
+    given = rows.select(key, F.col("seq").cast("long").alias("seq"), "at", F.unix_millis("at").alias("at_ms"), *names, last)
+    state = InOrder(key, [key, "seq", "at", *names], quiet_ms, f"{columns}, last boolean")
+    return given.groupBy(key).transformWithStateInPandas(state, f"{key} {kind}, seq long, at timestamp, {columns}", "Append", "EventTime", eventTimeColumnName="at")
+
+
 def _use_rocksdb(spark: SparkSession) -> None:
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
