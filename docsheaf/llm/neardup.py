@@ -23,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from docsheaf.llm.common import joined_groups, saved, with_groups
 from docsheaf.llm.substrings import _BASES, _mix, rolling, word_hashes
+from docsheaf.session import ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -284,10 +286,18 @@ def rare_buckets(table: DataFrame) -> DataFrame:
     return with_groups(marks, ["bucket"], []).withColumn("place", rarest).filter((F.col("place") <= needed) & (F.col("group_rows") > 1)).select("bucket", "doc_id")
 
 
+def _key(docs: DataFrame, id_col: str) -> Column:
+    """Whole numbers as they are; a hash of other ids, null for null."""
+    own = F.col(id_col)
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    return own.cast("long") if whole else F.when(own.isNotNull(), F.xxhash64(own))
+
+
 def _classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class_id), see classes(), and (doc_id, row_key, id_rows): the hash of the text that counts for an id, and
     the number of rows with that id."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    ship(docs.sparkSession)
+    named = docs.select(_key(docs, id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).alias("text")).filter("doc_id is not null")
     read = sketch_table(named).groupBy("doc_id").agg(F.min(F.struct("row_key", "body", "n", "sketches")).alias("x"), F.count(F.lit(1)).alias("id_rows"))
     table = saved(read.select("doc_id", "id_rows", "x.*"))
     nulls = table.filter("body is null").select("doc_id", F.col("doc_id").alias("rep"))
@@ -328,20 +338,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Texts with the same words are always in one class, so are texts without words; every null text is a class of its
     own. Of rows that repeat an id the one with the least text hash counts. Rows without an id are in no class and give
-    no row; an empty table gives none. Other columns are ignored, whatever their names.
+    no row; an empty table gives none. Other columns are ignored, whatever their names. Ids may be of any type; those that
+    aren't whole numbers are handled by their 64-bit hashes and come back as they were.
     """
-    return _classed(docs, id_col, text_col)[0]
+    placed = _classed(docs, id_col, text_col)[0]
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return placed
+    names = saved(docs.filter(F.col(id_col).isNotNull()).select(_key(docs, id_col).alias("doc_id"), F.col(id_col).alias("name")).distinct())
+    named = saved(placed.join(names, "doc_id"))
+    least = with_groups(named.select("class_id", "name"), ["class_id"], [F.min("name").alias("least")])
+    return least.select(F.col("name").alias("doc_id"), F.col("least").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate class, that of the least id; all columns stay, whatever their names.
+    """docs with one row of each near-duplicate class, that of the least id, or of the least hash of ids that aren't whole
+    numbers; all columns stay, whatever their names.
 
     Rows that repeat an id are one document: the row whose text was classed stays, of several such rows that with the
     least hash over all columns. Rows without an id are in no class and stay. An empty table stays empty.
     """
     classed, rows = _classed(docs, id_col, text_col)
     firsts = saved(classed.filter("doc_id = class_id").select("doc_id").join(rows, "doc_id"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(docs, id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"))
     kept = rows.join(firsts, ["doc_id", "row_key"])
     place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("row"), F.xxhash64(F.lit(1), "row")))
     repeated = kept.filter("id_rows > 1").withColumn("place", place).filter("place = 1")
