@@ -13,22 +13,27 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: White space in the Unicode sense (the property White_Space) but the blank, in ranges as a pattern has them.
+_OTHER_WHITE = "\\t-\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_WHITE_CHARACTERS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
     """Without white space, in the Unicode sense, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_WHITE_CHARACTERS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.rtrim(text, F.lit(_WHITE_CHARACTERS))
 
 
 def strip_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\n+|\n+\z", "")
+    return F.btrim(text, F.lit("\n"))
 
 
 def squeeze(text: Column) -> Column:
     """White space runs as one blank, none at the ends."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(text, f"[ {_OTHER_WHITE}]+", " "))
 
 
 def clip(text: Column, most: Column | int, margin: int = 80) -> Column:
