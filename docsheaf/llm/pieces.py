@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsheaf.llm.tokens import Recent, Run, runs, token_path
+from docsheaf.llm.tokens import _SIMPLE, Recent, Run, runs, token_path
 from docsheaf.session import ship
 
 MODEL = "piece_bpe_32k.model"
@@ -69,14 +69,20 @@ class Pieces:
             if p.type == BYTE:
                 self.byte_ids[int(p.piece[1:-1], 16)] = k
                 self.bytes[k] = int(p.piece[1:-1], 16)
-        self.automaton = ahocorasick.Automaton()
+        #: Two characters in a row that some piece has; a text can be cut between any others.
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         # A character without a piece can still be merged into one, so it takes part as itself.
-        for piece in self.ids.keys() | {c for p in self.ids for c in p}:
-            self.automaton.add_word(piece, len(piece))
+        self.parts = sorted(self.ids.keys() | {c for p in self.ids for c in p})
+        number = {p: k for k, p in enumerate(self.parts)}
+        self.size = [len(p) for p in self.parts]
+        #: The longest shorter part that a part begins with, or -1.
+        self.shorter = [next((number[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in number), -1) for p in self.parts]
+        self.automaton = ahocorasick.Automaton()
+        for p, k in number.items():
+            self.automaton.add_word(p, k)
         self.automaton.make_automaton()
-        self.shorter: dict[str, str] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.reached: dict[str, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.reached: dict[int, bool] = {}
         self.kept = Recent(KEPT_BYTES)
 
     @classmethod
@@ -96,52 +102,50 @@ class Pieces:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _prefix(self, piece: str) -> str:
-        """The longest shorter piece that `piece` begins with, or an empty text."""
-        found = self.shorter.get(piece)
-        if found is None:
-            found = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if self.automaton.exists(piece[:k])), "")
-            self.shorter[piece] = found
-        return found
-
-    def _compatible(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def _compatible(self, left: int, right: int) -> bool:
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
+        both = [self.parts[left], self.parts[right]]
+        known = self.pairs[left << 20 | right] = self.merged("".join(both)) == both
         return known
 
-    def _reachable(self, piece: str) -> bool:
-        known = self.reached.get(piece)
-        if known is None:
-            known = self.reached[piece] = self.merged(piece) == [piece]
+    def _reachable(self, part: int) -> bool:
+        known = self.reached[part] = self.merged(self.parts[part]) == [self.parts[part]]
         return known
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text whose characters all occur in pieces; spaces are written as the vocabulary does."""
-        size = len(text)
-        longest = [0] * size
-        for end, n in self.automaton.iter(text):
-            if n > longest[end - n + 1]:
-                longest[end - n + 1] = n
-        out: list[str] = []
-        open_, at, piece = (1 << (size + 1)) - 1, 0, text[: longest[0]]
-        while at < size:
-            while piece:
-                end = at + len(piece)
-                if open_ >> end & 1 and (self._compatible(out[-1], piece) if out else self._reachable(piece)):
-                    break
-                piece = self._prefix(piece)
-            if piece:
-                out.append(piece)
-                at += len(piece)
-                piece = text[at : at + longest[at]] if at < size else ""
+        size, shorter, pairs, reached = self.size, self.shorter, self.pairs, self.reached
+        length = len(text)
+        # Ends rise, so of the parts that begin at a place the longest is written last.
+        longest = [-1] * (length + 1)
+        for end, part in self.automaton.iter(text):
+            longest[end - size[part] + 1] = part
+        out: list[int] = []
+        open_, at, part = (1 << (length + 1)) - 1, 0, longest[0]
+        while at < length:
+            while part >= 0:
+                if open_ >> (at + size[part]) & 1:
+                    if out:
+                        fits = pairs.get(out[-1] << 20 | part)
+                        if fits is None:
+                            fits = self._compatible(out[-1], part)
+                    else:
+                        fits = reached.get(part)
+                        if fits is None:
+                            fits = self._reachable(part)
+                    if fits:
+                        break
+                part = shorter[part]
+            if part >= 0:
+                out.append(part)
+                at += size[part]
+                part = longest[at]
             else:
                 open_ &= ~(1 << at)
-                piece = out.pop()
-                at -= len(piece)
-        return out
+                part = out.pop()
+                at -= size[part]
+        return [self.parts[k] for k in out]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text in which the leading space, if there is one, has been written already."""
@@ -180,8 +184,20 @@ class Pieces:
         return "".join(out) + _characters(held)
 
     def _learn(self, chunks: list[str]) -> Iterator[bytes]:
+        """A word and the marks behind it are encoded apart, if no piece crosses their seam: words come with many marks."""
         for chunk in chunks:
-            yield array("i", self.encode(chunk)).tobytes()
+            simple = _SIMPLE.fullmatch(chunk)
+            if simple and simple[2] and simple[1][-1] + simple[2][0] not in self.inside:
+                yield self._of_word(simple[1]) + self._of_word(simple[2])
+            else:
+                yield array("i", self.encode(chunk)).tobytes()
+
+    def _of_word(self, word: str) -> bytes:
+        value = self.kept.get(word)
+        if value is None:
+            value = array("i", self.encode(word)).tobytes()
+            self.kept.put(word, value)
+        return value
 
     def all_of(self, chunks: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each chunk."""
