@@ -73,10 +73,8 @@ def a6_write_events_ndjson(spark, sf_dir):
 
 def a6_stream_events_ndjson(spark, sf_dir):
     """Events that come in any order over three micro-batches, written in order of their turns."""
-    folder = shared_folder(spark)
     e = X.trace_events(spark, sf_dir).select("turn", (F.col("seq") - 1).alias("seq"), "kind", "status", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("started_ms")).alias("at"))
-    e.repartition(3, F.xxhash64("turn", "seq")).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withWatermark("at", "30 days")
+    folder, stream = _in_three(spark, e, "turn", "seq")
     U.stream_events_ndjson(O.in_order(stream, "turn", "kind string, status string").drop("at"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema("turn long, seq int, kind string, status string").json(f"{folder}/out").select("turn", (F.col("seq") + 1).alias("seq"), "kind", "status")
 
@@ -134,14 +132,20 @@ def _streamed(spark, frame, transform, mode: str = "append"):
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-def _chunk_stream(spark, rows, transform):
-    """Runs transform over the chunks in three micro-batches, each with chunks of every call from all over it."""
+def _in_three(spark, frame, *keys):
+    """frame as a stream of three micro-batches, each with rows of every key from all over it. They are written by as many
+    tasks as a shuffle has, a third of the files for each."""
     folder = shared_folder(spark)
+    files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    frame.repartition(3 * files, F.xxhash64(*keys)).write.parquet(f"{folder}/in")
+    return folder, spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in").withWatermark("at", "30 days")
+
+
+def _chunk_stream(spark, rows, transform):
+    """Runs transform over the chunks in three micro-batches."""
     last = F.max("seq").over(C.W.partitionBy("call_id"))
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))
-    frame = rows.withColumns({"seq": F.col("seq").cast("long"), "at": at, "last": F.col("seq") == last})
-    frame.repartition(3, F.xxhash64("call_id", "seq")).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withWatermark("at", "30 days")
+    folder, stream = _in_three(spark, rows.withColumns({"seq": F.col("seq").cast("long"), "at": at, "last": F.col("seq") == last}), "call_id", "seq")
     out = transform(stream)
     writer = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start().awaitTermination()

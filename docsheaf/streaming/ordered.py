@@ -1,22 +1,29 @@
 """Streams of call chunks by event time: splitter, monitor and assembler as chained operators on typed state.
 
 Chunks of a call are numbered 0, 1, ... and may arrive in any order and any micro-batch. Every operator takes them in order
-of their number: one that comes early waits in a map state until those before it are there, one that comes again is
+of their number: one that comes early waits in a list state until those before it are there, one that comes again is
 dropped. A call is over with its last chunk, or when the watermark has passed its newest chunk by quiet_ms; what waits is
 then taken without the missing ones, numbered on over them. Its state goes at that time, so none stays.
 
+Every state access is a round trip between Python and the JVM, so a call costs a few of them for each micro-batch, however
+many chunks it has: early chunks of a micro-batch are one entry and are read only once the chunk before the first of them is
+there, and a timer that fires too soon is set anew instead of being moved with each micro-batch. Columns are costly too, since Python
+reads them value by value: what a chunk holds comes as one JSON text without its nulls.
+
 The stream that is given needs a watermark on `at`. State is kept by RocksDB, which these operators require.
 """
 
 from __future__ import annotations
 
+import json
+import pickle
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegralType, StructType
+from pyspark.sql.types import StructType
 
 from docsheaf.functions.text import strip
 from docsheaf.session import ship
@@ -31,6 +38,7 @@ SPLIT = f"{CHUNK}, held_content string, held_reasoning string"
 WATCHED = f"{SPLIT}, verdict string, reasoning_tokens long"
 ANSWER = "text string, reasoning string, finish string, tokens long, tools array<struct<tool_index int, name string, id string, args string>>, verdict string, reasoning_tokens long, chunks long, complete boolean"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _TAGS = {False: "<think>", True: "</think>"}
 
 
@@ -38,81 +46,102 @@ def _names(columns: str) -> list[str]:
     return StructType.fromDDL(columns).fieldNames()
 
 
-def _records(frame: pd.DataFrame, whole: list[str]) -> Iterator[dict]:
-    """Rows as dicts, with None for nulls; a column of whole numbers that holds nulls comes as floats."""
-    for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-        yield {k: int(v) if k in whole and v is not None else v for k, v in row.items()}
-
-
 class OrderedChunks(StatefulProcessor):
     """Takes the rows of a call in order; subclasses say what a row does.
 
     load() reads the own state before the rows of a micro-batch, step() gives the output rows of one row, store() writes
-    the state, flush() gives the output of a call that fell silent, clear() drops the state.
+    the state, flush() gives the output of a call that fell silent, clear() drops the state. `fresh` tells that a call has no
+    state yet, so that none need be asked for.
     """
 
     columns = CHUNK
 
     def __init__(self, key: str, out: list[str], quiet_ms: int):
         self.key, self.out, self.quiet_ms, self.names = key, out, quiet_ms, _names(self.columns)
-        self.whole = ["seq", "at_ms", *(f.name for f in StructType.fromDDL(self.columns) if isinstance(f.dataType, IntegralType))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next long, newest long, waiting long, over boolean")
-        self.early = handle.getMapState("early", "seq long", f"at_ms long, {self.columns}")
+        self.place = handle.getValueState("place", "next long, newest long, first long, over boolean")
+        self.early = handle.getListState("early", "chunks binary")
         self.declare(handle)
 
-    def _frame(self, key: tuple, rows: list[dict], watermark: int) -> Iterator[pd.DataFrame]:
-        if rows:
-            for row in rows:
-                row[self.key] = key[0]
-                # An operator may not send on what is older than the watermark.
-                row["at"] = pd.Timestamp(max(row["at_ms"], watermark), unit="ms", tz="UTC")
-            yield pd.DataFrame(rows, columns=self.out)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, newest, waiting, over = self.place.get() or (0, None, 0, False)
+    def _rows(self, key: tuple, rows: list[dict], watermark: int) -> Iterator[Row]:
+        make = Row(*self.out)
+        for row in rows:
+            row[self.key] = key[0]
+            # An operator may not send on what is older than the watermark.
+            row["at"] = _EPOCH + timedelta(milliseconds=max(row["at_ms"], watermark))
+            yield make(*[row[c] for c in self.out])
+
+    def _held(self) -> dict[int, dict]:
+        """The chunks that wait, by their number; of equal numbers the first that came."""
+        held: dict[int, dict] = {}
+        for (chunks,) in self.early.get():
+            for values in pickle.loads(chunks):
+                held.setdefault(values[0], dict(zip(["seq", "at_ms", *self.names], values, strict=True)))
+        return held
+
+    def _entry(self, rows: list[dict]) -> tuple[bytes]:
+        return (pickle.dumps([tuple(row[c] for c in ["seq", "at_ms", *self.names]) for row in rows]),)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        place = self.place.get()
+        self.fresh = place is None
+        # first is the least number that waits.
+        seq, newest, first, over = place or (0, None, None, False)
         arrived: dict[int, dict] = {}
-        for frame in rows:
-            for row in _records(frame, self.whole):
-                arrived.setdefault(row["seq"], row)
+        for row in rows:
+            if row["seq"] not in arrived:
+                arrived[row["seq"]] = self.read(row)
         at = max(row["at_ms"] for row in arrived.values())
         out: list[dict] = []
         if not over:
-            held = {k[0]: dict(zip(["at_ms", *self.names], v, strict=True)) for k, v in self.early.iterator()} if waiting else {}
-            self.load()
-            while not over and (row := held.get(seq) or arrived.get(seq)):
-                if seq in held:
-                    self.early.removeKey((seq,))
-                    waiting -= 1
+            held: dict[int, dict] | None = None
+            moved = seq in arrived
+            if moved:
+                self.load()
+            while not over:
+                if held is None and first is not None and first <= seq:
+                    held = self._held()
+                row = (held or {}).get(seq) or arrived.get(seq)
+                if row is None:
+                    break
                 out += self.step({**row, "seq": seq})
                 over, seq = bool(row["last"]) or self.ended(), seq + 1
             if over:
-                self.clear()
-                self.early.clear()
+                if not self.fresh:
+                    self.clear()
+                if first is not None:
+                    self.early.clear()
+                first = None
             else:
-                self.store()
-                for k in sorted(arrived):
-                    if k > seq and k not in held:
-                        self.early.updateValue((k,), tuple(arrived[k][c] for c in ["at_ms", *self.names]))
-                        waiting += 1
-        if newest is None or at > newest:
-            if newest is not None:
-                self.handle.deleteTimer(newest + self.quiet_ms)
-            newest = at
+                if moved:
+                    self.store()
+                new = [arrived[k] for k in sorted(arrived) if k > seq and k not in (held or {})]
+                if held is None:
+                    if new:
+                        self.early.appendValue(self._entry(new))
+                        first = new[0]["seq"] if first is None else min(first, new[0]["seq"])
+                else:
+                    left = sorted([*(row for k, row in held.items() if k > seq), *new], key=lambda row: row["seq"])
+                    self.early.put([self._entry(left)]) if left else self.early.clear()
+                    first = left[0]["seq"] if left else None
+        if newest is None:
+            self.handle.registerTimer(at + self.quiet_ms)
+        self.place.update((seq, at if newest is None else max(at, newest), first, over))
+        yield from self._rows(key, out, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        seq, newest, first, over = self.place.get() or (0, 0, None, True)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if newest + self.quiet_ms > max(watermark, expiredTimerInfo.getExpiryTimeInMs()):
             self.handle.registerTimer(newest + self.quiet_ms)
-        self.place.update((seq, newest, waiting, over))
-        yield from self._frame(key, out, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq, newest, waiting, over = self.place.get() or (0, 0, 0, True)
+            return
         out: list[dict] = []
+        self.fresh = False
         if not over:
             self.load()
-            held = sorted((k[0], v) for k, v in self.early.iterator()) if waiting else []
-            for _, values in held:
-                row = dict(zip(["at_ms", *self.names], values, strict=True))
+            for _, row in sorted(self._held().items()) if first is not None else []:
                 # Numbered on over the gap, so that an operator behind this one doesn't wait for what is lost.
                 out += self.step({**row, "seq": seq})
                 seq += 1
@@ -120,10 +149,13 @@ class OrderedChunks(StatefulProcessor):
                     break
             else:
                 out += self.flush({"seq": seq, "at_ms": newest, **dict.fromkeys(self.names)})
-        self.clear()
-        self.early.clear()
+            self.clear()
+            self.early.clear()
         self.place.clear()
-        yield from self._frame(key, out, timerValues.getCurrentWatermarkInMs())
+        yield from self._rows(key, out, watermark)
+
+    def read(self, row: Row) -> dict:
+        return {**dict.fromkeys(self.names), "seq": row["seq"], **json.loads(row["chunk"])}
 
     def declare(self, handle: StatefulProcessorHandle) -> None: ...
 
@@ -151,7 +183,7 @@ class ThinkSplitter(OrderedChunks):
         self.tail = handle.getValueState("tail", "held string, inside boolean")
 
     def load(self) -> None:
-        self.held, self.inside = self.tail.get() or ("", False)
+        self.held, self.inside = (None if self.fresh else self.tail.get()) or ("", False)
 
     def store(self) -> None:
         self.tail.update((self.held, self.inside))
@@ -187,17 +219,16 @@ class CallMonitor(OrderedChunks):
         self.budget, self.settings, self.verdicts_only = budget, settings, verdicts_only
 
     def declare(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "chunks long, chars long, open string")
+        self.counts = handle.getValueState("counts", "chunks long, chars long, open string, kept long")
         self.last_lines = handle.getListState("lines", "line string")
 
     def load(self) -> None:
-        self.chunks, self.chars, self.open = self.counts.get() or (0, 0, "")
-        self.lines = [x[0] for x in self.last_lines.get()]
-        self.known, self.verdict = len(self.lines), ""
+        self.chunks, self.chars, self.open, kept = (None if self.fresh else self.counts.get()) or (0, 0, "", 0)
+        self.lines, self.verdict = [x[0] for x in self.last_lines.get()] if kept else [], ""
         self.changed = False
 
     def store(self) -> None:
-        self.counts.update((self.chunks, self.chars, self.open))
+        self.counts.update((self.chunks, self.chars, self.open, len(self.lines)))
         if self.changed:
             self.last_lines.put([(x,) for x in self.lines])
 
@@ -256,7 +287,7 @@ class CallAssembler(OrderedChunks):
 
     def load(self) -> None:
         self.parts, self.args, self.named = ([], []), [], {}
-        self.finish, self.tokens, self.verdict, self.reasoning_tokens, self.chunks = self.end.get() or (None, None, "", None, 0)
+        self.finish, self.tokens, self.verdict, self.reasoning_tokens, self.chunks = (None if self.fresh else self.end.get()) or (None, None, "", None, 0)
 
     def store(self) -> None:
         if any(self.parts):
@@ -275,7 +306,7 @@ class CallAssembler(OrderedChunks):
 
     def _tool(self, index: int) -> tuple[str | None, str | None]:
         if index not in self.named:
-            self.named[index] = (self.tools.getValue((index,)) if self.tools.containsKey((index,)) else None) or (None, None)
+            self.named[index] = (self.tools.getValue((index,)) if not self.fresh and self.tools.containsKey((index,)) else None) or (None, None)
         return self.named[index]
 
     def step(self, row: dict) -> list[dict]:
@@ -299,10 +330,10 @@ class CallAssembler(OrderedChunks):
         return self._whole(row, False)
 
     def _whole(self, row: dict, complete: bool) -> list[dict]:
-        before = list(self.texts.get())
-        named = {k[0]: (v[0], v[1]) for k, v in self.tools.iterator()} | self.named
+        before = [] if self.fresh else list(self.texts.get())
+        named = ({} if self.fresh else {k[0]: (v[0], v[1]) for k, v in self.tools.iterator()}) | self.named
         spelled: dict[int, list[str]] = {}
-        for index, part in [*((x[0], x[1]) for x in self.arguments.get()), *self.args]:
+        for index, part in [*((x[0], x[1]) for x in ([] if self.fresh else self.arguments.get())), *self.args]:
             spelled.setdefault(index, []).append(part)
         tools = [{"tool_index": k, "name": name, "id": tool_id, "args": "".join(spelled.get(k, []))} for k, (name, tool_id) in sorted(named.items())]
         text, reasoning = "".join([*(x[0] for x in before), *self.parts[0]]), "".join([*(x[1] for x in before), *self.parts[1]])
@@ -321,6 +352,9 @@ class InOrder(OrderedChunks):
         self.columns = columns
         super().__init__(key, out, quiet_ms)
 
+    def read(self, row: Row) -> dict:
+        return row.asDict()
+
     def step(self, row: dict) -> list[dict]:
         return [row]
 
@@ -336,7 +370,7 @@ def in_order(rows: DataFrame, key: str, columns: str, quiet_ms: int = QUIET_MS)
     last = (F.col("last") if "last" in rows.columns else F.lit(False)).alias("last")
     given = rows.select(key, F.col("seq").cast("long").alias("seq"), "at", F.unix_millis("at").alias("at_ms"), *names, last)
     state = InOrder(key, [key, "seq", "at", *names], quiet_ms, f"{columns}, last boolean")
-    return given.groupBy(key).transformWithStateInPandas(state, f"{key} {kind}, seq long, at timestamp, {columns}", "Append", "EventTime", eventTimeColumnName="at")
+    return given.groupBy(key).transformWithState(state, f"{key} {kind}, seq long, at timestamp, {columns}", "Append", "EventTime", eventTimeColumnName="at")
 
 
 def _use_rocksdb(spark: SparkSession) -> None:
@@ -345,9 +379,9 @@ def _use_rocksdb(spark: SparkSession) -> None:
 
 
 def _rows(chunks: DataFrame, columns: str, **given: Column) -> DataFrame:
-    """chunks with the columns of an operator's input: those named in `given`, else its own, else null."""
+    """(call_id, seq, at, chunk): the columns of an operator's input, those named in `given`, else its own, else null, as JSON."""
     made = [(given[f.name] if f.name in given else F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(columns)]
-    return chunks.select("call_id", F.col("seq").cast("long").alias("seq"), "at", F.unix_millis("at").alias("at_ms"), *made)
+    return chunks.select("call_id", F.col("seq").cast("long").alias("seq"), "at", F.to_json(F.struct(F.unix_millis("at").alias("at_ms"), *made)).alias("chunk"))
 
 
 def _run(rows: DataFrame, make, out: str) -> DataFrame:
@@ -355,7 +389,7 @@ def _run(rows: DataFrame, make, out: str) -> DataFrame:
     key = rows.schema["call_id"].dataType.simpleString()
     schema = f"call_id {key}, seq long, at timestamp, {out}"
     names = ["call_id", "seq", "at", *_names(out)]
-    return rows.groupBy("call_id").transformWithStateInPandas(make("call_id", names), schema, "Append", "EventTime", eventTimeColumnName="at")
+    return rows.groupBy("call_id").transformWithState(make("call_id", names), schema, "Append", "EventTime", eventTimeColumnName="at")
 
 
 def split_chunks(chunks: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:

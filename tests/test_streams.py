@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docsheaf.streaming import calls, ordered, streams
@@ -93,6 +94,49 @@ def test_think_tags_cut_anywhere(spark, tmp_path, size):
         assert ("".join(r.reasoning for r in out if r.call_id == call), "".join(r.content for r in out if r.call_id == call)) == batch[call]
 
 
+class CountedStates:
+    """Stands in for a call's states and counts how often they are asked."""
+
+    def __init__(self):
+        self.values, self.asked = {}, 0
+
+    def state(self, name, *_):
+        outer = self
+
+        class State:
+            def __getattr__(self, action):
+                def ask(*given):
+                    outer.asked += 1
+                    if action == "get":
+                        return outer.values.get(name)
+                    if action == "clear":
+                        return outer.values.pop(name, None)
+                    held = outer.values.get(name) or []
+                    outer.values[name] = given[0] if action in ("update", "put") else [*held, given[0]]
+
+                return ask
+
+        return State()
+
+    getValueState = getListState = getMapState = state  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.asked += 1
+
+    deleteTimer = registerTimer  # noqa: N815
+
+
+@pytest.mark.parametrize("size", [10, 1000])
+def test_state_is_asked_as_often_whatever_the_number_of_chunks(spark, size):
+    states, Clock = CountedStates(), type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 0})  # noqa: N806
+    splitter = ordered.ThinkSplitter("call_id", ["call_id", "seq", "at", "content", "reasoning"], 1000)
+    splitter.init(states)
+    row = Row("call_id", "seq", "at", "chunk")
+    numbers = [[*range(1, size, 2)], [*range(2, size, 2)], [0]]
+    out = [[r.content for r in splitter.handleInputRows(("a",), iter([row("a", k, at(k), json.dumps({"at_ms": k, "content": f"{k} ", "last": k == size - 1})) for k in own]), Clock())] for own in numbers]
+    assert out == [[], [], [f"{k} " for k in range(size)]] and states.asked == 13
+
+
 def answers(n, seed):
     """Chunks of calls with text, reasoning (given apart or within tags), tool calls and counts of tokens."""
     rng, rows = random.Random(seed), []
