@@ -42,18 +42,24 @@ def raster_coverage(placements: DataFrame, pages: DataFrame, keys: list[str]) ->
 
 # Path-painting operators of page content, its string literals, and how much of it is read.
 PAINT = r"(?:^|(?<=\s))(?:B\*?|b\*?|f\*?|F|S|s|sh)(?=\s|$)"
-STRING_LITERAL = r"\((?:\\.|[^\\()])*\)"
+STRING_LITERAL = r"(?d)\((?:\\.|[^\\()])*+\)"
 SCAN_CHARS = 64 * 1024 * 1024
 
 
-def count_paint_ops(streams: DataFrame, keys: list[str], order: str = "stream_no", content: str = "content") -> DataFrame:
-    """vector per page: path-painting operators outside string literals in the first 64 MB of its content streams."""
+def count_paint_ops(streams: DataFrame, keys: list[str], order: str = "stream_no", content: str = "content", scan_chars: int | None = SCAN_CHARS) -> DataFrame:
+    """vector per page: path-painting operators outside string literals in the first scan_chars characters of its content
+    streams (64 MB, as in the analysed system), or in all of them if that is None, without sorting a page's streams."""
+    if scan_chars is None:
+        return _painted(streams.select(*keys, F.col(content).alias("part")), keys)
     own = W.partitionBy(*keys).orderBy(order)
     before = F.coalesce(F.sum(F.length(content)).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    left = F.greatest(F.lit(0), F.lit(SCAN_CHARS) - before).cast("int")
-    part = F.substring(F.col(content), F.lit(1), left)
-    found = F.size(F.regexp_extract_all(F.regexp_replace(part, STRING_LITERAL, "()"), F.lit(PAINT), F.lit(0)))
-    return streams.select(*keys, found.alias("n")).groupBy(*keys).agg(F.sum("n").alias("vector"))
+    left = F.greatest(F.lit(0), F.lit(scan_chars) - before).cast("int")
+    return _painted(streams.select(*keys, F.substring(F.col(content), F.lit(1), left).alias("part")), keys)
+
+
+def _painted(parts: DataFrame, keys: list[str]) -> DataFrame:
+    found = F.size(F.regexp_extract_all(F.regexp_replace("part", STRING_LITERAL, "()"), F.lit(PAINT), F.lit(0)))
+    return parts.select(*keys, found.alias("n")).groupBy(*keys).agg(F.sum("n").alias("vector"))
 
 
 def flag_drawings(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docsheaf.functions import containment
 from docsheaf.functions.readers import batch_read
 from docsheaf.operators import dialogue, evidence, pages, regions, store, telemetry, tiles, transcripts
+from docsheaf.plans import pages as page_plans
 from docsheaf.sources import uploads
 from docsheaf.streaming import calls, streams
 
@@ -286,3 +287,12 @@ def test_meta_groups_only_when_complete(spark):
 def test_library_does_without_the_training_data_operators():
     code = "import sys; sys.modules['docsheaf.llm'] = None; import docsheaf.catalog as c; print(len(c.QUERIES))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 100
+
+def test_paint_operators_behind_the_scan_limit(spark, tmp_path, monkeypatch):
+    """The query counts the whole of every page, as its SQL does, whatever the operator's own limit."""
+    monkeypatch.setattr(pages, "SCAN_CHARS", 5)
+    text = ["S (a S " + "b" * 50_000 + "\\) f) the f*", "sh B " * 3]
+    spark.createDataFrame([(k, t, "a") for k, t in enumerate(text)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in page_plans.c4_count_paint_ops(spark, str(tmp_path)).collect()] == [("a", 9)]
+    streams = spark.createDataFrame([("a", 0, "S f S f"), ("a", 1, "S")], "page string, stream_no long, content string")
+    assert pages.count_paint_ops(streams, ["page"], scan_chars=3).collect()[0].vector == 2
