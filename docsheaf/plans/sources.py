@@ -83,7 +83,7 @@ def k1_ledger_read(spark, sf_dir):
     def reader(content, attempt: int) -> dict:
         return {"text": content if (len(content) + attempt) % 3 else "", "finish": "stop"}
 
-    return ledger_read(X.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", reader, shared_folder(spark), partitions=4, flush=100)
+    return ledger_read(X.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", reader, shared_folder(spark), flush=100)
 
 
 def a8_read_truth(spark, sf_dir):
@@ -99,7 +99,7 @@ def k1_batch_read(spark, sf_dir):
         return {"text": content if (len(content) + attempt) % 3 else "", "finish": "stop"}
 
     pages = X.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return batch_read(pages, "doc_id", "text", reader, 4)
+    return batch_read(pages, "doc_id", "text", reader)
 
 
 def k2_read_then_resolve(spark, sf_dir):
