@@ -43,11 +43,14 @@ def _starts(length: Column, count: Column, overlap: int) -> Column:
 def plan_tiles(images: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per tile of each image that needs tiles: row, col, pixel edges on the planned size and the source box.
 
-    The planned size is the image's times the first power of 0.95 that needs at most max_tiles tiles.
+    The planned size is the image's times the first power of 0.95 that needs at most max_tiles tiles. Smaller sizes never
+    need more tiles, so that power is found by halving the list of powers.
     """
     size = settings.tile_size
     overlap = min(round(size * settings.tile_overlap), size // 2)
     large = images.filter((F.greatest("width", "height") > settings.tile_min_source_edge) & (F.greatest("width", "height") > size))
+    # A table of sizes is small, so it is read by few tasks; what it grows to is dealt to as many as a shuffle has.
+    large = large.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scales, s = [], 1.0
     while s > 1e-3:
         scales.append(s)
@@ -58,7 +61,16 @@ def plan_tiles(images: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         w, h = side("width", s), side("height", s)
         return (_count(w, size, overlap) * _count(h, size, overlap) <= settings.max_tiles) | (F.greatest(w, h) <= size)
 
-    planned = large.withColumn("scale", F.element_at(F.filter(F.array(*map(F.lit, scales)), fits), 1))
+    powers = F.array(*map(F.lit, scales))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        found = (acc["low"] < acc["high"]) & fits(F.get(powers, middle))
+        return F.struct(F.when(found | (acc["low"] >= acc["high"]), acc["low"]).otherwise(middle + 1).alias("low"), F.when(found, middle).otherwise(acc["high"]).alias("high"))
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(scales)).alias("high"))
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(len(scales).bit_length())), whole, halve, lambda acc: acc["low"])
+    planned = large.withColumn("scale", F.get(powers, first))
     planned = planned.withColumns({"plan_width": side("width", F.col("scale")), "plan_height": side("height", F.col("scale"))})
     planned = planned.withColumns({"cols": _count(F.col("plan_width"), size, overlap), "rows": _count(F.col("plan_height"), size, overlap)})
     rows = planned.select("*", F.posexplode(_starts(F.col("plan_height"), F.col("rows"), overlap)).alias("r", "v"))
