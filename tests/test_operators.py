@@ -7,11 +7,13 @@ import sys
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from docsheaf.functions import containment
 from docsheaf.functions.readers import batch_read
 from docsheaf.operators import dialogue, evidence, pages, regions, store, telemetry, tiles, transcripts
 from docsheaf.plans import pages as page_plans
+from docsheaf.plans import sources as source_plans
 from docsheaf.sources import uploads
 from docsheaf.streaming import calls, streams
 
@@ -296,3 +298,36 @@ def test_paint_operators_behind_the_scan_limit(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in page_plans.c4_count_paint_ops(spark, str(tmp_path)).collect()] == [("a", 9)]
     streams = spark.createDataFrame([("a", 0, "S f S f"), ("a", 1, "S")], "page string, stream_no long, content string")
     assert pages.count_paint_ops(streams, ["page"], scan_chars=3).collect()[0].vector == 2
+
+
+def test_tiles_of_one_file_are_planned_by_all_tasks(spark, tmp_path):
+    """And of the least power of 0.95 that fits, as a search from the first one on finds it."""
+    sizes = [(k, 2000 + 7919 * k % 30_000, 500 + 104_729 * k % 20_000) for k in range(60)]
+    spark.createDataFrame(sizes, "image_id long, width long, height long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = tiles.plan_tiles(spark.read.parquet(f"{tmp_path}/in"))
+    assert got.rdd.getNumPartitions() == 4
+    count = lambda n: 1 if n <= 1536 else -(-(n - 192) // 1344)
+    want = {}
+    for k, w, h in (s for s in sizes if max(s[1:]) > 2048):
+        scale = 1.0
+        while count(max(1, round(w * scale))) * count(max(1, round(h * scale))) > 48 and max(round(w * scale), round(h * scale)) > 1536:
+            scale *= 0.95
+        want[k] = scale
+    assert {r.image_id: r.scale for r in got.collect()} == want
+
+
+def test_tasks_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """Readers without a bound of their own take the parts of the scan; rounds of box matching deal pairs to more tasks."""
+    spark.range(60).selectExpr("id as doc_id", "repeat('a', 10) as text").repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(regions, "TASK_PAIRS", 2)
+    conf, old = spark.conf, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert source_plans.k1_batch_read(spark, str(tmp_path)).rdd.getNumPartitions() > 4
+    finally:
+        conf.set("spark.sql.files.maxPartitionBytes", old)
+    dealt, whole = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *by: dealt.append(by) or whole(self, *by))
+    box = spark.range(30).selectExpr("id as run", "1 as box_no", "0.1 as x", "0.1 as y", "0.2 as w", "0.2 as h")
+    got = regions.score_boxes(box, box.withColumnRenamed("box_no", "target")).collect()
+    assert len(got) == 30 and all(r.iou == 1 for r in got) and (15, "run") in dealt
