@@ -10,6 +10,11 @@ many chunks it has: early chunks of a micro-batch are one entry and are read onl
 there, and a timer that fires too soon is set anew instead of being moved with each micro-batch. Columns are costly too, since Python
 reads them value by value: what a chunk holds comes as one JSON text without its nulls.
 
+Operators that stand alone (split_think_stream, watch_calls, in_order) run the same classes without these round trips: the
+states of all calls of a bucket (a hash of the call) come to Python with the rows as one value and go back with the output,
+since Spark hands each group to Python at a price of its own. A micro-batch so rewrites the state of the buckets that it has
+rows of. No stateful operator may follow them; split_chunks, watch_chunks and assemble_chunks can be chained.
+
 The stream that is given needs a watermark on `at`. State is kept by RocksDB, which these operators require.
 """
 
@@ -17,13 +22,15 @@ from __future__ import annotations
 
 import json
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StructType, TimestampType, VariantType
 
 from docsheaf.functions.text import strip
 from docsheaf.session import ship
@@ -31,6 +38,8 @@ from docsheaf.settings import DEFAULTS, Settings
 from docsheaf.streaming.calls import tool_json
 
 QUIET_MS = 600_000
+#: Buckets of calls that share a state. A checkpoint is bound to their number.
+BUCKETS = 4096
 #: What a chunk of a model call may hold; columns that a stream lacks are null. silent marks the end that an operator puts
 #: to a call that fell silent.
 CHUNK = "content string, reasoning string, tool_index int, tool_id string, tool_name string, tool_args string, finish string, tokens long, last boolean, silent boolean"
@@ -57,7 +66,9 @@ class OrderedChunks(StatefulProcessor):
     columns = CHUNK
 
     def __init__(self, key: str, out: list[str], quiet_ms: int):
-        self.key, self.out, self.quiet_ms, self.names = key, out, quiet_ms, _names(self.columns)
+        self.key, self.out, self.quiet_ms = key, out, quiet_ms
+        self.types = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(self.columns)}
+        self.names = list(self.types)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -85,14 +96,18 @@ class OrderedChunks(StatefulProcessor):
         return (pickle.dumps([tuple(row[c] for c in ["seq", "at_ms", *self.names]) for row in rows]),)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        out = self.taken(self.read(row) for row in rows)
+        yield from self._rows(key, out, timerValues.getCurrentWatermarkInMs())
+
+    def taken(self, rows: Iterable[dict]) -> list[dict]:
+        """The output of a micro-batch's rows of a call."""
         place = self.place.get()
         self.fresh = place is None
         # first is the least number that waits.
         seq, newest, first, over = place or (0, None, None, False)
         arrived: dict[int, dict] = {}
         for row in rows:
-            if row["seq"] not in arrived:
-                arrived[row["seq"]] = self.read(row)
+            arrived.setdefault(row["seq"], row)
         at = max(row["at_ms"] for row in arrived.values())
         out: list[dict] = []
         if not over:
@@ -129,14 +144,18 @@ class OrderedChunks(StatefulProcessor):
         if newest is None:
             self.handle.registerTimer(at + self.quiet_ms)
         self.place.update((seq, at if newest is None else max(at, newest), first, over))
-        yield from self._rows(key, out, timerValues.getCurrentWatermarkInMs())
+        return out
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        seq, newest, first, over = self.place.get() or (0, 0, None, True)
         watermark = timerValues.getCurrentWatermarkInMs()
-        if newest + self.quiet_ms > max(watermark, expiredTimerInfo.getExpiryTimeInMs()):
+        yield from self._rows(key, self.expired(max(watermark, expiredTimerInfo.getExpiryTimeInMs())), watermark)
+
+    def expired(self, now: int) -> list[dict]:
+        """The output of a call whose timer fired: what waits, if it fell silent, and nothing if the timer is set anew."""
+        seq, newest, first, over = self.place.get() or (0, 0, None, True)
+        if newest + self.quiet_ms > now:
             self.handle.registerTimer(newest + self.quiet_ms)
-            return
+            return []
         out: list[dict] = []
         self.fresh = False
         if not over:
@@ -152,10 +171,13 @@ class OrderedChunks(StatefulProcessor):
             self.clear()
             self.early.clear()
         self.place.clear()
-        yield from self._rows(key, out, watermark)
+        return out
+
+    def parsed(self, chunk: str) -> dict:
+        return {**dict.fromkeys(self.names), **json.loads(chunk)}
 
     def read(self, row: Row) -> dict:
-        return {**dict.fromkeys(self.names), "seq": row["seq"], **json.loads(row["chunk"])}
+        return {"seq": row["seq"], **self.parsed(row["chunk"])}
 
     def declare(self, handle: StatefulProcessorHandle) -> None: ...
 
@@ -362,13 +384,111 @@ class InOrder(OrderedChunks):
         return []
 
 
+class _KeptValue:
+    """A value or list state within KeptStates."""
+
+    def __init__(self, kept: KeptStates, name: str, empty):
+        self.kept, self.name, self.empty = kept, name, empty
+
+    def get(self):
+        return self.kept.values.get(self.name, self.empty)
+
+    def update(self, value) -> None:
+        self.kept.values[self.name] = value
+
+    put = update
+
+    def appendValue(self, value) -> None:  # noqa: N802
+        self.kept.values.setdefault(self.name, []).append(value)
+
+    def clear(self) -> None:
+        self.kept.values.pop(self.name, None)
+
+
+class KeptStates:
+    """Stands for the handle of a processor: the states of one call, and its timer, as one dictionary."""
+
+    def __init__(self):
+        self.values: dict = {}
+
+    def getValueState(self, name: str, schema: str) -> _KeptValue:  # noqa: N802
+        return _KeptValue(self, name, None)
+
+    def getListState(self, name: str, schema: str) -> _KeptValue:  # noqa: N802
+        return _KeptValue(self, name, ())
+
+    def registerTimer(self, at: int) -> None:  # noqa: N802
+        self.values["timer"] = at
+
+
+def _as_text(column: str, kind: DataType) -> Column:
+    """A value of no nested type as a text from which _from_text() gives exactly that value."""
+    return F.base64(column) if isinstance(kind, BinaryType) else F.unix_micros(column).cast("string") if isinstance(kind, TimestampType) else F.col(column).cast("string")
+
+
+def _from_text(text: Column, kind: DataType) -> Column:
+    return F.unbase64(text) if isinstance(kind, BinaryType) else F.timestamp_micros(text.cast("long")) if isinstance(kind, TimestampType) else text.cast(kind)
+
+
+def _run_alone(rows: DataFrame, key: str, processor: OrderedChunks, out: str, **given: Column) -> DataFrame:
+    """(key, seq, at, out) of a processor that no other stateful operator follows. rows: key (of no nested type), seq, at and
+    the processor's columns, where `given` doesn't have them."""
+    _use_rocksdb(ship(rows.sparkSession))
+    kind, names, kept = rows.schema[key].dataType, ["seq", "at_ms", *_names(out)], KeptStates()
+    processor.init(kept)
+    chunk = _chunk(rows, ", ".join(f"{n} {t}" for n, t in processor.types.items()), key=_as_text(key, kind), **given)
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket"), "at", chunk)
+
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        calls: dict[str | None, dict] = pickle.loads(state.get[0]) if state.exists else {}
+        watermark, texts = state.getCurrentWatermarkMs(), []
+
+        def take(own: str | None, action, *given) -> None:
+            kept.values = calls.setdefault(own, {})
+            # An operator may not send on what is older than the watermark.
+            made = [{"key": own, **{c: row[c] for c in names}, "at_ms": max(row["at_ms"], watermark)} for row in action(*given)]
+            if made:
+                texts.append(json.dumps(made))
+            if "place" not in kept.values:
+                del calls[own]
+
+        arrived: dict[str | None, list[dict]] = {}
+        for frame in frames:
+            for text in frame["chunk"]:
+                row = processor.parsed(text)
+                arrived.setdefault(row.pop("key", None), []).append(row)
+        for own, its in arrived.items():
+            take(own, processor.taken, its)
+        for own in [k for k, values in calls.items() if values["timer"] < watermark]:
+            take(own, processor.expired, watermark)
+        if calls:
+            state.update((pickle.dumps(calls),))
+            state.setTimeoutTimestamp(max(min(values["timer"] for values in calls.values()), watermark + 1))
+        else:
+            state.remove()
+        if texts:
+            yield pd.DataFrame({"rows": texts})
+
+    done = dealt.groupBy("bucket").applyInPandasWithState(run, "rows string", "kept binary", "append", "EventTimeTimeout")
+    each = done.select(F.inline(F.from_json("rows", f"array<struct<key: string, seq: long, at_ms: long, {', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in StructType.fromDDL(out))}>>")))
+    return each.select(_from_text(F.col("key"), kind).alias(key), "seq", F.timestamp_millis("at_ms").alias("at"), *_names(out))
+
+
 def in_order(rows: DataFrame, key: str, columns: str, quiet_ms: int = QUIET_MS) -> DataFrame:
     """(key, seq, at, columns): the rows of each key in order of seq over all micro-batches, each when those before it have
-    come. rows: key, seq (0, 1, ... within a key), at (with a watermark), `columns` as DDL, and last where it is known."""
+    come. rows: key, seq (0, 1, ... within a key), at (with a watermark), `columns` as DDL, and last where it is known.
+    Columns of nested types go to Python value by value, others as one text that is only passed on."""
+    fields = StructType.fromDDL(columns).fields
+    last = (F.col("last") if "last" in rows.columns else F.lit(False)).alias("last")
+    seq = F.col("seq").cast("long").alias("seq")
+    if not any(isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType)) for f in fields):
+        texts = F.to_json(F.struct(*[_as_text(f.name, f.dataType).alias(f"c{n}") for n, f in enumerate(fields)]))
+        found = _run_alone(rows.select(key, seq, "at", texts.alias("row"), last), key, InOrder(key, [], quiet_ms, "row string, last boolean"), "row string")
+        own = found.withColumn("row", F.from_json("row", ", ".join(f"c{n} string" for n in range(len(fields)))))
+        return own.select(key, "seq", "at", *[_from_text(F.col("row")[f"c{n}"], f.dataType).alias(f.name) for n, f in enumerate(fields)])
     _use_rocksdb(ship(rows.sparkSession))
     names, kind = _names(columns), rows.schema[key].dataType.simpleString()
-    last = (F.col("last") if "last" in rows.columns else F.lit(False)).alias("last")
-    given = rows.select(key, F.col("seq").cast("long").alias("seq"), "at", F.unix_millis("at").alias("at_ms"), *names, last)
+    given = rows.select(key, seq, "at", F.unix_millis("at").alias("at_ms"), *names, last)
     state = InOrder(key, [key, "seq", "at", *names], quiet_ms, f"{columns}, last boolean")
     return given.groupBy(key).transformWithState(state, f"{key} {kind}, seq long, at timestamp, {columns}", "Append", "EventTime", eventTimeColumnName="at")
 
@@ -378,10 +498,16 @@ def _use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
 
 
-def _rows(chunks: DataFrame, columns: str, **given: Column) -> DataFrame:
-    """(call_id, seq, at, chunk): the columns of an operator's input, those named in `given`, else its own, else null, as JSON."""
-    made = [(given[f.name] if f.name in given else F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(columns)]
-    return chunks.select("call_id", F.col("seq").cast("long").alias("seq"), "at", F.to_json(F.struct(F.unix_millis("at").alias("at_ms"), *made)).alias("chunk"))
+def _chunk(chunks: DataFrame, columns: str, **given: Column) -> Column:
+    """The columns of an operator's input, those named in `given`, else its own, else null, as JSON, with seq and at_ms."""
+    known = {"seq": F.col("seq").cast("long"), "at_ms": F.unix_millis("at"), **given}
+    made = [(known.pop(f.name) if f.name in known else F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(columns)]
+    return F.to_json(F.struct(*[value.alias(name) for name, value in known.items()], *made)).alias("chunk")
+
+
+def _rows(chunks: DataFrame, columns: str) -> DataFrame:
+    """(call_id, seq, at, chunk): the rows of an operator's input."""
+    return chunks.select("call_id", F.col("seq").cast("long").alias("seq"), "at", _chunk(chunks, columns))
 
 
 def _run(rows: DataFrame, make, out: str) -> DataFrame:
@@ -417,13 +543,13 @@ def answer_stream(chunks: DataFrame, budget: int = 0, settings: Settings = DEFAU
 
 def split_think_stream(chunks: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
     """(call_id, seq, at, reasoning, content) for each chunk. chunks: call_id, seq, at, piece, last."""
-    rows = _rows(chunks, CHUNK, content=F.col("piece"), reasoning=F.lit(None))
-    return _run(rows, lambda key, names: ThinkSplitter(key, names, quiet_ms), SPLIT).select("call_id", "seq", "at", F.coalesce("reasoning", F.lit("")).alias("reasoning"), F.coalesce("content", F.lit("")).alias("content"))
+    found = _run_alone(chunks, "call_id", ThinkSplitter("call_id", [], quiet_ms), "reasoning string, content string", content=F.col("piece"), reasoning=F.lit(None))
+    return found.select("call_id", "seq", "at", F.coalesce("reasoning", F.lit("")).alias("reasoning"), F.coalesce("content", F.lit("")).alias("content"))
 
 
 def watch_calls(chunks: DataFrame, budget: int, settings: Settings = DEFAULTS, quiet_ms: int = QUIET_MS) -> DataFrame:
     """(call_id, seq, at, verdict, tokens): the chunk at which a call's reasoning is stopped. chunks: call_id, seq, at,
     piece, last."""
-    rows = _rows(chunks, SPLIT, reasoning=F.col("piece"), content=F.lit(None))
-    found = _run(rows, lambda key, names: CallMonitor(key, names, quiet_ms, budget, settings, verdicts_only=True), WATCHED)
+    monitor = CallMonitor("call_id", [], quiet_ms, budget, settings, verdicts_only=True)
+    found = _run_alone(chunks, "call_id", monitor, "verdict string, reasoning_tokens long", reasoning=F.col("piece"), content=F.lit(None))
     return found.select("call_id", "seq", "at", "verdict", F.col("reasoning_tokens").alias("tokens"))

@@ -3,6 +3,7 @@
 import json
 import random
 from datetime import datetime, timedelta, timezone
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Row
@@ -188,6 +189,29 @@ def test_answers_that_are_stopped_or_fall_silent(spark, tmp_path):
     assert spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "texts").option("flattenCollectionTypes", True).load(f"{tmp_path}/state").filter("key.call_id <> 'clock'").count() == 0
 
 
+def test_calls_of_a_bucket_share_a_state(spark, tmp_path, monkeypatch):
+    """Calls that end, that fall silent and that lose a chunk, four buckets of them; what is silent leaves no state."""
+    monkeypatch.setattr(ordered, "BUCKETS", 4)
+    rows = [r for k in range(30) for r in words(f"c{k}", f"a{k} <think>why {k}</think> b", 4)]
+    rows = [{**r, "last": r["last"] and r["call_id"] > "c2"} for r in rows if (r["call_id"], r["seq"]) != ("c5", 2)]
+    clock = [[{"call_id": "clock", "seq": k, "at": at(10_000 * (k + 1)), "piece": "tick", "last": False}] for k in range(3)]
+    out = sorted(run(spark, tmp_path, [*shuffled(rows, 3, 8), *clock], WORDS, ordered.split_think_stream, delay="10 seconds"), key=lambda r: r.seq)
+    for k in range(30):
+        text = "a5 <thiny 5</think> b" if k == 5 else f"a{k}  b"
+        own = [r for r in out if r.call_id == f"c{k}"]
+        assert ("".join(r.reasoning for r in own), "".join(r.content for r in own)) == ("" if k == 5 else f"why {k}", text) and [r.seq for r in own] == list(range(len(own)))
+    assert spark.read.format("statestore").load(f"{tmp_path}/state").count() == 1  # the bucket of the clock
+
+
+def test_rows_in_order_keep_their_values(spark, tmp_path):
+    schema = "turn long, seq long, at timestamp, n long, x double, t timestamp, d decimal(30,2), b binary, ok boolean, s string"
+    values = [(2**53 + 1, float("nan"), at(0.000001), Decimal("1e20"), b"\x00\xff", True, 'a "b"\n\\'), (None,) * 7, (-1, 0.1 + 0.2, at(5), Decimal("-0.01"), b"", False, "")]
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = [{**dict(zip(names, (turn, k, at(k), *v), strict=True))} for turn in (1, None) for k, v in enumerate(values)]
+    got = run(spark, tmp_path, [rows[::-1][:4], rows[::-1][4:]], schema, lambda s: ordered.in_order(s, "turn", ", ".join(schema.split(", ")[3:])))
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema).collect()))
+
+
 def test_newest_trace_wins(spark, tmp_path):
     rows = [("t1", 2, "new"), ("t1", 1, "old"), ("t2", 5, "five"), ("t3", 1, "a"), ("t3", 3, "c"), ("t3", 2, "b")]
     spark.createDataFrame(rows, "turn string, version int, document string").repartition(5).write.parquet(f"{tmp_path}/in")
