@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsheaf.functions.text import let
+from docsheaf.session import stored
 
 #: Strings without a whole word inside are looked up by pieces of this many characters, shorter ones by themselves.
 GRAM = 3
@@ -54,7 +55,8 @@ def containing(texts: DataFrame, keys: Sequence[str], text: str, strings: DataFr
     sizes = {r["by"]: r["bytes"] for r in asked.groupBy("by").agg((F.sum(F.octet_length("string")) * 5).alias("bytes")).collect()}  # GRAM + 1 rows at most
     blocks = max(1, -(-sum(sizes.values()) // block_bytes))
     found = [_candidates(texts, keys, text, asked.filter(F.pmod(F.xxhash64("string"), F.lit(blocks)) == k), sorted(sizes)) for k in range(blocks)]
-    named = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.collect_set("string").alias("maybe"))
+    # A table's size is known, so that few candidates are sent to the texts; else all texts would be shuffled to meet them.
+    named = stored(reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.collect_set("string").alias("maybe")))
     held = texts.join(named, keys).withColumn("held", F.filter("maybe", lambda s: F.contains(F.col(text), s)))
     return held.filter(F.size("held") > 0).drop("maybe")
 

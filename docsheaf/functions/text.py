@@ -32,8 +32,8 @@ def strip_newlines(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """White space runs as one blank, none at the ends."""
-    return F.btrim(F.regexp_replace(text, f"[ {_OTHER_WHITE}]+", " "))
+    """White space runs as one blank, none at the ends. Single blanks, by far the most of it, are passed over."""
+    return F.btrim(F.regexp_replace(text, f"[ {_OTHER_WHITE}]{{2,}}|[{_OTHER_WHITE}]", " "))
 
 
 def clip(text: Column, most: Column | int, margin: int = 80) -> Column:

@@ -182,6 +182,16 @@ def test_live_turns_on_a_stream(spark, tmp_path):
     assert [tuple(r) for r in streams.live_now(updates).collect()] == [("a", 10, 20, 1)] == [tuple(r) for r in streams.live_turns(frame).collect()]
 
 
+def test_expected_strings_are_counted_within_the_row_of_a_text(spark, tmp_path):
+    rows = [(k, f"line {k}\r\n\u00a0needle  {k}\n\n[UNCLEAR]\rlast" if k % 50 == 0 else None if k == 3 else f"one\n two {k}") for k in range(200)]
+    spark.createDataFrame(rows, "k int, text string").write.parquet(f"{tmp_path}/t")
+    expected = spark.createDataFrame([("Needle 50",), ("needle 50",), ("needle\t1",), ("two 7",)], "item string")
+    got = transcripts.expectation_report(spark.read.parquet(f"{tmp_path}/t"), expected, "k")
+    found = {r.k: (r.found, r.lines, r.exact, r.expected) for r in got.collect()}
+    assert found[50] == (2, 3, 1, 4) and found[100] == (1, 3, 1, 4) and found[0] == (0, 3, 0, 4) and found[3] == (0, 0, 0, 4) and found[7] == found[77] == (1, 2, 1, 4) and found[8] == (0, 2, 0, 4)
+    assert len(found) == 200 and "Generate posexplode" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unrelated_lines(spark):
     texts = spark.createDataFrame([(1, "DRAWING NO A-1024\nDRAWNG NO A-1O24\n[TILE r1c1]\nA cat sits on a sofa\nno a")], "k int, text string")
     expected = spark.createDataFrame([("Drawing No  A-1024",)], "item string")
