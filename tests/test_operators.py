@@ -192,6 +192,16 @@ def test_expected_strings_are_counted_within_the_row_of_a_text(spark, tmp_path):
     assert len(found) == 200 and "Generate posexplode" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_coordinates_are_columns(spark):
+    """Null, infinite and missing numbers, images without a size, and no function of array items, which isn't compiled."""
+    raw = [(1, [0.1, 0.2, 0.3, 0.4], None, None, 0.0), (2, [0.1, None, 0.3, 0.4], None, None, 10.0), (3, [0.1, 0.2, float("inf"), 0.4], None, None, 10.0), (4, [0.1, float("nan"), 0.3, 0.4], None, None, 10.0), (5, [1.0, 2.0], [100.0, 200.0, 300.0, 5000.0], None, 10000.0), (6, None, None, [200.0, 100.0, 400.0, 1200.0], None), (7, None, None, None, 5.0), (8, [0.5, 0.5, 0.5, 0.9], None, None, 1.0)]
+    rows = spark.createDataFrame([("p", *r, r[-1]) for r in raw], "page string, n int, bbox array<double>, bbox_2d array<double>, box_2d array<double>, image_width double, image_height double")
+    out = regions.normalize_coords(rows, ["page"])
+    got = {r.n: tuple(round(v, 6) for v in (r.x, r.y, r.w, r.h)) for r in out.collect()}
+    assert got == {1: (0.1, 0.2, 0.2, 0.2), 5: (0.01, 0.02, 0.02, 0.48), 6: (0.1, 0.2, 0.9, 0.2)}
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unrelated_lines(spark):
     texts = spark.createDataFrame([(1, "DRAWING NO A-1024\nDRAWNG NO A-1O24\n[TILE r1c1]\nA cat sits on a sofa\nno a")], "k int, text string")
     expected = spark.createDataFrame([("Drawing No  A-1024",)], "item string")
