@@ -2,6 +2,8 @@
 
 import difflib
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -74,6 +76,40 @@ def test_search_in_a_folder_of_many_equal_words(spark, tmp_path):
     assert sorted(tuple(r) for r in search_index.search_index(ask, docs(spark, texts), f"{tmp_path}/i").collect()) == plain(texts, needles)
 
 
+def test_index_has_a_row_for_each_term_of_a_run(spark, tmp_path):
+    """Not one for each word of a text; and the texts aren't shuffled to meet the few that are found."""
+    some = docs(spark, TEXTS).coalesce(1)
+    want = sorted((w, k, at) for k, t in enumerate(TEXTS) if t is not None for at, w in enumerate(re.split(r"[\W_]+", t.lower())) if w)
+    for run_words, runs in ((10**6, 1), (3, 10)):
+        path = f"{tmp_path}/{run_words}"
+        search_index.write_index(some, path, run_words)
+        rows = spark.read.parquet(f"{path}/terms").collect()
+        assert sorted((r.term, d, at) for r in rows for d, at in zip(r.docs, r.ats, strict=True)) == want
+        assert max(Counter(r.term for r in rows).values()) <= runs and all(r.n == len(r.docs) for r in rows)
+        assert (len(rows) == len({w[0] for w in want})) == (runs == 1)
+        found = search_index.search_index(asked(spark), some, path)
+        assert sorted(tuple(r) for r in found.collect()) == plain(TEXTS, NEEDLES)
+        assert "BroadcastHashJoin [doc" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_over_random_texts_after_a_refresh(spark, tmp_path):
+    rng, path = random.Random(4), f"{tmp_path}/i"
+    text = lambda: " ".join(rng.choice("a b c d ee".split()) for _ in range(rng.randint(0, 40)))
+    old = [text() for _ in range(50)]
+    new = [text() if k % 3 else t for k, t in enumerate(old)] + [text() for _ in range(10)]
+    long = [t.split() for t in old + new if len(t.split()) > 9]
+    needles = [" ".join(rng.choice(long)[:n]) for n in (2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 8, 9)] + ["a b c d ee a b c d"]
+    search_index.write_index(docs(spark, old), path, 20)
+    search_index.refresh_index(docs(spark, new), path, 50)
+    ask = spark.createDataFrame(list(enumerate(needles)), "query_id int, query string")
+    got = sorted(tuple(r) for r in search_index.search_index(ask, docs(spark, new), path).collect())
+    assert got == plain(new, needles) and len({r[0] for r in got}) > 8  # some stood in old texts alone
+    in_a_row = lambda t, n: f" {' '.join(n.split()[1:-1])} " in f" {t} "
+    want = sorted((n, k) for n in {n for n in needles if len(n.split()) > 2} for k, t in enumerate(new) if in_a_row(t, n))
+    found = search_index.candidates(spark.createDataFrame([(n,) for n in needles if len(n.split()) > 2], "string string"), docs(spark, new), path)
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
 def test_strings_in_blocks_of_bytes(spark):
     texts = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS) if t], "k int, text string")
     strings = spark.createDataFrame([(n,) for n in NEEDLES], "s string")
