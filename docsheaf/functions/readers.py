@@ -17,6 +17,7 @@ from docsheaf.session import ship
 from docsheaf.settings import DEFAULTS, Settings
 
 LEDGER = "content_key string, attempt int, text string, finish string, error string"
+ATTEMPTS = "array<struct<attempt:int,text:string,finish:string,error:string>>"
 
 
 def _attempts(content: object, reader: Callable[[object, int], dict], most: int) -> Iterator[tuple]:
@@ -31,8 +32,8 @@ def _attempts(content: object, reader: Callable[[object, int], dict], most: int)
             return
 
 
-def batch_read(pages: DataFrame, key: str, content: str, reader: Callable[[object, int], dict], partitions: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per attempt: key, attempt, text, finish, error. reader(content, attempt) returns text and finish.
+def read_pages(pages: DataFrame, key: str, content: str, reader: Callable[[object, int], dict], partitions: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row per page: key, attempts (attempt, text, finish, error, in order). reader(content, attempt) returns text and finish.
 
     Pages whose attempt fails or returns nothing are tried again, up to ocr_retries times. `partitions` bounds how many
     readers run at once.
@@ -41,11 +42,16 @@ def batch_read(pages: DataFrame, key: str, content: str, reader: Callable[[objec
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, *row) for k, c in zip(frame[key], frame[content], strict=True) for row in _attempts(c, reader, settings.ocr_retries)]
-            yield pd.DataFrame(rows, columns=[key, "attempt", "text", "finish", "error"])
+            tried = [[dict(zip(("attempt", "text", "finish", "error"), row, strict=True)) for row in _attempts(c, reader, settings.ocr_retries)] for c in frame[content]]
+            yield pd.DataFrame({key: frame[key], "attempts": pd.Series(tried, frame.index, object)})
 
     source = pages.select(key, content)
-    return (source.repartition(partitions) if partitions else source).mapInPandas(run, f"{key} {kind}, attempt int, text string, finish string, error string")
+    return (source.repartition(partitions) if partitions else source).mapInPandas(run, f"{key} {kind}, attempts {ATTEMPTS}")
+
+
+def batch_read(pages: DataFrame, key: str, content: str, reader: Callable[[object, int], dict], partitions: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """The rows of read_pages(), one per attempt: key, attempt, text, finish, error."""
+    return read_pages(pages, key, content, reader, partitions, settings).select(key, F.inline("attempts"))
 
 
 class Ledger:

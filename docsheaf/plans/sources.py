@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docsheaf import fixtures as X
 from docsheaf.functions.folds import fold_by_key
-from docsheaf.functions.readers import batch_read, ledger_read
+from docsheaf.functions.readers import batch_read, ledger_read, read_pages
 from docsheaf.operators import transcripts as T
 from docsheaf.session import shared_folder
 from docsheaf.sources import uploads as U
@@ -94,17 +94,24 @@ def a8_read_truth(spark, sf_dir):
     return U.scaled_truth(raw).select("path", "role", "n", "label", *[F.round(c, 6).alias(c) for c in "xywh"])
 
 
-def k1_batch_read(spark, sf_dir):
+def _read(spark, sf_dir, how):
     def reader(content, attempt: int) -> dict:
         return {"text": content if (len(content) + attempt) % 3 else "", "finish": "stop"}
 
-    pages = X.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return batch_read(pages, "doc_id", "text", reader)
+    return how(X.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", reader)
+
+
+def k1_batch_read(spark, sf_dir):
+    return _read(spark, sf_dir, batch_read)
 
 
 def k2_read_then_resolve(spark, sf_dir):
-    a = k1_batch_read(spark, sf_dir).select("doc_id", "attempt", F.col("text").alias("clean"), F.lit("").alias("partial"), "finish", F.lit(None).cast("string").alias("runaway"), F.lit(False).alias("tile"), "error")
-    return T.resolve_attempts(a, "doc_id")
+    def cleaned(a):
+        fixed = (F.lit("").alias("partial"), F.lit(None).cast("string").alias("runaway"), F.lit(False).alias("tile"))
+        return F.struct(a["attempt"].alias("attempt"), a["text"].alias("clean"), a["finish"].alias("finish"), a["error"].alias("error"), *fixed)
+
+    read = _read(spark, sf_dir, read_pages)
+    return T.resolve_pages(read.select("doc_id", F.transform("attempts", cleaned).alias("attempts")), "doc_id")
 
 
 def k2_fold_by_key(spark, sf_dir):

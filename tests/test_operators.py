@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from docsheaf.functions import containment
-from docsheaf.functions.readers import batch_read
+from docsheaf.functions.readers import batch_read, read_pages
 from docsheaf.operators import dialogue, evidence, pages, regions, store, telemetry, tiles, transcripts
 from docsheaf.plans import pages as page_plans
 from docsheaf.plans import sources as source_plans
 from docsheaf.sources import uploads
 from docsheaf.streaming import calls, streams
+from tests.conftest import SF
 
 
 @pytest.mark.parametrize(
@@ -376,3 +377,33 @@ def test_tasks_grow_with_the_input(spark, tmp_path, monkeypatch):
     box = spark.range(30).selectExpr("id as run", "1 as box_no", "0.1 as x", "0.1 as y", "0.2 as w", "0.2 as h")
     got = regions.score_boxes(box, box.withColumnRenamed("box_no", "target")).collect()
     assert len(got) == 30 and all(r.iou == 1 for r in got) and (15, "run") in dealt
+
+
+def test_attempts_are_resolved_where_they_were_read(spark):
+    """As rows and with their pages: the same results, the latter without a shuffle of the texts."""
+    rng, fields = random.Random(5), "attempt int, clean string, partial string, finish string, runaway string, tile boolean, error string"
+    pick = lambda *some: rng.choice(some)
+    one = lambda n: (n, pick("a text", "", None, "No text.", "Sorry, no"), pick("", None, "cut"), pick("stop", "LENGTH", None), pick(None, None, None, "loop: x"), pick(True, False, None), pick(None, None, "down"))
+    tries = {k: [one(n) for n in rng.sample(range(1, 6), rng.randint(0, 4))] for k in range(300)}
+    pages = spark.createDataFrame(list(tries.items()), f"key long, attempts array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
+    rows = spark.createDataFrame([(k, *a) for k, some in tries.items() for a in some], f"key long, {fields}")
+    got = transcripts.resolve_pages(pages, "key")
+    want = sorted(tuple(r) for r in transcripts.resolve_attempts(rows, "key").collect())
+    assert sorted(tuple(r) for r in got.collect()) == want and {r[1] for r in want} == {"ok", "empty", "failed"} and len({r[2] for r in want}) > 7
+    plan = source_plans.k2_read_then_resolve(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Exchange" not in plan
+
+
+def test_pages_are_read_with_all_their_attempts(spark):
+    def reader(content, attempt):
+        if content == "bad" or attempt < 2:
+            raise ValueError(f"{content} {attempt}")
+        return {"text": content * attempt, "finish": "stop"}
+
+    pages = spark.createDataFrame([("p", "bad"), ("q", "x"), (None, "y")], "page string, content string")
+    bad = [(1, None, "", "bad 1"), (2, None, "", "bad 2"), (3, None, "", "bad 3")]
+    want = {"p": bad, "q": [(1, None, "", "x 1"), (2, "xx", "stop", None)], None: [(1, None, "", "y 1"), (2, "yy", "stop", None)]}
+    assert {r.page: [tuple(a) for a in r.attempts] for r in read_pages(pages, "page", "content", reader).collect()} == want
+    rows = batch_read(pages, "page", "content", reader)
+    assert rows.columns == ["page", "attempt", "text", "finish", "error"]
+    assert {tuple(r) for r in rows.collect()} == {(k, *a) for k, some in want.items() for a in some}
