@@ -181,7 +181,7 @@ def js5_throttle_stream(spark, sf_dir):
 
 def js4_assemble_stream(spark, sf_dir):
     """The calls of j4 through splitter, monitor and assembler: the same rows as of the batch form."""
-    return _chunk_stream(spark, chunk_rows(spark, sf_dir), O.answer_stream).select("call_id", "text", "reasoning", "finish", "tokens", "tool_calls")
+    return _chunk_stream(spark, chunk_rows(spark, sf_dir), O.answer_calls).select("call_id", "text", "reasoning", "finish", "tokens", "tool_calls")
 
 
 def js7_upsert_trace_stream(spark, sf_dir):

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from docsheaf.plans import sources, telemetry
 from docsheaf.streaming import calls, ordered, streams
+from tests.conftest import SF
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 COLUMNS = "call_id string, seq long, at timestamp, content string, reasoning string, tool_index int, tool_id string, tool_name string, tool_args string, finish string, tokens long, last boolean"
@@ -203,6 +205,41 @@ def test_calls_of_a_bucket_share_a_state(spark, tmp_path, monkeypatch):
     assert spark.read.format("statestore").load(f"{tmp_path}/state").count() == 1  # the bucket of the clock
 
 
+def test_assembled_calls_share_states(spark, tmp_path, monkeypatch):
+    """The query keeps a state for each bucket, not several for each call in each of three operators."""
+    monkeypatch.setattr(ordered, "BUCKETS", 4)
+    monkeypatch.setattr(sources, "shared_folder", lambda _: f"{tmp_path}/js4")
+    got, batch = sources.js4_assemble_stream(spark, SF), telemetry.j4_assemble_calls(spark, SF)
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+    assert spark.read.format("statestore").load(f"{tmp_path}/js4/state").count() == 4
+
+
+def test_answers_of_one_operator_equal_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 3)
+    rows = answers(20, 7)
+    batches = shuffled(rows + random.Random(2).sample(rows, 30), 4, 8)
+    got = run(spark, tmp_path, batches, COLUMNS, ordered.answer_calls)
+    assert {r.call_id: (r.text, r.reasoning, r.finish, r.tokens, json.loads(r.tool_calls)) for r in got} == batch_answers(spark, rows)
+    assert len(got) == 20 and all(r.complete and not r.verdict for r in got)
+    assert {r.call_id: r.chunks for r in got} == {c: sum(r["call_id"] == c for r in rows) for c in {r["call_id"] for r in rows}}
+
+
+def test_answers_of_one_operator_that_are_stopped_or_fall_silent(spark, tmp_path):
+    """Each call is answered once: stopped by its budget, fallen silent, or late as a whole but never silent for long."""
+    long = [{"call_id": "long", "seq": k, "at": at(k), "content": c} for k, c in enumerate(["<think>a", "b", "c", "d</th", "ink>e"])]
+    open_ = [{"call_id": "open", "seq": k, "at": at(k), **c} for k, c in ((0, {"content": "half an ans"}), (1, {"content": "wer <thi"}), (2, {"tool_index": 0, "tool_name": "look"}), (4, {"content": " after a gap"}))]
+    slow = [{"call_id": "slow", "seq": k, "at": at(t), "content": c, "last": k == 3} for k, t, c in ((0, 0, "one "), (2, 540, "three "), (1, 1000, "two "), (3, 1001, "four"))]
+    late = [{"call_id": "open", "seq": 3, "at": at(3), "content": "too late", "last": True}]
+    clock = [[{"call_id": "clock", "seq": k, "at": at(t), "content": "tick"}] for k, t in enumerate((800, 900, 10_000, 20_000, 30_000))]
+    rows = run(spark, tmp_path, [open_ + long + slow[:2], *clock[:2], slow[2:], *clock[2:4], late, clock[4]], COLUMNS, lambda s: ordered.answer_calls(s, budget=3), delay="10 seconds")
+    got = {r.call_id: r for r in rows}
+    assert len(rows) == 3 and set(got) == {"long", "open", "slow"}
+    assert got["long"].verdict == "budget" and got["long"].reasoning == "abcd</th" and got["long"].text == "" and got["long"].reasoning_tokens == 4
+    assert got["open"].text == "half an answer <thi after a gap" and not got["open"].complete and got["open"].chunks == 4 and json.loads(got["open"].tool_calls)[0]["name"] == "look"
+    assert got["slow"].text == "one two three four" and got["slow"].complete and got["slow"].chunks == 4
+    assert spark.read.format("statestore").load(f"{tmp_path}/state").count() == 1  # the bucket of the clock
+
+
 def test_rows_in_order_keep_their_values(spark, tmp_path):
     schema = "turn long, seq long, at timestamp, n long, x double, t timestamp, d decimal(30,2), b binary, ok boolean, s string"
     values = [(2**53 + 1, float("nan"), at(0.000001), Decimal("1e20"), b"\x00\xff", True, 'a "b"\n\\'), (None,) * 7, (-1, 0.1 + 0.2, at(5), Decimal("-0.01"), b"", False, "")]
