@@ -25,6 +25,7 @@ import json
 import pickle
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -70,6 +71,9 @@ class OrderedChunks(StatefulProcessor):
         self.key, self.out, self.quiet_ms = key, out, quiet_ms
         self.types = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(self.columns)}
         self.names = list(self.types)
+        self.fields = ["seq", "at_ms", *self.names]
+        self.values = itemgetter(*self.fields)
+        self.empty = dict.fromkeys(self.names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -90,11 +94,11 @@ class OrderedChunks(StatefulProcessor):
         held: dict[int, dict] = {}
         for (chunks,) in self.early.get():
             for values in pickle.loads(chunks):
-                held.setdefault(values[0], dict(zip(["seq", "at_ms", *self.names], values, strict=True)))
+                held.setdefault(values[0], dict(zip(self.fields, values, strict=True)))
         return held
 
     def _entry(self, rows: list[dict]) -> tuple[bytes]:
-        return (pickle.dumps([tuple(row[c] for c in ["seq", "at_ms", *self.names]) for row in rows]),)
+        return (pickle.dumps([self.values(row) for row in rows]),)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         out = self.taken(self.read(row) for row in rows)
@@ -122,7 +126,7 @@ class OrderedChunks(StatefulProcessor):
                 row = (held or {}).get(seq) or arrived.get(seq)
                 if row is None:
                     break
-                out += self.step({**row, "seq": seq})
+                out += self.step(row)
                 over, seq = bool(row["last"]) or self.ended(), seq + 1
             if over:
                 if not self.fresh:
@@ -174,11 +178,12 @@ class OrderedChunks(StatefulProcessor):
         self.place.clear()
         return out
 
-    def parsed(self, chunk: str) -> dict:
-        return {**dict.fromkeys(self.names), **json.loads(chunk)}
+    def parsed(self, chunks: Iterable[str]) -> list[dict]:
+        """The rows of chunks, read as one JSON text, which takes half the time."""
+        return [{**self.empty, **row} for row in json.loads(f"[{','.join(chunks)}]")]
 
     def read(self, row: Row) -> dict:
-        return {"seq": row["seq"], **self.parsed(row["chunk"])}
+        return {"seq": row["seq"], **self.parsed([row["chunk"]])[0]}
 
     def declare(self, handle: StatefulProcessorHandle) -> None: ...
 
@@ -215,11 +220,12 @@ class ThinkSplitter(OrderedChunks):
         self.tail.clear()
 
     def step(self, row: dict) -> list[dict]:
-        text, parts = self.held + (row["content"] or ""), {True: [], False: []}
-        while (at := text.lower().find(_TAGS[self.inside])) >= 0:
-            parts[self.inside].append(text[:at])
-            text, self.inside = text[at + len(_TAGS[self.inside]) :], not self.inside
-        hold = 0 if row["last"] else next((n for n in range(min(7, len(text)), 0, -1) if _TAGS[self.inside].startswith(text[-n:].lower())), 0)
+        text, parts, hold = self.held + (row["content"] or ""), {True: [], False: []}, 0
+        if "<" in text:
+            while (at := text.lower().find(_TAGS[self.inside])) >= 0:
+                parts[self.inside].append(text[:at])
+                text, self.inside = text[at + len(_TAGS[self.inside]) :], not self.inside
+            hold = 0 if row["last"] else next((n for n in range(min(7, len(text)), 0, -1) if _TAGS[self.inside].startswith(text[-n:].lower())), 0)
         parts[self.inside].append(text[: len(text) - hold])
         self.held = text[len(text) - hold :]
         held = {"held_reasoning": self.held if self.inside else "", "held_content": "" if self.inside else self.held}
@@ -516,8 +522,7 @@ def _run_alone(rows: DataFrame, key: str, processor: OrderedChunks, out: str, **
 
         arrived: dict[str | None, list[dict]] = {}
         for frame in frames:
-            for text in frame["chunk"]:
-                row = processor.parsed(text)
+            for row in processor.parsed(frame["chunk"]):
                 arrived.setdefault(row.pop("key", None), []).append(row)
         for own, its in arrived.items():
             take(own, processor.taken, its)
