@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import pickle
+import re
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from operator import itemgetter
@@ -51,6 +52,8 @@ ANSWER = "text string, reasoning string, finish string, tokens long, tools array
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _TAGS = {False: "<think>", True: "</think>"}
+#: Found in the text itself: its lower case may have more characters.
+_IN_TEXT = {inside: re.compile(tag, re.ASCII | re.IGNORECASE) for inside, tag in _TAGS.items()}
 
 
 def _names(columns: str) -> list[str]:
@@ -222,9 +225,9 @@ class ThinkSplitter(OrderedChunks):
     def step(self, row: dict) -> list[dict]:
         text, parts, hold = self.held + (row["content"] or ""), {True: [], False: []}, 0
         if "<" in text:
-            while (at := text.lower().find(_TAGS[self.inside])) >= 0:
-                parts[self.inside].append(text[:at])
-                text, self.inside = text[at + len(_TAGS[self.inside]) :], not self.inside
+            while tag := _IN_TEXT[self.inside].search(text):
+                parts[self.inside].append(text[: tag.start()])
+                text, self.inside = text[tag.end() :], not self.inside
             hold = 0 if row["last"] else next((n for n in range(min(7, len(text)), 0, -1) if _TAGS[self.inside].startswith(text[-n:].lower())), 0)
         parts[self.inside].append(text[: len(text) - hold])
         self.held = text[len(text) - hold :]

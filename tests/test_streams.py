@@ -97,6 +97,14 @@ def test_think_tags_cut_anywhere(spark, tmp_path, size):
         assert ("".join(r.reasoning for r in out if r.call_id == call), "".join(r.content for r in out if r.call_id == call)) == batch[call]
 
 
+def test_think_tags_behind_letters_that_grow_in_lower_case(spark, tmp_path):
+    texts = {"a": "\u0130\u0130<think>why\u0130</THINK>so", "b": "<think>\u0130\u0130</thin\u212a></think>end", "c": "<\u0130think> \u0130<thi"}
+    rows = [r for c, t in texts.items() for r in words(c, t, 1000)]
+    batch = {r.call_id: (r.reasoning, r.content) for r in calls.split_think(spark.createDataFrame([(r["call_id"], r["seq"], r["piece"]) for r in rows], "call_id string, seq long, piece string")).collect()}
+    assert batch["a"] == ("why\u0130", "\u0130\u0130so")
+    assert {r.call_id: (r.reasoning, r.content) for r in run(spark, tmp_path, [rows], WORDS, ordered.split_think_stream)} == batch
+
+
 class CountedStates:
     """Stands in for a call's states and counts how often they are asked."""
 
